@@ -14,54 +14,70 @@ from tarmaq.operators.running import DEFAULT_SLICE, SLICE, carry, upto, with_sli
 
 
 def clash_counts(candidates: DataFrame, busy: DataFrame, keys: list[str], start: str, end: str,
-                 id_col: str, out: str = "clashes", width: str = DEFAULT_SLICE,
-                 includes_self: bool = False) -> DataFrame:
-    """How many busy intervals of the same key clash with each candidate.
+                 id_col: str, out: str = "clashes", width: str = DEFAULT_SLICE) -> DataFrame:
+    """How many busy intervals of the same key clash with each candidate."""
+    asked = _end_points(candidates, keys, start, end, id_col, measured=True, counted=False)
+    taken = _end_points(busy.withColumn(id_col, F.lit(None).cast(
+        candidates.schema[id_col].dataType)), keys, start, end, id_col,
+        measured=False, counted=True)
+    return _sweep(asked.unionByName(taken), keys, id_col, out, width)
 
-    With ``includes_self`` the candidates are the busy intervals themselves and
-    a (non-empty) interval does not count as clashing with itself.
 
-    clashes = (busy starts before my end) - (busy ends up to my start). The
-    place of an event among others at the same instant makes both comparisons
-    exact, also for empty intervals.
+def self_clash_counts(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
+                      out: str = "clashes", width: str = DEFAULT_SLICE,
+                      keep: tuple[str, ...] = ()) -> DataFrame:
+    """How many other intervals of the same key clash with each interval.
+
+    ``keep`` columns of the intervals ride along, which saves a join afterwards.
     """
-    def events(df, first, last, first_place, last_place, measured):
-        def event(ts, place, sign):
-            return F.struct(
-                F.col(ts).alias("_t"), place.alias("_place"),
-                F.lit(0 if measured else 1 if sign > 0 else 0).alias("_starts"),
-                F.lit(0 if measured else 1 if sign < 0 else 0).alias("_ends"),
-                F.lit(sign if measured else 0).alias("_side"))
-        ident = F.col(id_col) if measured else F.lit(None).cast(candidates.schema[id_col].dataType)
-        return df.select(*keys, ident.alias("_id"), F.inline(F.array(
-            event(first, first_place, 1), event(last, last_place, -1))))
-
-    empty = F.col(start) == F.col(end)
-    asked = events(candidates, start, end, F.when(empty, 1).otherwise(3),
-                   F.when(empty, 1).otherwise(3), True)
-    taken = events(busy, start, end, F.lit(4), F.when(empty, 2).otherwise(0), False)
-    line = with_slice(asked.unionByName(taken), "_t", width)
-
-    earlier = carry(line, keys,
-                    {"_s": F.sum("_starts"), "_e": F.sum("_ends")},
-                    {"_s0": F.sum("_s"), "_e0": F.sum("_e")})
-    here = upto(keys, F.col("_t"), F.col("_place"))
-    swept = (line.join(earlier, [*keys, SLICE], "left")
-             .withColumns({
-                 "_s": F.coalesce("_s0", F.lit(0)) + F.sum("_starts").over(here),
-                 "_e": F.coalesce("_e0", F.lit(0)) + F.sum("_ends").over(here)})
-             .filter(F.col("_side") != 0))
-    # The row at my end (-1) knows the starts, the row at my start (+1) the ends.
-    own = F.when(F.col("_place") == 3, 1).otherwise(0) if includes_self else F.lit(0)
-    return (swept.groupBy(*keys, F.col("_id").alias(id_col))
-            .agg(F.sum(F.when(F.col("_side") < 0, F.col("_s") - own).otherwise(-F.col("_e")))
-                 .cast("bigint").alias(out)))
+    points = _end_points(df, keys, start, end, id_col, measured=True, counted=True, keep=keep)
+    return _sweep(points, keys, id_col, out, width, keep)
 
 
-def self_clash_counts(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
-                      out: str = "clashes", width: str = DEFAULT_SLICE) -> DataFrame:
-    """How many other intervals of the same key clash with each interval."""
-    return clash_counts(df, df, keys, start, end, id_col, out, width, includes_self=True)
+# Order of end points at one instant. Intervals end before others begin, so
+# touching ones do not clash; an empty interval is asked before it is counted.
+_ENDS, _EMPTY_ASKS, _EMPTY, _STARTS = range(4)
+
+
+def _end_points(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
+                measured: bool, counted: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Two rows per interval: what it adds to the running counts, and what to read.
+
+    clashes = (busy starts before my end) - (busy ends up to my start), less 1
+    for the interval itself when it is among the busy ones.
+    """
+    one, empty = int(counted), F.col(start) == F.col(end)
+
+    def point(ts, place, starts, ends, reads_starts, reads_ends, own):
+        columns = {"_place": place, "_starts": starts, "_ends": ends,
+                   "_reads_starts": int(measured and reads_starts),
+                   "_reads_ends": int(measured and reads_ends), "_own": own}
+        return F.struct(F.col(ts).alias("_t"), *[F.lit(v).alias(n) for n, v in columns.items()])
+
+    ordinary = F.array(point(start, _STARTS, one, 0, False, True, 0),
+                       point(end, _ENDS, 0, one, True, False, one))
+    instant = F.array(point(start, _EMPTY_ASKS, 0, 0, True, True, 0),
+                      point(end, _EMPTY, one, one, False, False, 0))
+    return df.select(*keys, *keep, F.col(id_col).alias("_id"),
+                     F.inline(F.when(empty, instant).otherwise(ordinary)))
+
+
+def _sweep(points: DataFrame, keys: list[str], id_col: str, out: str, width: str,
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    line = with_slice(points, "_t", width)
+    earlier = carry(line, keys, {"_s": F.sum("_starts"), "_e": F.sum("_ends")},
+                    {"_s0": F.sum("_s"), "_e0": F.sum("_e")})
+    here = upto(keys, F.col("_t"), F.col("_place"))
+    begun = F.coalesce("_s0", F.lit(0)) + F.sum("_starts").over(here)
+    over = F.coalesce("_e0", F.lit(0)) + F.sum("_ends").over(here)
+    reads = (F.col("_reads_starts") > 0) | (F.col("_reads_ends") > 0)
+    seen = (line.join(earlier, [*keys, SLICE], "left")
+            .withColumn("_seen", F.col("_reads_starts") * (begun - F.col("_own"))
+                        - F.col("_reads_ends") * over)
+            .filter(reads))
+    return (seen.groupBy(*keys, F.col("_id").alias(id_col))
+            .agg(F.sum("_seen").cast("bigint").alias(out),
+                 *[F.any_value(c).alias(c) for c in keep]))
 
 
 def clashes_with_earlier(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
@@ -91,11 +107,11 @@ def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
     order = (F.col(start), F.col(end), F.col(id_col))
 
     base = with_slice(df, start, width).withColumn("_me", me)
-    latest = carry(base, keys, {"_m": F.max(end)}, {"_m0": F.max("_m")})
-    following = carry(base, keys, {"_f": F.min("_me")}, {"_f0": F.min("_f")}, backwards=True)
+    around = carry(base, keys, {"_m": F.max(end), "_f": F.min("_me")},
+                   {"_m0": F.max("_m")}, {"_f0": F.min("_f")})
     peak_before = F.greatest(F.col("_m0"), F.max(end).over(within(keys, *order)))
     next_here = F.lead("_me").over(Window.partitionBy(*keys, SLICE).orderBy(*order))
-    walked = (base.join(latest, [*keys, SLICE], "left").join(following, [*keys, SLICE], "left")
+    walked = (base.join(around, [*keys, SLICE], "left")
               .withColumns({"_before": peak_before, "_next": F.coalesce(next_here, F.col("_f0"))})
               .drop(SLICE, "_m0", "_f0"))
 
@@ -110,7 +126,7 @@ def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
     points = with_slice(points.filter(F.col("_peak").isNotNull() | F.col("_row").isNotNull()),
                         "_t", width)
     # The next peak after a point is the lowest one: peaks rise in start and end.
-    later = carry(points, keys, {"_p": F.min("_peak")}, {"_p0": F.min("_p")}, backwards=True)
+    later = carry(points, keys, {"_p": F.min("_peak")}, {}, {"_p0": F.min("_p")})
     ahead = within(keys, F.col("_t").desc(), F.col("_place").desc())
     opened = F.coalesce(F.min("_peak").over(ahead), F.col("_p0"))
     found = (points.join(later, [*keys, SLICE], "left")

@@ -25,17 +25,18 @@ def with_slice(df: DataFrame, ts: str, width: str = DEFAULT_SLICE) -> DataFrame:
 
 
 def carry(sliced: DataFrame, keys: list[str], totals: dict[str, Column],
-          combine: dict[str, Column], backwards: bool = False) -> DataFrame:
-    """One row per (key, slice) with the combined totals of all earlier slices.
+          earlier: dict[str, Column], later: dict[str, Column] | None = None) -> DataFrame:
+    """One row per (key, slice) with what the other slices of the key add up to.
 
-    ``totals`` are aggregates within a slice (folded map-side); ``combine`` are
-    aggregates over the earlier (or, backwards, later) slices of the same key.
+    ``totals`` are aggregates within a slice (folded map-side); ``earlier`` and
+    ``later`` are aggregates of the totals over the slices before and after.
     """
     per_slice = sliced.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in totals.items()])
-    order = F.col(SLICE).desc() if backwards else F.col(SLICE).asc()
-    before = (Window.partitionBy(*keys).orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return per_slice.select(*keys, SLICE, *[c.over(before).alias(n) for n, c in combine.items()])
+    span = (Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*span)
+    after = Window.partitionBy(*keys).orderBy(F.desc(SLICE)).rowsBetween(*span)
+    return per_slice.select(*keys, SLICE, *[c.over(before).alias(n) for n, c in earlier.items()],
+                            *[c.over(after).alias(n) for n, c in (later or {}).items()])
 
 
 def within(keys: list[str], *order: Column):

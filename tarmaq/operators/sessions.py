@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmaq.functions.scalars import plus_minutes
-from tarmaq.operators.running import DEFAULT_SLICE, SLICE, carry, upto, with_slice, within
+from tarmaq.operators.running import DEFAULT_SLICE, SLICE, upto, with_slice
 
 
 def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
@@ -17,24 +17,32 @@ def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
     but a busy user is spread over time slices and a long session is summed
     map-side.
     """
-    keys = [user]
-    sliced = with_slice(events.select(user, ts), ts, width)
-    last_seen = carry(sliced, keys, {"_l": F.max(ts)}, {"_l0": F.max("_l")})
-    previous = F.coalesce(F.max(ts).over(within(keys, F.col(ts))), F.col("_l0"))
-    marked = (sliced.join(last_seen, [*keys, SLICE], "left")
-              .withColumn("_prev", previous)
-              .withColumn("_opens", F.when(F.col("_prev").isNull()
-                                           | (F.col(ts) > plus_minutes("_prev", idle_minutes)), 1)
-                          .otherwise(0)))
-    opened = carry(marked, keys, {"_n": F.sum("_opens")}, {"_n0": F.sum("_n")})
-    numbered = (marked.join(opened, [*keys, SLICE], "left")
-                .withColumn("_session", F.coalesce("_n0", F.lit(0))
-                            + F.sum("_opens").over(upto(keys, F.col(ts)))))
-    grouped = numbered.groupBy(user, "_session").agg(
-        F.min(ts).alias("session_start"), F.max(ts).alias("_last"),
-        F.count(F.lit(1)).alias("requests"))
-    return grouped.select(user, "session_start",
-                          plus_minutes("_last", idle_minutes).alias("session_end"), "requests")
+    rows = with_slice(events.select(user, ts), ts, width)
+    seen = rows.withColumn("_prev", F.lag(ts).over(
+        Window.partitionBy(user, SLICE).orderBy(ts)))
+    opens_here = F.col(ts) > plus_minutes("_prev", idle_minutes)
+
+    # Per slice: its first and last event and the last opening inside it. Whether
+    # the first event opens a session too is known from the slice before.
+    per_slice = seen.groupBy(user, SLICE).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"),
+        F.max(F.when(opens_here, F.col(ts))).alias("_opened"))
+    slices = Window.partitionBy(user).orderBy(SLICE)
+    before = F.lag("_last").over(slices)
+    begins = before.isNull() | (F.col("_first") > plus_minutes(before, idle_minutes))
+    linked = (per_slice.withColumn("_begin", F.when(begins, F.col("_first")))
+              .withColumn("_carried", F.max(F.coalesce("_opened", "_begin")).over(
+                  slices.rowsBetween(Window.unboundedPreceding, -1)))
+              .select(user, SLICE, "_begin", "_carried"))
+
+    opening = F.when(F.col("_prev").isNull(), F.col("_begin")).when(opens_here, F.col(ts))
+    started = (seen.join(linked, [user, SLICE], "left").withColumn("_opening", opening)
+               .withColumn("session_start", F.coalesce(
+                   F.max("_opening").over(upto([user], F.col(ts))), F.col("_carried"))))
+    return (started.groupBy(user, "session_start")
+            .agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("requests"))
+            .select(user, "session_start",
+                    plus_minutes("_last", idle_minutes).alias("session_end"), "requests"))
 
 
 def lapsed(holds: DataFrame, payments: DataFrame, user: str, ts: str,

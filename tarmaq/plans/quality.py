@@ -43,7 +43,9 @@ def orphans(child: DataFrame, fk: list[str], parent: DataFrame, pk: list[str]) -
 
 def check_fk(child: DataFrame, fk: list[str], parent: DataFrame, pk: list[str], table: str,
              parent_name: str) -> DataFrame:
-    counted = orphans(child, fk, parent, pk).agg(F.count(F.lit(1)).alias("bad_rows"))
+    """Counts orphans by reference value, so a hot value is one row per map task."""
+    counted = (orphans(child.groupBy(*fk).agg(F.count(F.lit(1)).alias("_n")), fk, parent, pk)
+               .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("bad_rows")))
     return _result(counted, table, f"fk({','.join(fk)}->{parent_name})")
 
 

@@ -40,9 +40,9 @@ def check_assignments(links: DataFrame, flights: DataFrame, pool: DataFrame, mem
     flight_id, minutes, start_ts, end_ts, open flights only.
     """
     served = links.join(flights.select("flight_id", "minutes", "start_ts", "end_ts"), "flight_id")
-    clashes = self_clash_counts(served, [member], "start_ts", "end_ts", "flight_id")
-    return (served.join(pool.select(member, F.col(qualified).alias("_qualified")), member)
-            .join(clashes, [member, "flight_id"])
+    counted = self_clash_counts(served, [member], "start_ts", "end_ts", "flight_id",
+                                keep=("minutes",))
+    return (counted.join(pool.select(member, F.col(qualified).alias("_qualified")), member)
             .withColumn("qualified", ~is_long() | F.col("_qualified"))
             .withColumn("eligible", F.col("qualified") & (F.col("clashes") == 0))
             .select("flight_id", member, "qualified", "clashes", "eligible"))

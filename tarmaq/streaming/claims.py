@@ -4,43 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tarmaq.plans.claims import SEAT, apply_claims, claim_all_or_nothing
+from pyspark.sql import functions as F
+
+from tarmaq.operators.relations import exists_in, not_existing
+from tarmaq.plans.claims import SEAT, claim_all_or_nothing
 from tarmaq.session import run_dir
 
 
 def drain_claims(requests: DataFrame, seats: DataFrame, purpose: str = "claims") -> DataFrame:
     """Decide requests batch by batch; earlier batches come first.
 
-    Each batch runs the set-based claim rule against the seats as the batch
-    before left them, and writes its decisions and the new seat table under its
-    own epoch. A batch that is run again starts from the same seats and
-    replaces its own output, so the result is exactly-once.
+    Each batch runs the set-based claim rule against the requested seats as the
+    earlier batches left them. A batch writes its decisions and the seats it
+    handed out under its own epoch and reads earlier epochs only, so a batch
+    that is run again replaces its own output and the result is exactly-once.
     """
     spark = requests.sparkSession
     target = run_dir(spark, purpose)
-    seats.write.mode("overwrite").parquet(f"{target}/seats/epoch=-1")
-
-    key, flight = (df.schema[c].dataType.simpleString()
-                   for df, c in ((requests, "order_id"), (seats, "flight_id")))
-    decision = f"order_id {key}, flight_id {flight}, seats bigint, accepted boolean"
-    last = {"epoch": -1}
+    key = requests.schema["order_id"].dataType.simpleString()
+    types = {c: seats.schema[c].dataType.simpleString() for c in SEAT}
+    decision = f"order_id {key}, flight_id {types['flight_id']}, seats bigint, accepted boolean"
+    handed_out = ", ".join(f"{c} {t}" for c, t in types.items()) + ", epoch bigint"
+    spark.createDataFrame([], decision).write.parquet(f"{target}/decided/epoch=-1")
+    seats.select(*SEAT).limit(0).write.parquet(f"{target}/taken/epoch=-1")
 
     def decide(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        current = session.read.schema(seats.schema).parquet(f"{target}/seats/epoch={epoch - 1}")
         wanted = batch.select("order_id", *SEAT, "requested_ts").persist()
-        decided = claim_all_or_nothing(wanted, current)
-        decided.write.mode("overwrite").parquet(f"{target}/decided/epoch={epoch}")
-        written = session.read.schema(decision).parquet(f"{target}/decided/epoch={epoch}")
-        (apply_claims(current, wanted, written)
-         .write.mode("overwrite").parquet(f"{target}/seats/epoch={epoch}"))
+        taken = (session.read.schema(handed_out).parquet(f"{target}/taken")
+                 .filter(F.col("epoch") < epoch).select(*SEAT))
+        asked = exists_in(seats.filter(F.col("order_id").isNull()), wanted, SEAT)
+        (claim_all_or_nothing(wanted, not_existing(asked, taken, SEAT))
+         .write.mode("overwrite").parquet(f"{target}/decided/epoch={epoch}"))
+        won = (session.read.schema(decision).parquet(f"{target}/decided/epoch={epoch}")
+               .filter("accepted").select("order_id"))
+        (wanted.join(won, "order_id", "left_semi").select(*SEAT)
+         .write.mode("overwrite").parquet(f"{target}/taken/epoch={epoch}"))
         wanted.unpersist()
-        last["epoch"] = epoch
 
     query = (requests.writeStream.foreachBatch(decide)
              .option("checkpointLocation", f"{target}/state")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    if last["epoch"] < 0:
-        return spark.createDataFrame([], f"{decision}, epoch int")
-    return spark.read.schema(f"{decision}, epoch int").parquet(f"{target}/decided")
+    return spark.read.schema(f"{decision}, epoch bigint").parquet(f"{target}/decided")
