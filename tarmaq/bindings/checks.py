@@ -70,7 +70,7 @@ def trip_class(spark, sf):
 
 
 def _timed(spark, sf):
-    return C.open_flights(flights(spark, sf)).select(
+    return C.open_flights(flights(spark, sf, *P.OPEN_FLIGHT)).select(
         "flight_id", "minutes", F.col("takeoff_ts").alias("start_ts"),
         plus_minutes("takeoff_ts", F.col("minutes")).alias("end_ts"))
 

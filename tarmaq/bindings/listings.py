@@ -79,7 +79,7 @@ def replace_children(spark, sf):
     return J.replace_children(old, fresh, "l_orderkey")
 
 
-def _routed(spark, sf):
+def _routed(spark, sf, *statuses):
     """Flights with an origin (customer's nation) and a destination (its region)."""
     nations = (scan(spark, sf, "nation")
                .join(scan(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -88,7 +88,7 @@ def _routed(spark, sf):
                        F.col("r_name").alias("destination_airport")))
     owners = (scan(spark, sf, "customer", ["c_custkey", "c_nationkey"])
               .join(nations, "c_nationkey").withColumnRenamed("c_custkey", "owner"))
-    return (flights(spark, sf).join(owners, "owner")
+    return (flights(spark, sf, *statuses).join(owners, "owner")
             .withColumnRenamed("minutes", "flight_duration"))
 
 
@@ -108,7 +108,7 @@ SELECT r.flight_id, strftime(takeoff_ts, '%Y-%m-%d') AS takeoff_date, origin_air
 FROM routed r LEFT JOIN lineitem ON l_orderkey = r.flight_id AND l_linestatus = 'O'
 WHERE flight_status = 'Scheduled' AND origin_airport = 'NATION_3' GROUP BY ALL""")
 def trip_search(spark, sf):
-    found = D.flight_search(_routed(spark, sf), seat_lines(spark, sf), origin="NATION_3",
+    found = D.flight_search(_routed(spark, sf, P.SCHEDULED), seat_lines(spark, sf), origin="NATION_3",
                             class_type="O", keys=("flight_id",))
     return found.select("flight_id", S.day_text("takeoff_ts").alias("takeoff_date"),
                         "origin_airport", "destination_airport", "landing_date", "landing_time",
@@ -182,7 +182,7 @@ WITH {SEATLINE}
 SELECT flight_id, class_type, count(*) AS available FROM seatline
 WHERE order_status = 'Cancelled by system' GROUP BY ALL""")
 def free_seats_by_class(spark, sf):
-    return D.free_seats(seat_lines(spark, sf), F.col("order_status") == P.BY_SYSTEM)
+    return D.free_seats(seat_lines(spark, sf, P.BY_SYSTEM), F.col("order_status") == P.BY_SYSTEM)
 
 
 @query("seat_taken_map", f"""
@@ -291,8 +291,7 @@ def endpoint_union(spark, sf):
 
 
 def _owners_flown(spark, sf):
-    return (flights(spark, sf).filter(F.col("flight_status") == P.COMPLETED)
-            .select(F.col("owner").alias("c_custkey")))
+    return flights(spark, sf, P.COMPLETED).select(F.col("owner").alias("c_custkey"))
 
 
 @query("exists_semi", """

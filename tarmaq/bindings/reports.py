@@ -8,7 +8,7 @@ from tarmaq import params as P
 from tarmaq.bindings import query
 from tarmaq.bindings.views import (AS_OF, BOOKING, EVENTS_AS_OF, FLIGHT, SEATLINE, TALLY, bookings,
                                    events, flights, seat_lines, tally)
-from tarmaq.functions.scalars import percent
+from tarmaq.functions.scalars import month_text, percent
 from tarmaq.plans import reports as R
 from tarmaq.sources.scans import scan
 
@@ -25,7 +25,7 @@ WITH {FLIGHT}, {SEATLINE}, {TALLY}
 SELECT t.flight_id, t.seats, t.kept, {_pct('t.kept', 't.seats')} AS occupancy_pct
 FROM tally t JOIN flight f USING (flight_id) WHERE f.flight_status = 'Completed'""")
 def occupancy_by_trip(spark, sf):
-    return R.occupancy_by_flight(flights(spark, sf), tally(seat_lines(spark, sf)))
+    return R.occupancy_by_flight(flights(spark, sf, P.COMPLETED), tally(seat_lines(spark, sf)))
 
 
 @query("avg_occupancy", f"""
@@ -33,7 +33,7 @@ WITH {FLIGHT}, {SEATLINE}, {TALLY}
 SELECT round(avg(100.0::DOUBLE * kept / seats), 2) AS avg_seat_occupancy_pct
 FROM tally JOIN flight USING (flight_id) WHERE flight_status = 'Completed'""")
 def avg_occupancy(spark, sf):
-    return R.average_occupancy(flights(spark, sf), tally(seat_lines(spark, sf)))
+    return R.average_occupancy(flights(spark, sf, P.COMPLETED), tally(seat_lines(spark, sf)))
 
 
 @query("occupancy_counts", f"""
@@ -159,8 +159,7 @@ def staff_hours(spark, sf):
     pilots = flights(spark, sf).select(ident("C", "owner"), "flight_id")
     attendants = (seat_lines(spark, sf).select("suppkey", "flight_id").distinct()
                   .select(ident("S", "suppkey"), "flight_id"))
-    flown = (flights(spark, sf).filter(F.col("flight_status") == P.COMPLETED)
-             .select("flight_id", "minutes"))
+    flown = flights(spark, sf, P.COMPLETED).select("flight_id", "minutes")
     return R.staff_hours(people, pilots.unionByName(attendants), flown)
 
 
@@ -189,7 +188,7 @@ SELECT strftime(takeoff_ts, '%Y-%m') AS month, count(*) AS flights_completed
 FROM flight WHERE flight_status = 'Completed' AND takeoff_ts < TIMESTAMP '{AS_OF}'
 GROUP BY 1""")
 def completed_by_month(spark, sf):
-    return R.completed_by_month(flights(spark, sf), AS_OF)
+    return R.completed_by_month(flights(spark, sf, P.COMPLETED), AS_OF)
 
 
 @query("top_routes", """
@@ -226,7 +225,7 @@ WHERE event_type IN ('purchase', 'view') AND ts < TIMESTAMP '{EVENTS_AS_OF}' GRO
 def trips_by_hour(spark, sf):
     status = (F.when(F.col("event_type") == "purchase", P.COMPLETED)
               .when(F.col("event_type") == "view", P.FULL).otherwise(P.CANCELLED))
-    flown = events(spark, sf).select(F.col("ts").alias("takeoff_ts"),
+    flown = events(spark, sf, "purchase", "view").select(F.col("ts").alias("takeoff_ts"),
                                      status.alias("flight_status"))
     return R.flights_by_hour(flown, EVENTS_AS_OF)
 
@@ -281,4 +280,5 @@ SELECT plane_id, month, n AS route_flights, p_brand AS origin_airport,
        p_type AS destination_airport
 FROM ranked WHERE rn = 1""")
 def dominant_route(spark, sf):
-    return R.dominant_route(R.route_months(*_fleet(spark, sf), AS_OF))
+    return (R.dominant_route(R.route_months(*_fleet(spark, sf), AS_OF))
+            .withColumn("month", month_text("month")))

@@ -121,7 +121,7 @@ SELECT order_id, CAST(total AS DOUBLE) AS total, decision, CAST(fee AS DOUBLE) A
        CAST(CASE WHEN decision = 'accepted' THEN total - fee ELSE 0 END AS DOUBLE) AS refund
 FROM c""")
 def cancel_decisions(spark, sf):
-    held = (seat_lines(spark, sf).filter(F.col("order_status") == P.ACTIVE)
+    held = (seat_lines(spark, sf, P.ACTIVE)
             .select(F.col("flight_id").alias("order_id"), "price"))
     orders = bookings(spark, sf).withColumnRenamed("date_of_purchase", "takeoff_ts")
     return X.cancel_decisions(order_totals(orders, held), AS_OF).select(
@@ -209,7 +209,7 @@ SELECT CASE WHEN o_orderkey IS NULL THEN NULL ELSE l_orderkey END AS order_id,
 FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F'""")
 def null_orphans(spark, sf):
     lines = scan(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
-    done = flights(spark, sf).filter(F.col("flight_status") == P.COMPLETED)
+    done = flights(spark, sf, P.COMPLETED)
     return J.null_orphans(lines.withColumnRenamed("l_orderkey", "order_id"), done, "order_id",
                           "flight_id")
 

@@ -34,11 +34,28 @@ def portable(df: DataFrame) -> DataFrame:
 
 # --- orders as flights ------------------------------------------------------
 
-def flights(spark: SparkSession, sf: str) -> DataFrame:
-    status = (F.when(F.col("o_orderstatus") == "F", P.COMPLETED)
-              .when(F.col("o_orderstatus") == "O", P.SCHEDULED).otherwise(P.FULL))
+FLIGHT_CODES = {"F": P.COMPLETED, "O": P.SCHEDULED, "P": P.FULL}
+LINE_CODES = {"N": P.ACTIVE, "R": P.BY_CUSTOMER, "A": P.BY_SYSTEM}
+
+
+def _decoded(df: DataFrame, column: str, codes: dict[str, str], wanted: tuple[str, ...]):
+    """The coded column as a state, and the rows in the wanted states.
+
+    The filter is on the stored code, so it reaches the file scan.
+    """
+    state = F.col(column)
+    for code, name in codes.items():
+        state = F.when(F.col(column) == code, name).otherwise(state)
+    if wanted:
+        df = df.filter(F.col(column).isin(*[c for c, n in codes.items() if n in wanted]))
+    return df, state
+
+
+def flights(spark: SparkSession, sf: str, *statuses: str) -> DataFrame:
+    """All flights, or those in the given statuses."""
+    orders, status = _decoded(scan(spark, sf, "orders"), "o_orderstatus", FLIGHT_CODES, statuses)
     minutes = (F.lit(60) + (F.col("o_orderkey") % 20) * 60).cast("int")
-    return scan(spark, sf, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("flight_id"), F.col("o_custkey").alias("owner"),
         F.col("o_orderdate").alias("takeoff_ts"), status.alias("flight_status"),
         minutes.alias("minutes"), F.col("o_orderpriority").alias("priority"))
@@ -73,10 +90,10 @@ BOOKING = """booking AS (
 
 # --- lineitem as seat lines -------------------------------------------------
 
-def seat_lines(spark: SparkSession, sf: str) -> DataFrame:
-    fate = (F.when(F.col("l_returnflag") == "N", P.ACTIVE)
-            .when(F.col("l_returnflag") == "R", P.BY_CUSTOMER).otherwise(P.BY_SYSTEM))
-    return scan(spark, sf, "lineitem").select(
+def seat_lines(spark: SparkSession, sf: str, *fates: str) -> DataFrame:
+    """All seat lines, or those whose order is in one of the given states."""
+    lines, fate = _decoded(scan(spark, sf, "lineitem"), "l_returnflag", LINE_CODES, fates)
+    return lines.select(
         F.col("l_orderkey").alias("flight_id"), F.col("l_partkey").alias("partkey"),
         F.col("l_suppkey").alias("suppkey"), F.col("l_linenumber").alias("s_row"),
         F.col("l_linestatus").alias("class_type"), fate.alias("order_status"),

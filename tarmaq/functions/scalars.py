@@ -35,8 +35,13 @@ def plus_hours(ts: Column | str, hours: int) -> Column:
     return plus_minutes(ts, hours * 60)
 
 
-def month_of(ts: Column | str) -> Column:
-    return F.date_format(_col(ts), "yyyy-MM")
+def month_start(ts: Column | str) -> Column:
+    """First day of the month: a cheap grouping key, made readable afterwards."""
+    return F.trunc(F.to_date(_col(ts)), "MM")
+
+
+def month_text(day: Column | str) -> Column:
+    return F.date_format(_col(day), "yyyy-MM")
 
 
 def day_text(ts: Column | str) -> Column:

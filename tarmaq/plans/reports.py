@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmaq import params as P
-from tarmaq.functions.scalars import (flag, hours_of, moment, month_of, percent, route_label,
-                                      route_path)
+from tarmaq.functions.scalars import (flag, hours_of, moment, month_start, month_text, percent,
+                                      route_label, route_path)
 
 
 def is_kept(status: Column) -> Column:
@@ -135,22 +135,28 @@ def cancel_rate_by_month(orders: DataFrame, exclude: tuple[str, ...] = (P.PENDIN
         counted = counted.filter(F.col("date_of_purchase").isNotNull()
                                  & ~F.col("order_status").isin(*exclude))
     cancelled = flag(F.col("order_status") == P.BY_CUSTOMER)
-    return (counted.groupBy(month_of("date_of_purchase").alias("purchase_month"))
+    return (counted.groupBy(month_start("date_of_purchase").alias("month"))
             .agg(F.count(F.lit(1)).alias("orders"), F.sum(cancelled).alias("cancelled"))
-            .select("purchase_month", "orders",
+            .select(month_text("month").alias("purchase_month"), "orders",
                     percent(F.col("cancelled"), F.col("orders"))
                     .alias("customer_cancellation_rate")))
 
 
 def route_months(flights: DataFrame, routes: DataFrame, occupancy: DataFrame,
                  as_of: str) -> DataFrame:
-    """Flown flights before ``as_of`` per plane, month and route, with the best occupancy."""
-    return (_past(flights, as_of).filter(F.col("flight_status").isin(*P.FLOWN_FLIGHT))
-            .join(routes.select("route_id", "origin_airport", "destination_airport"), "route_id")
-            .join(occupancy.select("flight_id", "occupancy_pct"), "flight_id", "left")
-            .groupBy("plane_id", month_of("takeoff_ts").alias("month"),
-                     "origin_airport", "destination_airport")
-            .agg(F.count(F.lit(1)).alias("flown"), F.max("occupancy_pct").alias("best")))
+    """Flown flights before ``as_of`` per plane, month and route, with the best occupancy.
+
+    ``month`` is the first day of the month.
+    """
+    flown = (_past(flights, as_of).filter(F.col("flight_status").isin(*P.FLOWN_FLIGHT))
+             .join(occupancy.select("flight_id", "occupancy_pct"), "flight_id", "left")
+             .groupBy("plane_id", month_start("takeoff_ts").alias("month"), "route_id")
+             .agg(F.count(F.lit(1)).alias("flown"), F.max("occupancy_pct").alias("best")))
+    # Folded by route first, so a route with a third of all flights joins as a few rows.
+    return (flown.join(routes.select("route_id", "origin_airport", "destination_airport"),
+                       "route_id")
+            .groupBy("plane_id", "month", "origin_airport", "destination_airport")
+            .agg(F.sum("flown").alias("flown"), F.max("best").alias("best")))
 
 
 def dominant_route(per_route: DataFrame) -> DataFrame:
@@ -173,18 +179,17 @@ def fleet_monthly(flights: DataFrame, routes: DataFrame, occupancy: DataFrame, a
     """Per plane and month: flown, cancelled, days in use and the dominant route."""
     flown = F.col("flight_status").isin(*P.FLOWN_FLIGHT)
     per_day = (_past(flights, as_of)
-               .groupBy("plane_id", month_of("takeoff_ts").alias("month"),
-                        F.to_date("takeoff_ts").alias("day"))
+               .groupBy("plane_id", F.to_date("takeoff_ts").alias("day"))
                .agg(F.sum(flag(flown)).alias("flown"),
                     F.sum(flag(F.col("flight_status") == P.CANCELLED)).alias("cancelled")))
-    monthly = (per_day.groupBy("plane_id", "month")
+    monthly = (per_day.groupBy("plane_id", F.trunc("day", "MM").alias("month"))
                .agg(F.sum("flown").alias("completed_flights"),
                     F.sum("cancelled").alias("cancelled_flights"),
                     F.sum(flag(F.col("flown") > 0)).alias("flown_days"))
                .filter(F.col("completed_flights") > 0))
     top = dominant_route(route_months(flights, routes, occupancy, as_of))
     return (monthly.join(top, ["plane_id", "month"], "left")
-            .select("plane_id", "month", "completed_flights", "cancelled_flights",
+            .select("plane_id", month_text("month").alias("month"), "completed_flights", "cancelled_flights",
                     percent(F.col("flown_days"), F.lit(period_days)).alias("utilization_pct"),
                     route_path("origin_airport", "destination_airport")
                     .alias("dominant_origin_destination")))
@@ -193,8 +198,9 @@ def fleet_monthly(flights: DataFrame, routes: DataFrame, occupancy: DataFrame, a
 def completed_by_month(flights: DataFrame, as_of: str | None = None) -> DataFrame:
     done = flights.filter(F.col("flight_status") == P.COMPLETED)
     done = _past(done, as_of) if as_of else done
-    return (done.groupBy(month_of("takeoff_ts").alias("month"))
-            .agg(F.count(F.lit(1)).alias("flights_completed")))
+    return (done.groupBy(month_start("takeoff_ts").alias("month"))
+            .agg(F.count(F.lit(1)).alias("flights_completed"))
+            .withColumn("month", month_text("month")))
 
 
 def top_routes(completed: DataFrame, n: int = P.TOP_ROUTES) -> DataFrame:
