@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmaq.functions.scalars import moment, plus_minutes
+
 # Above this many tuples the list becomes a table and a semi join.
 INLINE_TUPLES = 100
 
@@ -25,6 +27,14 @@ def equals(column: Column | str, value) -> Column | None:
     return (F.col(column) if isinstance(column, str) else column) == F.lit(value)
 
 
+def on_day(ts: str, day: str | None) -> Column | None:
+    """The timestamp falls on the day: a range, so it reaches the file scan."""
+    if not day:
+        return None
+    start = moment(f"{day} 00:00:00")
+    return (F.col(ts) >= start) & (F.col(ts) < plus_minutes(start, 24 * 60))
+
+
 def in_tuples(df: DataFrame, columns: list[str], tuples: list[tuple]) -> DataFrame:
     """Rows whose column tuple is in the list.
 

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 def exists_in(candidates: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates that have a match; a whole batch of existence probes at once."""
-    return candidates.join(reference.select(*keys).distinct(), keys, "left_semi")
+    found = candidates.join(reference.select(*keys).distinct(), keys, "left_semi")
+    return found.select(*candidates.columns)
 
 
 def not_existing(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates without a match; makes an insert repeatable."""
-    return candidates.join(existing.select(*keys).distinct(), keys, "left_anti")
+    fresh = candidates.join(existing.select(*keys).distinct(), keys, "left_anti")
+    return fresh.select(*candidates.columns)
 
 
 def lookup_default(facts: DataFrame, values: DataFrame, keys: list[str],

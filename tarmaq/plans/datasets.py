@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmaq import params as P
-from tarmaq.functions.predicates import all_of, equals
+from tarmaq.functions.predicates import all_of, equals, on_day
 from tarmaq.functions.scalars import (clock_text, day_text, money, moment, plus_hours,
                                       plus_minutes, seat_list)
 from tarmaq.operators.relations import distinct_union, lookup_default
@@ -35,7 +35,7 @@ def flight_search(flights: DataFrame, prices: DataFrame, date: str | None = None
     """Bookable flights (already joined to their route) with landing and lowest price."""
     wanted = flights.filter(all_of(
         equals("flight_status", P.SCHEDULED),
-        equals(F.to_date("takeoff_ts"), F.lit(date).cast("date")) if date else None,
+        on_day("takeoff_ts", date),
         equals("origin_airport", origin),
         equals("destination_airport", destination)))
     return from_price(with_landing(wanted), prices, class_type, keys)
@@ -47,7 +47,7 @@ def flight_listing(flights: DataFrame, as_of: str, flight_id: str | None = None,
     """The newest n flights with their landing and a 72-hour cancel flag."""
     wanted = flights.filter(all_of(
         equals("flight_id", flight_id), equals("flight_status", status),
-        equals(F.to_date("takeoff_ts"), F.lit(date).cast("date")) if date else None))
+        on_day("takeoff_ts", date)))
     newest = wanted.orderBy(F.desc("takeoff_ts"), F.asc("flight_id")).limit(n)
     return with_landing(newest).withColumn(
         "can_cancel", F.col("takeoff_ts") >= plus_hours(moment(as_of), P.FLIGHT_CANCEL_HOURS))

@@ -15,7 +15,7 @@ import airline  # noqa: E402
 def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("shared"))
     session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared,
+        "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": shared,
         "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
