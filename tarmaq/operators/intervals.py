@@ -1,7 +1,7 @@
 """Overlap tests on half-open intervals ``[start, end)``.
 
 Two intervals clash when ``a.start < b.end and a.end > b.start``; touching ones
-do not. All three operators sweep over the end points in time order instead of
+do not. All operators sweep over the end points in time order instead of
 pairing rows, so their cost does not depend on how many pairs clash.
 """
 
@@ -10,28 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmaq.operators.running import DEFAULT_SLICE, SLICE, carry, upto, with_slice, within
+from tarmaq.operators.running import (ROWS_PER_SLICE, SLICE, carry, hot_keys, upto, with_slice,
+                                      within)
 
 
 def clash_counts(candidates: DataFrame, busy: DataFrame, keys: list[str], start: str, end: str,
-                 id_col: str, out: str = "clashes", width: str = DEFAULT_SLICE) -> DataFrame:
+                 id_col: str, out: str = "clashes",
+                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """How many busy intervals of the same key clash with each candidate."""
+    spans = [*keys, start, end]
+    hot = hot_keys(candidates.select(*spans).unionByName(busy.select(*spans)), keys, start, end,
+                   rows_per_slice)
     asked = _end_points(candidates, keys, start, end, id_col, measured=True, counted=False)
     taken = _end_points(busy.withColumn(id_col, F.lit(None).cast(
         candidates.schema[id_col].dataType)), keys, start, end, id_col,
         measured=False, counted=True)
-    return _sweep(asked.unionByName(taken), keys, id_col, out, width)
+    return _sweep(asked.unionByName(taken), hot, keys, id_col, out)
 
 
 def self_clash_counts(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
-                      out: str = "clashes", width: str = DEFAULT_SLICE,
-                      keep: tuple[str, ...] = ()) -> DataFrame:
+                      out: str = "clashes", keep: tuple[str, ...] = (),
+                      rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """How many other intervals of the same key clash with each interval.
 
     ``keep`` columns of the intervals ride along, which saves a join afterwards.
     """
+    hot = hot_keys(df, keys, start, end, rows_per_slice)
     points = _end_points(df, keys, start, end, id_col, measured=True, counted=True, keep=keep)
-    return _sweep(points, keys, id_col, out, width, keep)
+    return _sweep(points, hot, keys, id_col, out, keep)
 
 
 # Order of end points at one instant. Intervals end before others begin, so
@@ -62,39 +68,38 @@ def _end_points(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
                      F.inline(F.when(empty, instant).otherwise(ordinary)))
 
 
-def _sweep(points: DataFrame, keys: list[str], id_col: str, out: str, width: str,
+def _sweep(points: DataFrame, hot: DataFrame, keys: list[str], id_col: str, out: str,
            keep: tuple[str, ...] = ()) -> DataFrame:
-    line = with_slice(points, "_t", width)
-    earlier = carry(line, keys, {"_s": F.sum("_starts"), "_e": F.sum("_ends")},
-                    {"_s0": F.sum("_s"), "_e0": F.sum("_e")})
+    line = carry(with_slice(points, hot, keys, "_t"), keys,
+                 {"_s": F.sum("_starts"), "_e": F.sum("_ends")},
+                 {"_s0": F.sum("_s"), "_e0": F.sum("_e")})
     here = upto(keys, F.col("_t"), F.col("_place"))
     begun = F.coalesce("_s0", F.lit(0)) + F.sum("_starts").over(here)
     over = F.coalesce("_e0", F.lit(0)) + F.sum("_ends").over(here)
     reads = (F.col("_reads_starts") > 0) | (F.col("_reads_ends") > 0)
-    seen = (line.join(earlier, [*keys, SLICE], "left")
-            .withColumn("_seen", F.col("_reads_starts") * (begun - F.col("_own"))
-                        - F.col("_reads_ends") * over)
-            .filter(reads))
+    seen = line.withColumn("_seen", F.col("_reads_starts") * (begun - F.col("_own"))
+                           - F.col("_reads_ends") * over).filter(reads)
     return (seen.groupBy(*keys, F.col("_id").alias(id_col))
             .agg(F.sum("_seen").cast("bigint").alias(out),
                  *[F.any_value(c).alias(c) for c in keep]))
 
 
 def clashes_with_earlier(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
-                         out: str = "clashes", width: str = DEFAULT_SLICE) -> DataFrame:
+                         out: str = "clashes",
+                         rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Flag rows that begin while an earlier-starting interval is still open."""
-    sliced = with_slice(df, start, width)
-    latest = carry(sliced, keys, {"_m": F.max(end)}, {"_m0": F.max("_m")})
+    hot = hot_keys(df, keys, start, end, rows_per_slice)
+    line = carry(with_slice(df, hot, keys, start), keys,
+                 {"_m": F.max(end)}, {"_m0": F.max("_m")})
     before = within(keys, F.col(start), F.col(end), F.col(id_col))
     open_until = F.greatest(F.col("_m0"), F.max(end).over(before))
-    return (sliced.join(latest, [*keys, SLICE], "left")
-            .withColumn("_open", open_until)
+    return (line.withColumn("_open", open_until)
             .withColumn(out, F.coalesce(F.col("_open") > F.col(start), F.lit(False)))
             .drop("_m0", "_open", SLICE))
 
 
 def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
-                out: str = "first_clash", width: str = DEFAULT_SLICE) -> DataFrame:
+                out: str = "first_clash", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """The earliest-starting other interval that clashes with each row, or NULL.
 
     Ties go to the earlier end, then the smaller id. In that order the first
@@ -103,34 +108,32 @@ def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
     peak end after my start. When that is the row itself, only the row right
     after it in order can be the first clash.
     """
-    me = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("i"))
+    hot = hot_keys(df, keys, start, end, rows_per_slice)
     order = (F.col(start), F.col(end), F.col(id_col))
+    me = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("i"))
 
-    base = with_slice(df, start, width).withColumn("_me", me)
-    around = carry(base, keys, {"_m": F.max(end), "_f": F.min("_me")},
-                   {"_m0": F.max("_m")}, {"_f0": F.min("_f")})
-    peak_before = F.greatest(F.col("_m0"), F.max(end).over(within(keys, *order)))
+    line = carry(with_slice(df.withColumn("_me", me), hot, keys, start), keys,
+                 {"_m": F.max(end), "_f": F.min("_me")}, {"_m0": F.max("_m")}, {"_f0": F.min("_f")})
     next_here = F.lead("_me").over(Window.partitionBy(*keys, SLICE).orderBy(*order))
-    walked = (base.join(around, [*keys, SLICE], "left")
-              .withColumns({"_before": peak_before, "_next": F.coalesce(next_here, F.col("_f0"))})
-              .drop(SLICE, "_m0", "_f0"))
+    walked = (line.withColumns({
+        "_before": F.greatest(F.col("_m0"), F.max(end).over(within(keys, *order))),
+        "_next": F.coalesce(next_here, F.col("_f0"))}).drop(SLICE, "_m0", "_f0"))
 
     nothing = F.lit(None).cast(walked.schema["_me"].dataType)
+    is_peak = F.col("_before").isNull() | (F.col(end) > F.col("_before"))
     points = walked.select(*keys, F.inline(F.array(
         F.struct(F.col(end).alias("_t"), F.lit(0).alias("_place"),
-                 F.when(F.col("_before").isNull() | (F.col(end) > F.col("_before")),
-                        F.col("_me")).alias("_peak"), nothing.alias("_row"),
+                 F.when(is_peak, F.col("_me")).alias("_peak"), nothing.alias("_row"),
                  nothing.alias("_next")),
         F.struct(F.col(start).alias("_t"), F.lit(1).alias("_place"), nothing.alias("_peak"),
                  F.col("_me").alias("_row"), F.col("_next").alias("_next")))))
-    points = with_slice(points.filter(F.col("_peak").isNotNull() | F.col("_row").isNotNull()),
-                        "_t", width)
+    points = points.filter(F.col("_peak").isNotNull() | F.col("_row").isNotNull())
     # The next peak after a point is the lowest one: peaks rise in start and end.
-    later = carry(points, keys, {"_p": F.min("_peak")}, {}, {"_p0": F.min("_p")})
+    line = carry(with_slice(points, hot, keys, "_t"), keys,
+                 {"_p": F.min("_peak")}, {}, {"_p0": F.min("_p")})
     ahead = within(keys, F.col("_t").desc(), F.col("_place").desc())
-    opened = F.coalesce(F.min("_peak").over(ahead), F.col("_p0"))
-    found = (points.join(later, [*keys, SLICE], "left")
-             .withColumn("_open", opened).filter(F.col("_row").isNotNull()))
+    found = (line.withColumn("_open", F.coalesce(F.min("_peak").over(ahead), F.col("_p0")))
+             .filter(F.col("_row").isNotNull()))
 
     other = F.when(F.col("_open.i") == F.col("_row.i"), F.col("_next")).otherwise(F.col("_open"))
     return (found.withColumn("_other", other)

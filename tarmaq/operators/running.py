@@ -1,13 +1,17 @@
 """Running values over time that stay spread out when one key is hot.
 
-A window partitioned by the key alone puts a key with a third of all rows into
-one task. Here each key is cut into time slices. Inside a slice an ordinary
-window runs; what a slice needs from the slices before (or after) it is one
-small row per (key, slice), carried across by a second window over those rows
-only. The big input is shuffled once, by (key, slice).
-
-Keys and timestamps are NOT NULL in the data model; rows where they are NULL
-keep their slice-local value.
+A window partitioned by a key puts all rows of the key into one task. That is
+fine for most keys, but not for one that holds a third of the table. So the
+hot keys - those with more rows than one task should sort - are cut into time
+slices of about that many rows. Inside a slice an ordinary window runs; what
+it needs from the slices before (or after) it is one small row per (key,
+slice), carried across by a second window over those rows only.
+
+Every other key is one slice (NULL) and needs nothing carried. The hot keys
+and their slices are a millionth of the table; Spark broadcasts them while
+they are below its threshold and shuffles otherwise.
+
+Keys and timestamps are NOT NULL in the data model.
 """
 
 from __future__ import annotations
@@ -16,27 +20,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
-DEFAULT_SLICE = "6 hours"
+ROWS_PER_SLICE = 1_000_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], first: str, last: str,
+             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Keys with more rows than a slice, their time span and number of slices."""
+    span = (F.col("_to") - F.col("_from")).cast("interval second").cast("bigint")
+    return (df.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_rows"), F.min(first).alias("_from"),
+                 F.max(last).alias("_to"))
+            .filter(F.col("_rows") > rows_per_slice)
+            .select(*keys, "_from", (span + 1).alias("_span"),
+                    F.ceil(F.col("_rows") / rows_per_slice).alias("_cuts")))
 
 
-def with_slice(df: DataFrame, ts: str, width: str = DEFAULT_SLICE) -> DataFrame:
-    """Add the start of the time slice the row falls into."""
-    return df.withColumn(SLICE, F.window(F.col(ts), width)["start"])
+def with_slice(df: DataFrame, hot: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Add the slice of each row: its share of the hot key's time span, else NULL."""
+    since = (F.col(ts) - F.col("_from")).cast("interval second").cast("bigint")
+    return (df.join(hot, keys, "left")
+            .withColumn(SLICE, F.floor(since * F.col("_cuts") / F.col("_span")))
+            .drop("_from", "_span", "_cuts"))
 
 
 def carry(sliced: DataFrame, keys: list[str], totals: dict[str, Column],
           earlier: dict[str, Column], later: dict[str, Column] | None = None) -> DataFrame:
-    """One row per (key, slice) with what the other slices of the key add up to.
+    """The sliced rows with what the other slices of their key add up to.
 
     ``totals`` are aggregates within a slice (folded map-side); ``earlier`` and
     ``later`` are aggregates of the totals over the slices before and after.
+    Rows of keys that are not sliced get NULLs.
     """
-    per_slice = sliced.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in totals.items()])
+    per_slice = (sliced.filter(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE)
+                 .agg(*[c.alias(n) for n, c in totals.items()]))
     span = (Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*span)
     after = Window.partitionBy(*keys).orderBy(F.desc(SLICE)).rowsBetween(*span)
-    return per_slice.select(*keys, SLICE, *[c.over(before).alias(n) for n, c in earlier.items()],
-                            *[c.over(after).alias(n) for n, c in (later or {}).items()])
+    carried = per_slice.select(
+        *keys, SLICE, *[c.over(before).alias(n) for n, c in earlier.items()],
+        *[c.over(after).alias(n) for n, c in (later or {}).items()])
+    return sliced.join(carried, [*keys, SLICE], "left")
 
 
 def within(keys: list[str], *order: Column):

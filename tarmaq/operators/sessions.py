@@ -6,25 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmaq.functions.scalars import plus_minutes
-from tarmaq.operators.running import DEFAULT_SLICE, SLICE, upto, with_slice
+from tarmaq.operators.running import ROWS_PER_SLICE, SLICE, hot_keys, upto, with_slice
+
+SLOT = "_slot"
 
 
 def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
-             width: str = DEFAULT_SLICE) -> DataFrame:
+             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """One row per session: a session goes on while gaps are at most ``idle``.
 
     Equal to a session window whose end is the last event plus the idle time,
-    but a busy user is spread over time slices and a long session is summed
+    but a hot user is spread over time slices and a long session is summed
     map-side.
     """
-    rows = with_slice(events.select(user, ts), ts, width)
+    plain = events.select(user, ts)
+    rows = with_slice(plain, hot_keys(plain, [user], ts, ts, rows_per_slice), [user], ts)
     seen = rows.withColumn("_prev", F.lag(ts).over(
         Window.partitionBy(user, SLICE).orderBy(ts)))
     opens_here = F.col(ts) > plus_minutes("_prev", idle_minutes)
 
     # Per slice: its first and last event and the last opening inside it. Whether
     # the first event opens a session too is known from the slice before.
-    per_slice = seen.groupBy(user, SLICE).agg(
+    per_slice = seen.filter(F.col(SLICE).isNotNull()).groupBy(user, SLICE).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"),
         F.max(F.when(opens_here, F.col(ts))).alias("_opened"))
     slices = Window.partitionBy(user).orderBy(SLICE)
@@ -35,7 +38,8 @@ def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
                   slices.rowsBetween(Window.unboundedPreceding, -1)))
               .select(user, SLICE, "_begin", "_carried"))
 
-    opening = F.when(F.col("_prev").isNull(), F.col("_begin")).when(opens_here, F.col(ts))
+    first_opens = F.when(F.col(SLICE).isNull(), F.col(ts)).otherwise(F.col("_begin"))
+    opening = F.when(F.col("_prev").isNull(), first_opens).when(opens_here, F.col(ts))
     started = (seen.join(linked, [user, SLICE], "left").withColumn("_opening", opening)
                .withColumn("session_start", F.coalesce(
                    F.max("_opening").over(upto([user], F.col(ts))), F.col("_carried"))))
@@ -45,26 +49,30 @@ def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
                     plus_minutes("_last", idle_minutes).alias("session_end"), "requests"))
 
 
+def with_slot(df: DataFrame, ts: str, minutes: int) -> DataFrame:
+    """Add the start of the fixed time slot the row falls into."""
+    return df.withColumn(SLOT, F.window(F.col(ts), f"{minutes} minutes")["start"])
+
+
 def lapsed(holds: DataFrame, payments: DataFrame, user: str, ts: str,
            ttl_minutes: int) -> DataFrame:
     """Flag ``paid`` on every hold: same user, payment within [ts, ts + ttl].
 
-    Time is cut into slices as wide as the limit. A payment that counts lies in
-    the hold's own slice (then the latest payment there is not before the hold)
+    Time is cut into slots as wide as the limit. A payment that counts lies in
+    the hold's own slot (then the latest payment there is not before the hold)
     or in the next one (then the earliest payment there is within the limit).
-    So two timestamps per (user, slice) decide every hold; no pairs are formed.
+    So two timestamps per (user, slot) decide every hold; no pairs are formed.
     """
-    width = f"{ttl_minutes} minutes"
-    paid = with_slice(payments.select(user, ts), ts, width)
-    bounds = paid.groupBy(user, SLICE).agg(F.max(ts).alias("_last"), F.min(ts).alias("_first"))
-    back = plus_minutes(SLICE, -ttl_minutes)
+    paid = with_slot(payments.select(user, ts), ts, ttl_minutes)
+    bounds = paid.groupBy(user, SLOT).agg(F.max(ts).alias("_last"), F.min(ts).alias("_first"))
     nothing = F.lit(None).cast(payments.schema[ts].dataType)
     sides = bounds.select(user, F.inline(F.array(
-        F.struct(F.col(SLICE), F.col("_last"), nothing.alias("_first")),
-        F.struct(back.alias(SLICE), nothing.alias("_last"), F.col("_first")))))
-    decisive = sides.groupBy(user, SLICE).agg(F.max("_last").alias("_last"),
-                                              F.min("_first").alias("_first"))
+        F.struct(F.col(SLOT), F.col("_last"), nothing.alias("_first")),
+        F.struct(plus_minutes(SLOT, -ttl_minutes).alias(SLOT), nothing.alias("_last"),
+                 F.col("_first")))))
+    decisive = sides.groupBy(user, SLOT).agg(F.max("_last").alias("_last"),
+                                             F.min("_first").alias("_first"))
     in_time = (F.coalesce(F.col("_last") >= F.col(ts), F.lit(False))
                | F.coalesce(F.col("_first") <= plus_minutes(ts, ttl_minutes), F.lit(False)))
-    return (with_slice(holds, ts, width).join(decisive, [user, SLICE], "left")
-            .withColumn("paid", in_time).drop(SLICE, "_last", "_first"))
+    return (with_slot(holds, ts, ttl_minutes).join(decisive, [user, SLOT], "left")
+            .withColumn("paid", in_time).drop(SLOT, "_last", "_first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmaq.operators.running import SLICE, with_slice
+from tarmaq.operators.sessions import SLOT, with_slot
 from tarmaq.streaming import event_time
 
 
@@ -14,22 +14,21 @@ def lapsed_holds(holds: DataFrame, payments: DataFrame, user: str, hold_id: str,
     """Holds for which no payment arrives in [ts, ts + ttl], once that is certain.
 
     A stream-stream left outer join; state on both sides is dropped by the
-    watermark. Besides the user the join key has a time slice as wide as the
+    watermark. Besides the user the join key has a time slot as wide as the
     limit, so a busy user is spread over many state partitions: a payment is
-    put into its own slice and the one before, the only two that can hold its
-    hold. Per (user, slice) only the distinct payment instants matter.
+    put into its own slot and the one before, the only two that can hold its
+    hold. Per (user, slot) only the distinct payment instants matter.
     """
-    width = f"{ttl_minutes} minutes"
     limit = F.expr(f"INTERVAL {ttl_minutes} MINUTES")
-    held = with_slice(event_time(holds.select(hold_id, user, ts), ts, delay), ts, width)
+    held = with_slot(event_time(holds.select(hold_id, user, ts), ts, delay), ts, ttl_minutes)
     paid = event_time(payments.select(F.col(user).alias("_payer"), F.col(ts).alias("_paid_at")),
                       "_paid_at", delay)
-    sliced = with_slice(paid, "_paid_at", width)
-    spread = sliced.select("_payer", "_paid_at", F.explode(
-        F.array(F.col(SLICE), F.col(SLICE) - limit)).alias("_pay_slice"))
+    slotted = with_slot(paid, "_paid_at", ttl_minutes)
+    spread = slotted.select("_payer", "_paid_at", F.explode(
+        F.array(F.col(SLOT), F.col(SLOT) - limit)).alias("_pay_slot"))
     matched = held.join(
         spread,
-        (F.col(user) == F.col("_payer")) & (F.col(SLICE) == F.col("_pay_slice"))
+        (F.col(user) == F.col("_payer")) & (F.col(SLOT) == F.col("_pay_slot"))
         & (F.col("_paid_at") >= F.col(ts)) & (F.col("_paid_at") <= F.col(ts) + limit),
         "left_outer")
     return matched.filter(F.col("_payer").isNull()).select(
