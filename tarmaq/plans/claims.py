@@ -16,7 +16,7 @@ no flight is ever gathered into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmaq.session import cut_lineage
@@ -67,18 +67,21 @@ def claim_all_or_nothing(requests: DataFrame, seats: DataFrame | None = None) ->
 
 
 def _round(wants: DataFrame) -> DataFrame:
-    """Mark every open want accepted, rejected or open."""
+    """Mark every open want accepted, rejected or open.
+
+    Windows run over one order, which holds no more than the seats of a plane.
+    """
+    order = Window.partitionBy("order_id")
     earliest = wants.groupBy(*SEAT).agg(F.min("_rank").alias("_first"))
-    leading = wants.join(earliest, SEAT).withColumn("_leads", F.col("_rank") == F.col("_first"))
-    won = (leading.groupBy("order_id").agg(F.bool_and("_leads").alias("_won"))
-           .filter("_won").select("order_id"))
-    taken = wants.join(won, "order_id", "left_semi").select(*SEAT)
-    touched = wants.join(taken, SEAT, "left_semi").select("order_id").distinct()
-    return (wants.join(won.withColumn("_won", F.lit(True)), "order_id", "left")
-            .join(touched.withColumn("_lost", F.lit(True)), "order_id", "left")
+    led = (wants.join(earliest, SEAT)
+           .withColumn("_won", F.bool_and(F.col("_rank") == F.col("_first")).over(order))
+           .drop("_first"))
+    taken = led.filter("_won").select(*SEAT, F.lit(True).alias("_hit"))
+    lost = F.bool_or(F.coalesce("_hit", F.lit(False))).over(order)
+    return (led.join(taken, SEAT, "left").withColumn("_lost", lost)
             .withColumn("_state", F.when(F.col("_won"), "accepted")
                         .when(F.col("_lost"), "rejected").otherwise("open"))
-            .drop("_won", "_lost"))
+            .drop("_won", "_lost", "_hit"))
 
 
 def apply_claims(seats: DataFrame, requests: DataFrame, decided: DataFrame) -> DataFrame:
