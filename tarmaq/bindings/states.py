@@ -243,7 +243,7 @@ def derive_order_completed(spark, sf):
     return X.derive_order_completed(sales, refreshed).select("order_id", "order_status")
 
 
-@query("sessionize", """
+SESSIONS = """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
                                          + INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS opens
            FROM events),
@@ -252,6 +252,9 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
        strftime(max(ts) + INTERVAL 60 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
        count(*) AS requests
-FROM s GROUP BY user_id, n""")
+FROM s GROUP BY user_id, n"""
+
+
+@query("sessionize", SESSIONS)
 def sessionize(spark, sf):
     return sessions(events(spark, sf), "user_id", "ts", P.SESSION_IDLE_MINUTES)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarmaq import params as P
 from tarmaq.bindings import query
-from tarmaq.bindings.states import CLAIMS
+from tarmaq.bindings.states import CLAIMS, SESSIONS
 from tarmaq.bindings.views import EVENT_SCHEMA, HOLD_TTL, events, seat_requests
 from tarmaq.plans.claims import SEAT
 from tarmaq.streaming import drain, read_files
@@ -29,14 +29,26 @@ def stream_tumbling_counts(spark, sf):
                           "tumbling")
 
 
-@query("stream_expire_holds")
+# What the watermark has settled: one hour behind the slower of the two sides.
+@query("stream_expire_holds", f"""
+WITH w AS (
+  SELECT least(max(ts) FILTER (WHERE event_type = 'view'),
+               max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL 1 HOUR AS mark
+  FROM events)
+SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS held_at FROM events v, w
+WHERE event_type = 'view' AND ts <= mark - to_minutes({HOLD_TTL})
+  AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase'
+                  AND p.user_id = v.user_id AND p.ts >= v.ts
+                  AND p.ts <= v.ts + to_minutes({HOLD_TTL}))""")
 def stream_expire_holds(spark, sf):
-    """Holds whose lapse the watermark has settled."""
     return drain(lapsed_holds(_stream(spark, sf, "view"), _stream(spark, sf, "purchase"),
                               "user_id", "event_id", "ts", HOLD_TTL), "holds")
 
 
-@query("stream_sessions")
+@query("stream_sessions", f"""
+SELECT * FROM ({SESSIONS})
+WHERE session_end <= (SELECT strftime(max(ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f')
+                      FROM events)""")
 def stream_session_windows(spark, sf):
     return drain(stream_sessions(_stream(spark, sf), "user_id", "ts", P.SESSION_IDLE_MINUTES),
                  "sessions")
