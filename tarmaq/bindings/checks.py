@@ -102,7 +102,7 @@ def eligible_crew(spark, sf):
              .withColumnRenamed("l_orderkey", "flight_id").distinct())
     crew = scan(spark, sf, "supplier", ["s_suppkey", "s_acctbal"]).select(
         F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") > 0).alias("trained"))
-    return C.check_assignments(links, _timed(spark, sf), crew, "l_suppkey", "trained")
+    return C.check_assignments(links, _timed(spark, sf), crew, ["l_suppkey"], "trained")
 
 
 @query("eligible_planes", _eligible(
@@ -114,7 +114,7 @@ def eligible_planes(spark, sf):
              .withColumnRenamed("l_orderkey", "flight_id").distinct())
     planes = scan(spark, sf, "part", ["p_partkey", "p_type"]).select(
         F.col("p_partkey").alias("l_partkey"), (F.col("p_type") == "LARGE").alias("large"))
-    return C.check_assignments(links, _timed(spark, sf), planes, "l_partkey", "large")
+    return C.check_assignments(links, _timed(spark, sf), planes, ["l_partkey"], "large")
 
 
 @query("crew_size_violations", f"""

@@ -1,7 +1,8 @@
 """Whole flows put together from the operators.
 
 Each takes the sixteen tables (a dict of DataFrames) and an ``as_of`` and stays
-one lazy plan per result, except for the seat claims, which work in rounds.
+one lazy plan per result, except where a checkpoint is needed (seat claims work
+in rounds; the violations of a schedule are used three times).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from tarmaq import params as P
 from tarmaq.functions.scalars import moment, percent
 from tarmaq.operators.relations import not_existing, upsert
 from tarmaq.plans import claims, datasets, reports, scheduling, seating, transitions
+from tarmaq.session import cut_lineage
 
 Tables = dict[str, DataFrame]
 
@@ -99,7 +101,8 @@ def schedule(t: Tables, proposals: Tables) -> Tables:
         timed, t["plane"], t["cabin_class"], merged["pricing"], t["pilot"], t["attendant"],
         merged["pilot_flight"], merged["attendant_flight"])
     new = proposals["flight"]
-    violations = found.join(new.select("flight_id"), "flight_id", "left_semi")
+    # Written once: the accepted flights and their seats depend on it as well.
+    violations = cut_lineage(found.join(new.select("flight_id"), "flight_id", "left_semi"))
     accepted = not_existing(new, violations, ["flight_id"])
     return {"violations": violations, "flight": accepted,
             "seat": seating.seats_from_layout(accepted, t["cabin_class"], t["seat"])}

@@ -31,21 +31,22 @@ def open_flights(flights: DataFrame) -> DataFrame:
     return flights.filter(F.col("flight_status").isin(*P.OPEN_FLIGHT))
 
 
-def check_assignments(links: DataFrame, flights: DataFrame, pool: DataFrame, member: str,
+def check_assignments(links: DataFrame, flights: DataFrame, pool: DataFrame, member: list[str],
                       qualified: str) -> DataFrame:
     """Whether each linked crew member (or plane) may serve its flight.
 
     Long flights need a qualified member (trained crew, a large plane), and the
     member must not serve another open flight at the same time. ``flights``:
-    flight_id, minutes, start_ts, end_ts, open flights only.
+    flight_id, minutes, start_ts, end_ts, open flights only. ``member`` are the
+    columns that identify a member in ``links`` and ``pool``.
     """
     served = links.join(flights.select("flight_id", "minutes", "start_ts", "end_ts"), "flight_id")
-    counted = self_clash_counts(served, [member], "start_ts", "end_ts", "flight_id",
+    counted = self_clash_counts(served, member, "start_ts", "end_ts", "flight_id",
                                 keep=("minutes",))
-    return (counted.join(pool.select(member, F.col(qualified).alias("_qualified")), member)
+    return (counted.join(pool.select(*member, F.col(qualified).alias("_qualified")), member)
             .withColumn("qualified", ~is_long() | F.col("_qualified"))
             .withColumn("eligible", F.col("qualified") & (F.col("clashes") == 0))
-            .select("flight_id", member, "qualified", "clashes", "eligible"))
+            .select("flight_id", *member, "qualified", "clashes", "eligible"))
 
 
 def available_for(pool: DataFrame, links: DataFrame, flights: DataFrame, member: str,
@@ -104,32 +105,34 @@ def schedule_violations(flights: DataFrame, planes: DataFrame, cabins: DataFrame
     ``flights`` are timed flights (see ``timed``).
     """
     running = open_flights(flights)
-    found = []
-
-    def add(df, rule, subject):
-        found.append(df.select("flight_id", F.lit(rule).alias("rule"),
-                               F.col(subject).cast("string").alias("subject")))
-
-    large = planes.withColumn("large", F.col("plane_size") == "Large")
-    by_plane = check_assignments(running.select("flight_id", "plane_id"), running, large,
-                                 "plane_id", "large")
-    crew = [("pilot", pilots, pilot_links), ("attendant", attendants, attendant_links)]
-    checks = [("plane", by_plane, "plane_id")]
-    for role, pool, links in crew:
-        checks.append((role, check_assignments(links, running, pool, "employee_id",
-                                               "long_flight_training"), "employee_id"))
-    for role, checked, member in checks:
-        add(checked.filter(~F.col("qualified")), f"{role} not fit for a long flight", member)
-        add(checked.filter(F.col("clashes") > 0), f"{role} has an overlapping flight", member)
-    roles = (pilot_links.withColumn("role", F.lit("pilot"))
-             .unionByName(attendant_links.withColumn("role", F.lit("attendant"))))
-    add(crew_size_violations(running, roles), "crew size", "role")
+
+    def members(df, role, ident, *columns):
+        return df.select(F.lit(role).alias("role"), F.col(ident).alias("member"), *columns)
+
+    # Planes and crews are checked in one sweep, keyed by role and member.
+    trained = F.col("long_flight_training").alias("fit")
+    pool = (members(planes, "plane", "plane_id", (F.col("plane_size") == "Large").alias("fit"))
+            .unionByName(members(pilots, "pilot", "employee_id", trained))
+            .unionByName(members(attendants, "attendant", "employee_id", trained)))
+    crew = (members(pilot_links, "pilot", "employee_id", "flight_id")
+            .unionByName(members(attendant_links, "attendant", "employee_id", "flight_id")))
+    links = crew.unionByName(members(running, "plane", "plane_id", "flight_id"))
+    checked = check_assignments(links, running, pool, ["role", "member"], "fit")
+    broken = F.array(
+        F.when(~F.col("qualified"), F.concat("role", F.lit(" not fit for a long flight"))),
+        F.when(F.col("clashes") > 0, F.concat("role", F.lit(" has an overlapping flight"))))
+    assigned = (checked.select("flight_id", F.explode(F.array_compact(broken)).alias("rule"),
+                               F.col("member").alias("subject")))
+
+    heads = crew_size_violations(running, crew.withColumnRenamed("member", "employee_id"))
     sold = running.select("flight_id", "plane_id").join(cabins, "plane_id")
-    add(missing_prices(sold, prices, ("flight_id", "plane_id", "class_type")),
-        "cabin without a price", "class_type")
-    add(running.join(planes_without_economy(planes, cabins).select("plane_id"), "plane_id",
-                     "left_semi"), "plane without Economy", "plane_id")
-    merged = found[0]
-    for part in found[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    unpriced = missing_prices(sold, prices, ("flight_id", "plane_id", "class_type"))
+    bare = running.join(planes_without_economy(planes, cabins).select("plane_id"), "plane_id",
+                        "left_semi")
+
+    def rule(df, name, subject):
+        return df.select("flight_id", F.lit(name).alias("rule"), F.col(subject).alias("subject"))
+
+    return (assigned.unionByName(rule(heads, "crew size", "role"))
+            .unionByName(rule(unpriced, "cabin without a price", "class_type"))
+            .unionByName(rule(bare, "plane without Economy", "plane_id")))

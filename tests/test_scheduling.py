@@ -61,7 +61,7 @@ def test_assignments(spark):
                                    ("C", "z")], "flight_id string, employee_id string")
     pool = spark.createDataFrame([("x", False), ("y", True), ("z", False)],
                                  "employee_id string, long_flight_training boolean")
-    checked = C.check_assignments(links, C.open_flights(flights), pool, "employee_id",
+    checked = C.check_assignments(links, C.open_flights(flights), pool, ["employee_id"],
                                   "long_flight_training")
     got = {(r.flight_id, r.employee_id): (r.qualified, r.clashes, r.eligible)
            for r in checked.collect()}
