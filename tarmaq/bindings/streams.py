@@ -29,14 +29,16 @@ def stream_tumbling_counts(spark, sf):
                           "tumbling")
 
 
-# What the watermark has settled: one hour behind the slower of the two sides.
+# What the watermark has settled: one hour behind the slower of the two sides it
+# has passed the hold's own slot and the next.
 @query("stream_expire_holds", f"""
 WITH w AS (
   SELECT least(max(ts) FILTER (WHERE event_type = 'view'),
                max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL 1 HOUR AS mark
   FROM events)
 SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS held_at FROM events v, w
-WHERE event_type = 'view' AND ts <= mark - to_minutes({HOLD_TTL})
+WHERE event_type = 'view'
+  AND time_bucket(to_minutes({HOLD_TTL}), ts) + to_minutes(2 * {HOLD_TTL}) <= mark
   AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase'
                   AND p.user_id = v.user_id AND p.ts >= v.ts
                   AND p.ts <= v.ts + to_minutes({HOLD_TTL}))""")
