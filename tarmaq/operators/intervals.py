@@ -68,9 +68,9 @@ def _end_points(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
                      F.inline(F.when(empty, instant).otherwise(ordinary)))
 
 
-def _sweep(points: DataFrame, hot: DataFrame, keys: list[str], id_col: str, out: str,
+def _sweep(points: DataFrame, hot: DataFrame | None, keys: list[str], id_col: str, out: str,
            keep: tuple[str, ...] = ()) -> DataFrame:
-    line = carry(with_slice(points, hot, keys, "_t"), keys,
+    line = carry(with_slice(points, hot, keys, "_t"), hot, keys,
                  {"_s": F.sum("_starts"), "_e": F.sum("_ends")},
                  {"_s0": F.sum("_s"), "_e0": F.sum("_e")})
     here = upto(keys, F.col("_t"), F.col("_place"))
@@ -89,7 +89,7 @@ def clashes_with_earlier(df: DataFrame, keys: list[str], start: str, end: str, i
                          rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Flag rows that begin while an earlier-starting interval is still open."""
     hot = hot_keys(df, keys, start, end, rows_per_slice)
-    line = carry(with_slice(df, hot, keys, start), keys,
+    line = carry(with_slice(df, hot, keys, start), hot, keys,
                  {"_m": F.max(end)}, {"_m0": F.max("_m")})
     before = within(keys, F.col(start), F.col(end), F.col(id_col))
     open_until = F.greatest(F.col("_m0"), F.max(end).over(before))
@@ -112,7 +112,7 @@ def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
     order = (F.col(start), F.col(end), F.col(id_col))
     me = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("i"))
 
-    line = carry(with_slice(df.withColumn("_me", me), hot, keys, start), keys,
+    line = carry(with_slice(df.withColumn("_me", me), hot, keys, start), hot, keys,
                  {"_m": F.max(end), "_f": F.min("_me")}, {"_m0": F.max("_m")}, {"_f0": F.min("_f")})
     next_here = F.lead("_me").over(Window.partitionBy(*keys, SLICE).orderBy(*order))
     walked = (line.withColumns({
@@ -129,7 +129,7 @@ def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
                  F.col("_me").alias("_row"), F.col("_next").alias("_next")))))
     points = points.filter(F.col("_peak").isNotNull() | F.col("_row").isNotNull())
     # The next peak after a point is the lowest one: peaks rise in start and end.
-    line = carry(with_slice(points, hot, keys, "_t"), keys,
+    line = carry(with_slice(points, hot, keys, "_t"), hot, keys,
                  {"_p": F.min("_peak")}, {}, {"_p0": F.min("_p")})
     ahead = within(keys, F.col("_t").desc(), F.col("_place").desc())
     found = (line.withColumn("_open", F.coalesce(F.min("_peak").over(ahead), F.col("_p0")))

@@ -8,8 +8,9 @@ it needs from the slices before (or after) it is one small row per (key,
 slice), carried across by a second window over those rows only.
 
 Every other key is one slice (NULL) and needs nothing carried. The hot keys
-and their slices are a millionth of the table; Spark broadcasts them while
-they are below its threshold and shuffles otherwise.
+are found first and kept as a small table, at most one row per million; Spark
+broadcasts it below its threshold and shuffles otherwise. When no key is hot,
+the plan is the plain window.
 
 Keys and timestamps are NOT NULL in the data model.
 """
@@ -19,31 +20,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmaq.session import small_table
+
 SLICE = "_slice"
 ROWS_PER_SLICE = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], first: str, last: str,
-             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
     """Keys with more rows than a slice, their time span and number of slices."""
     span = (F.col("_to") - F.col("_from")).cast("interval second").cast("bigint")
-    return (df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_rows"), F.min(first).alias("_from"),
-                 F.max(last).alias("_to"))
-            .filter(F.col("_rows") > rows_per_slice)
-            .select(*keys, "_from", (span + 1).alias("_span"),
-                    F.ceil(F.col("_rows") / rows_per_slice).alias("_cuts")))
+    sized = (df.groupBy(*keys)
+             .agg(F.count(F.lit(1)).alias("_rows"), F.min(first).alias("_from"),
+                  F.max(last).alias("_to"))
+             .filter(F.col("_rows") > rows_per_slice))
+    return small_table(sized.select(
+        *keys, "_from", (span + 1).alias("_span"),
+        F.ceil(F.col("_rows") / rows_per_slice).alias("_cuts")), "hot-keys")
 
 
-def with_slice(df: DataFrame, hot: DataFrame, keys: list[str], ts: str) -> DataFrame:
+def with_slice(df: DataFrame, hot: DataFrame | None, keys: list[str], ts: str) -> DataFrame:
     """Add the slice of each row: its share of the hot key's time span, else NULL."""
+    if hot is None:
+        return df.withColumn(SLICE, F.lit(None).cast("bigint"))
     since = (F.col(ts) - F.col("_from")).cast("interval second").cast("bigint")
     return (df.join(hot, keys, "left")
             .withColumn(SLICE, F.floor(since * F.col("_cuts") / F.col("_span")))
             .drop("_from", "_span", "_cuts"))
 
 
-def carry(sliced: DataFrame, keys: list[str], totals: dict[str, Column],
+def carry(sliced: DataFrame, hot: DataFrame | None, keys: list[str], totals: dict[str, Column],
           earlier: dict[str, Column], later: dict[str, Column] | None = None) -> DataFrame:
     """The sliced rows with what the other slices of their key add up to.
 
@@ -51,6 +57,8 @@ def carry(sliced: DataFrame, keys: list[str], totals: dict[str, Column],
     ``later`` are aggregates of the totals over the slices before and after.
     Rows of keys that are not sliced get NULLs.
     """
+    if hot is None:
+        return sliced.withColumns({n: F.lit(None) for n in [*earlier, *(later or {})]})
     per_slice = (sliced.filter(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE)
                  .agg(*[c.alias(n) for n, c in totals.items()]))
     span = (Window.unboundedPreceding, -1)

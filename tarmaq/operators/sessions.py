@@ -20,11 +20,29 @@ def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
     map-side.
     """
     plain = events.select(user, ts)
-    rows = with_slice(plain, hot_keys(plain, [user], ts, ts, rows_per_slice), [user], ts)
+    hot = hot_keys(plain, [user], ts, ts, rows_per_slice)
+    rows = with_slice(plain, hot, [user], ts)
     seen = rows.withColumn("_prev", F.lag(ts).over(
         Window.partitionBy(user, SLICE).orderBy(ts)))
     opens_here = F.col(ts) > plus_minutes("_prev", idle_minutes)
 
+    first_opens = F.when(F.col(SLICE).isNull(), F.col(ts)).otherwise(F.col("_begin"))
+    opening = F.when(F.col("_prev").isNull(), first_opens).when(opens_here, F.col(ts))
+    started = (_linked(seen, hot, user, ts, opens_here, idle_minutes)
+               .withColumn("_opening", opening)
+               .withColumn("session_start", F.coalesce(
+                   F.max("_opening").over(upto([user], F.col(ts))), F.col("_carried"))))
+    return (started.groupBy(user, "session_start")
+            .agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("requests"))
+            .select(user, "session_start",
+                    plus_minutes("_last", idle_minutes).alias("session_end"), "requests"))
+
+
+def _linked(seen: DataFrame, hot: DataFrame | None, user: str, ts: str, opens_here,
+            idle_minutes: int) -> DataFrame:
+    """What a slice needs to know from the slices before it."""
+    if hot is None:
+        return seen.withColumns({"_begin": F.lit(None), "_carried": F.lit(None)})
     # Per slice: its first and last event and the last opening inside it. Whether
     # the first event opens a session too is known from the slice before.
     per_slice = seen.filter(F.col(SLICE).isNotNull()).groupBy(user, SLICE).agg(
@@ -37,16 +55,7 @@ def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
               .withColumn("_carried", F.max(F.coalesce("_opened", "_begin")).over(
                   slices.rowsBetween(Window.unboundedPreceding, -1)))
               .select(user, SLICE, "_begin", "_carried"))
-
-    first_opens = F.when(F.col(SLICE).isNull(), F.col(ts)).otherwise(F.col("_begin"))
-    opening = F.when(F.col("_prev").isNull(), first_opens).when(opens_here, F.col(ts))
-    started = (seen.join(linked, [user, SLICE], "left").withColumn("_opening", opening)
-               .withColumn("session_start", F.coalesce(
-                   F.max("_opening").over(upto([user], F.col(ts))), F.col("_carried"))))
-    return (started.groupBy(user, "session_start")
-            .agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("requests"))
-            .select(user, "session_start",
-                    plus_minutes("_last", idle_minutes).alias("session_end"), "requests"))
+    return seen.join(linked, [user, SLICE], "left")
 
 
 def with_slot(df: DataFrame, ts: str, minutes: int) -> DataFrame:

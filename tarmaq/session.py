@@ -64,3 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def small_table(df: DataFrame, purpose: str) -> DataFrame | None:
+    """A small result, computed once and read back; None when it is empty.
+
+    Read from files its true size is known when a join with it is planned: it
+    is broadcast below Spark's threshold and shuffled beyond.
+    """
+    path = run_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return None if table.isEmpty() else table
