@@ -101,7 +101,7 @@ def confirm_payment(spark, sf):
                 .select(F.col("user_id").alias("order_id"), F.col("ts").alias("paid_at"))
                 .join(holds.select("order_id", F.col("date_of_purchase").alias("_held")), "order_id")
                 .filter(F.col("paid_at") >= F.col("_held")).drop("_held"))
-    return X.confirm_payment(holds, payments)[0].select("order_id", "order_status",
+    return X.confirm_payment(holds, payments, None)[0].select("order_id", "order_status",
                                                         "date_of_purchase")
 
 

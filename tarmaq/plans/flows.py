@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmaq import params as P
-from tarmaq.functions.scalars import moment, percent
+from tarmaq.functions.scalars import clean_email, moment, percent
 from tarmaq.operators.relations import not_existing, upsert
 from tarmaq.plans import claims, datasets, reports, scheduling, seating, transitions
 from tarmaq.session import cut_lineage
@@ -72,7 +72,7 @@ def book(t: Tables, requests: DataFrame, payments: DataFrame, as_of: str) -> Tab
               .withColumn("order_status", F.when(F.col("accepted"), P.PENDING)
                           .otherwise(P.BY_SYSTEM)))
     booked = orders.unionByName(placed.select(*orders.columns))
-    confirmed, rejected = transitions.confirm_payment(booked, payments)
+    confirmed, rejected = transitions.confirm_payment(booked, payments, P.HOLD_MINUTES)
     return {"orders": confirmed, "seat": claims.apply_claims(seats, requests, decided),
             "rejected_payments": rejected}
 
@@ -108,6 +108,23 @@ def schedule(t: Tables, proposals: Tables) -> Tables:
             "seat": seating.seats_from_layout(accepted, t["cabin_class"], t["seat"])}
 
 
+def cancel_orders(t: Tables, requests: DataFrame, as_of: str) -> Tables:
+    """Customers cancel their orders (order_id, email): decisions and new tables.
+
+    A request counts when the e-mail is the order's owner, whatever its case.
+    """
+    flights = transitions.refresh_status(t["flight"], as_of)
+    asked = requests.select("order_id", clean_email("email").alias("_email")).distinct()
+    owner = clean_email(F.coalesce("guest_email", "reg_customer_email"))
+    mine = t["orders"].join(asked, "order_id").filter(owner == F.col("_email"))
+    timed = mine.join(flights.select("flight_id", "takeoff_ts"), "flight_id")
+    lines = datasets.order_lines(t["seat"], t["pricing"])
+    decided = transitions.cancel_decisions(datasets.order_totals(timed, lines), as_of).select(
+        "order_id", "decision", "total", "fee", "refund")
+    orders, seats = transitions.apply_customer_cancel(t["orders"], t["seat"], decided)
+    return {"decisions": decided, "orders": orders, "seat": seats}
+
+
 def cancel_requests(t: Tables, requests: DataFrame, as_of: str) -> Tables:
     """Flight cancellations asked for by managers: decisions, refunds, new tables."""
     flights = transitions.refresh_status(t["flight"], as_of)

@@ -38,21 +38,26 @@ def expire_holds(orders: DataFrame, seats: DataFrame, as_of: str,
             release(seats, orders.filter(expired).select("order_id"), "order_id"))
 
 
-def confirm_payment(orders: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pending orders with a payment become Active at the time of the first one.
+def confirm_payment(orders: DataFrame, payments: DataFrame,
+                    ttl_minutes: int | None = P.HOLD_MINUTES) -> tuple[DataFrame, DataFrame]:
+    """Pending orders with a payment in time become Active at the time of the first one.
 
-    Second result: payments that found no pending order.
+    A payment after the hold has lapsed does not count (None: holds do not
+    lapse). Second result: payments that confirmed nothing, because the order
+    was not pending, the hold had lapsed, or an earlier payment had done it.
     """
     first = payments.groupBy("order_id").agg(F.min("paid_at").alias("_paid"))
-    pays = (F.col("order_status") == P.PENDING) & F.col("_paid").isNotNull()
-    confirmed = (orders.join(first, "order_id", "left")
-                 .withColumns({
-                     "date_of_purchase": F.when(pays, F.col("_paid"))
-                     .otherwise(F.col("date_of_purchase")),
-                     "order_status": F.when(pays, P.ACTIVE).otherwise(F.col("order_status"))})
-                 .select(*orders.columns))
-    pending = orders.filter(F.col("order_status") == P.PENDING).select("order_id")
-    return confirmed, payments.join(pending, "order_id", "left_anti")
+    in_time = F.lit(True) if ttl_minutes is None else (
+        F.col("_paid") <= plus_minutes("date_of_purchase", ttl_minutes))
+    pays = (F.col("order_status") == P.PENDING) & F.col("_paid").isNotNull() & in_time
+    matched = orders.join(first, "order_id", "left").withColumn("_pays", pays)
+    confirmed = (matched.withColumns({
+        "date_of_purchase": F.when(F.col("_pays"), F.col("_paid"))
+        .otherwise(F.col("date_of_purchase")),
+        "order_status": F.when(F.col("_pays"), P.ACTIVE).otherwise(F.col("order_status"))})
+        .select(*orders.columns))
+    used = matched.filter("_pays").select("order_id", F.col("_paid").alias("paid_at"))
+    return confirmed, payments.join(used, ["order_id", "paid_at"], "left_anti")
 
 
 def cancel_decisions(orders: DataFrame, as_of: str, hours: int = P.CUSTOMER_CANCEL_HOURS,

@@ -110,6 +110,22 @@ def test_cancel_requests(air, spark):
     assert fact.agg({"seat_cnt": "sum"}).collect()[0][0] == 744  # F1030 has no prices
 
 
+def test_cancel_orders(air, spark):
+    owner = {r.order_id: r.guest_email or r.reg_customer_email for r in air["orders"].collect()}
+    held = air["orders"].filter("order_status = 'Active'").collect()
+    early = next(r.order_id for r in held if r.flight_id == "F1007")
+    late = next(r.order_id for r in held if r.flight_id == "F1005")
+    asks = spark.createDataFrame(
+        [(early, f" {owner[early].upper()} "), (late, owner[late]), ("O0001", owner["O0001"]),
+         ("O0002", "stranger@example.org")], "order_id string, email string")
+    after = flows.cancel_orders(air, asks, AS_OF)
+    assert {r.order_id: (r.decision, r.fee, r.refund) for r in after["decisions"].collect()} == {
+        early: ("accepted", D("86.00"), D("1634.00")), late: ("too_late", D("0.00"), D("0.00")),
+        "O0001": ("not_active", D("0.00"), D("0.00"))}
+    assert after["seat"].filter("order_id is not null").count() == 753 - 4
+    assert after["orders"].filter("order_status = 'Cancelled by customer'").count() == 14
+
+
 def test_jobs(air, spark, tmp_path):
     store, out = str(tmp_path / "store"), str(tmp_path / "out")
     for name, df in air.items():

@@ -54,15 +54,19 @@ def test_holds_lapse_strictly_after_fifteen_minutes(spark):
 
 
 def test_confirm_payment(spark, rows):
-    orders = spark.createDataFrame([("a", "F", before(5), "Pending"), ("b", "F", before(5), "Active"),
-                                    ("c", "F", before(5), "Pending")], ORDER)
-    payments = spark.createDataFrame([("a", before(1)), ("a", before(2)), ("b", before(1)),
-                                      ("gone", before(1))],
-                                     "order_id string, paid_at timestamp_ntz")
+    orders = spark.createDataFrame(
+        [("a", "F", before(5), "Pending"), ("b", "F", before(5), "Active"),
+         ("c", "F", before(5), "Pending"), ("edge", "F", before(20), "Pending"),
+         ("late", "F", before(20), "Pending")], ORDER)
+    payments = spark.createDataFrame(
+        [("a", before(1)), ("a", before(2)), ("b", before(1)), ("gone", before(1)),
+         ("edge", before(5)), ("late", before(4))], "order_id string, paid_at timestamp_ntz")
     confirmed, rejected = X.confirm_payment(orders, payments)
     assert {(r.order_id, r.order_status, r.date_of_purchase) for r in confirmed.collect()} == {
-        ("a", "Active", before(2)), ("b", "Active", before(5)), ("c", "Pending", before(5))}
-    assert {r.order_id for r in rejected.collect()} == {"b", "gone"}
+        ("a", "Active", before(2)), ("b", "Active", before(5)), ("c", "Pending", before(5)),
+        ("edge", "Active", before(5)), ("late", "Pending", before(20))}
+    assert {(r.order_id, r.paid_at) for r in rejected.collect()} == {
+        ("a", before(1)), ("b", before(1)), ("gone", before(1)), ("late", before(4))}
 
 
 def test_customer_cancel_needs_more_than_36_hours(spark):
