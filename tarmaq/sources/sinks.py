@@ -27,3 +27,14 @@ def write_report(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
     writer = df.coalesce(1).write.mode("overwrite").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(target)
     return target
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Store a fact bucketed by its join key.
+
+    Tables bucketed alike (flights, orders, seats and prices by flight, say)
+    join and aggregate on that key without a shuffle.
+    """
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)

@@ -69,3 +69,18 @@ def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert session.shared_dir(spark) == named
     assert session.run_dir(spark, "x").startswith(named)
+
+
+def test_bucketed_facts_join_without_a_shuffle(air, spark, tmp_path):
+    stored = {name: sinks.write_bucketed(air[name], f"bucketed_{name}", str(tmp_path / name),
+                                         "flight_id", 4) for name in ("flight", "seat")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = stored["seat"].join(stored["flight"].select("flight_id", "flight_status"),
+                                     "flight_id").groupBy("flight_id").count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == 33
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in stored:
+            spark.sql(f"DROP TABLE bucketed_{name}")
