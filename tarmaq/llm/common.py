@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.session import tune
+from tarmaq.session import run_dir, tune
 
 #: Bytes of text that a numpy block holds (a longer text is a block of its own).
 BLOCK = 2 << 20
@@ -192,3 +192,17 @@ def add_columns(docs: DataFrame, function, schema: str, *inputs: str) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added.names])
 
     return docs.mapInArrow(run, whole)
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, safe when executors go."""
+    path = run_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

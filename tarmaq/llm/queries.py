@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm import language
-from tarmaq.llm.common import crc_mod, load
+from tarmaq.llm import language, perplexity, pieces
+from tarmaq.llm.common import crc_mod, load, stored, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,3 +27,20 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     return language.annotate(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the perplexity verdict of every document."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    measured = perplexity.measure(docs, perplexity.train(docs)).drop("text")
+    judged = perplexity.judge(stored(measured, "measured"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "log_perplexity")
+
+
+@query
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every document, projects the pieces to its bytes and decodes them again."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return pieces.digest(docs, tokenizer("piece_bpe_32k.model")).drop("text")
