@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarmaq.llm.common import add_columns, text_blocks
+from tarmaq.llm.common import add_columns, block_texts
 
 BLANK = "▁"
 BLANK_BYTES = BLANK.encode()
@@ -483,12 +483,6 @@ def encode_block(model: PieceModel, texts: list[str], ends: bool):
     return ids, edges, start, stop
 
 
-def block_texts(column: pa.Array):
-    """The texts of a column, some megabytes at a time (NULL: empty)."""
-    for low, high, _, _, _ in text_blocks(column):
-        yield [t or "" for t in column.slice(low, high - low).to_pylist()]
-
-
 def encode(docs: DataFrame, path: str, ends: bool = False) -> DataFrame:
     """Adds piece_ids, span_starts and span_ends (byte places in the text) to ``docs``.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm import language, perplexity, pieces
+from tarmaq.llm import language, packing, perplexity, pieces
 from tarmaq.llm.common import crc_mod, load, stored, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,10 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document, projects the pieces to its bytes and decodes them again."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     return pieces.digest(docs, tokenizer("piece_bpe_32k.model")).drop("text")
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs every document into sequences of at most 2048 tokens."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
