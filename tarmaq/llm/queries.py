@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm import language, packing, perplexity, pieces
+from tarmaq.llm import language, packing, perplexity, pieces, quality
 from tarmaq.llm.common import crc_mod, load, stored, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs every document into sequences of at most 2048 tokens."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels that are not held out; scores every document."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality.train(docs, labels.filter(crc_mod("doc_id", 3) != 1))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
