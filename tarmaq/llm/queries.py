@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm import language, packing, perplexity, pieces, quality
+from tarmaq.llm import language, neardup, packing, perplexity, pieces, quality
 from tarmaq.llm.common import crc_mod, load, stored, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
         (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return neardup.deduplicate(load(spark, sf_dir, "documents", "doc_id", "text"))
