@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm import chat, language, neardup, neighbours, packing, perplexity, pieces, quality
+from tarmaq.llm import chat, language, neardup, neighbours, packing, perplexity, pieces, quality, wrappers
 from tarmaq.llm.common import crc_mod, load, stored, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)],
                                   "conv_id long, turn long, role string, text string")
     return chat.digest(chat.format_chats(turns.union(extra)))
+
+
+@query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return wrappers.extract(load(spark, sf_dir, "pages", "page_id", "url", "html"))
