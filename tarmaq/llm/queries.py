@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm import chat, language, neardup, neighbours, packing, perplexity, pieces, quality, wrappers
+from tarmaq.llm import chat, language, linededup, neardup, neighbours, packing, perplexity, pieces, quality, wrappers
 from tarmaq.llm.common import crc_mod, load, stored, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return wrappers.extract(load(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of repeated line runs."""
+    return linededup.deduplicate(load(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_lines", "n_deleted", "text")
+
+
+ORACLE["op10_line_dedup"] = linededup.ORACLE_SQL
