@@ -10,20 +10,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm import language
-from tarmaq.llm.common import crc_mod, prepare
+from tarmaq.llm import language, linededup, neardup, packing, quality
+from tarmaq.llm.common import load, prepare, tokenizer
 from tarmaq.session import run_dir
 
+#: Least posterior of the predicted language.
+MIN_LANGUAGE_SCORE = 0.5
+#: Least probability of good quality.
+MIN_QUALITY = 0.5
+
+
+def _aside(docs: DataFrame, *needed: str):
+    """``docs`` with other columns under names that clash with nothing, and the way back."""
+    names = [c if c in needed else f"_{k}_aside" for k, c in enumerate(docs.columns)]
+    old = dict(zip(names, docs.columns))
+    return docs.toDF(*names), lambda frame: frame.select(*[F.col(n).alias(c) for n, c in old.items()])
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts of which no language is likelier than all others."""
+    """Rejects texts without a letter, and those of which no language is likelier than all others."""
     prepare(spark)
-    model = language.train(docs.filter(crc_mod("doc_id", 5) != 0))
-    return language.annotate(docs, model).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= 0.5)) \
-        .select(*docs.columns)
+    docs, restore = _aside(docs, "text", "lang")
+    found = language.annotate(docs, language.train(docs))
+    return restore(found.filter((F.col("lang_pred") != language.UNKNOWN)
+                                & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)))
+
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that the classifier, learned from the labels, takes for bad ones."""
+    docs, restore = _aside(docs, "doc_id", "text", "n_chars")
+    model = quality.train(docs, load(spark, sf_dir, "labels", "doc_id", "quality"))
+    return restore(quality.score(docs, model).filter(F.col("quality_score") >= MIN_QUALITY))
 
-STAGES = [("language_id", language_id)]
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of line runs; a document of which nothing is left goes."""
+    prepare(spark)
+    docs, restore = _aside(docs, "doc_id", "text", "n_chars")
+    changed = F.col("n_deleted") > 0
+    left = linededup.deduplicate(docs).filter(~changed | F.col("text").rlike(linededup.WORD))
+    return restore(left.withColumn(
+        "n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies; repeated rows of a doc_id are one."""
+    prepare(spark)
+    kept = (neardup.deduplicate(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    unnamed = docs.filter("doc_id IS NULL")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).union(unnamed)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 2048 tokens."""
+    prepare(spark)
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", language_id), ("quality_classifier", quality_classifier), ("line_dedup", line_dedup),
+          ("near_dedup", near_dedup), ("packing", pack)]
 
 #: Language models, classifiers and tokenizers have no SQL form.
 ORACLE_SQL = None
@@ -31,8 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = load(spark, sf_dir, "documents")
     folder = run_dir(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

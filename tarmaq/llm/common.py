@@ -178,18 +178,20 @@ def add_columns(docs: DataFrame, function, schema: str, *inputs: str) -> DataFra
     """``docs`` with columns that a function of Arrow batches adds row by row.
 
     The function gets the batch of input columns and returns arrays for the
-    columns of ``schema``; all columns of ``docs`` pass through unread.
+    columns of ``schema``; all columns of ``docs`` pass through unread, but for
+    those that have the name of a new one, which takes their place.
     """
     from pyspark.sql.types import StructType
 
     added = StructType.fromDDL(schema)
     position = [docs.columns.index(c) for c in inputs]
-    whole = StructType(docs.schema.fields + added.fields)
+    passed = [k for k, c in enumerate(docs.columns) if c not in added.names]
+    whole = StructType([docs.schema.fields[k] for k in passed] + added.fields)
 
     def run(batches):
         for batch in batches:
             new = function(pa.RecordBatch.from_arrays([batch.column(i) for i in position], list(inputs)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added.names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in passed), *new], whole.names)
 
     return docs.mapInArrow(run, whole)
 

@@ -171,7 +171,7 @@ def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Only the column text is read for a prediction. NULL texts and texts without
     a letter are ``und`` with score 0, as is everything when nothing was
     learned; ties go to the language first in order. Repeated rows stay
-    repeated and other columns pass through; docs must not have the two names.
+    repeated and other columns pass through.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -83,22 +83,21 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     interrupt a run. A NULL text stays NULL with 0 lines, an empty one has one
     line. Rows that repeat a doc_id and its text count as one document, and
     each of them is returned; a NULL doc_id comes before all others. Other
-    columns pass through; docs must not have the names added here.
+    columns pass through, but for those with the names added here.
     """
     own = docs.select(F.col("doc_id"), F.col("text"))
     deleted = later_copies(stored(numbered_lines(own), "lines"))
-    gone = deleted.groupBy(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")) \
-        .agg(F.collect_set("idx").alias("gone_idx"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id"))
-                       & (F.xxhash64("text") == F.col("gone_hash")), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_idx"))
-    text = F.when(F.col("gone_idx").isNull(), F.col("text")).otherwise(
+    gone = deleted.groupBy("doc_id", "hash").agg(F.collect_set("idx").alias("idx"))
+    places, written = gone["idx"], docs["text"]
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(written) == gone["hash"]), "left")
+    lines = F.split(written, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    text = F.when(places.isNull(), written).otherwise(
         F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    n_lines = F.when(written.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_deleted")]
     return joined.select(*columns, n_lines.alias("n_lines"),
-                         F.coalesce(F.size("gone_idx"), F.lit(0)).cast("long").alias("n_deleted"))
+                         F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_deleted"))
 
 
 ORACLE_SQL = rf"""

@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS, PART = 64, 16
@@ -143,7 +143,7 @@ def usable(rows: DataFrame) -> DataFrame:
                         & ~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda x: x != 0))
 
 
-def search(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
+def search(rows: DataFrame, is_query: Column | str, k: int = 10) -> DataFrame:
     """The k nearest rows of each row that the condition ``is_query`` picks.
 
     Rows query_id, rank (from 1), vec_id, score (Euclidean distance in double
