@@ -96,7 +96,8 @@ def fit(buckets: np.ndarray, edges: np.ndarray, statistics: np.ndarray, label: n
     share = (label.sum() + 1) / (n + 2)
     model = FactorisationMachine(float(np.log(share / (1 - share))) if n else 0.0, np.zeros(size),
                                  rng.standard_normal((size, RANK)) * 0.05, mean, scale)
-    if not n:
+    if not n:  # nothing to learn from: every text scores one half
+        model.factors[:] = 0
         return model
     dense = model.standard(statistics)
     value = word_values(edges)
