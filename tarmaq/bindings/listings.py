@@ -407,9 +407,9 @@ SELECT c_custkey, lower(trim(c_name)) AS email, upper(trim(c_mktsegment)) AS cod
        regexp_full_match(replace(trim(c_name), ' ', ''), '[0-9-]+') AS name_is_phone
 FROM customer""")
 def contact_normalise(spark, sf):
-    digits = F.substring("c_name", 10, 100)
+    digits = F.expr("substring(c_name, 10)")
     written = F.concat(F.lit(" "), F.substring("c_name", 10, 3), F.lit("-"),
-                       F.substring("c_name", 13, 100), F.lit(" "))
+                       F.expr("substring(c_name, 13)"), F.lit(" "))
     return scan(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment"]).select(
         "c_custkey", S.clean_email("c_name").alias("email"),
         S.clean_code("c_mktsegment").alias("code"), S.clean_phone(written).alias("phone"),

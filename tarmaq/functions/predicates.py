@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmaq.functions.scalars import moment, plus_minutes
 
-# Above this many tuples the list becomes a table and a semi join.
-INLINE_TUPLES = 100
-
-
 def all_of(*conditions: Column | None) -> Column:
     """AND of the given conditions; absent ones (None) do not restrict."""
     present = [c for c in conditions if c is not None]
@@ -38,14 +34,14 @@ def on_day(ts: str, day: str | None) -> Column | None:
 def in_tuples(df: DataFrame, columns: list[str], tuples: list[tuple]) -> DataFrame:
     """Rows whose column tuple is in the list.
 
-    A short list is a predicate, so it reaches the file scan; a long one is a
-    semi join.
+    The list is a table of the columns' own types, whatever its length: a value
+    that cannot be one of the column's is an error, and NULL matches nothing.
     """
-    if len(tuples) <= INLINE_TUPLES:
-        matches = [reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(columns, row)])
-                   for row in tuples]
-        return df.filter(reduce(or_, matches) if matches else F.lit(False))
-    wanted = df.sparkSession.createDataFrame(tuples, df.select(*columns).schema).distinct()
+    kinds = [df.schema[c].dataType for c in columns]
+    typed = [tuple(None if v is None else str(v) for v in row) for row in tuples]
+    texts = ", ".join(f"`{c}` string" for c in columns)
+    wanted = df.sparkSession.createDataFrame(typed, texts).select(
+        *[F.col(c).cast(kind).alias(c) for c, kind in zip(columns, kinds)]).distinct()
     return df.join(wanted, columns, "left_semi")
 
 

@@ -10,34 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmaq.operators.running import (ROWS_PER_SLICE, SLICE, carry, hot_keys, upto, with_slice,
-                                      within)
+from tarmaq.operators.running import SLICE, SLICE_SECONDS, carry, upto, with_slice, within
 
 
 def clash_counts(candidates: DataFrame, busy: DataFrame, keys: list[str], start: str, end: str,
                  id_col: str, out: str = "clashes",
-                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                 slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """How many busy intervals of the same key clash with each candidate."""
-    spans = [*keys, start, end]
-    hot = hot_keys(candidates.select(*spans).unionByName(busy.select(*spans)), keys, start, end,
-                   rows_per_slice)
     asked = _end_points(candidates, keys, start, end, id_col, measured=True, counted=False)
     taken = _end_points(busy.withColumn(id_col, F.lit(None).cast(
         candidates.schema[id_col].dataType)), keys, start, end, id_col,
         measured=False, counted=True)
-    return _sweep(asked.unionByName(taken), hot, keys, id_col, out)
+    return _sweep(asked.unionByName(taken), keys, id_col, out, slice_seconds)
 
 
 def self_clash_counts(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
                       out: str = "clashes", keep: tuple[str, ...] = (),
-                      rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                      slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """How many other intervals of the same key clash with each interval.
 
     ``keep`` columns of the intervals ride along, which saves a join afterwards.
     """
-    hot = hot_keys(df, keys, start, end, rows_per_slice)
     points = _end_points(df, keys, start, end, id_col, measured=True, counted=True, keep=keep)
-    return _sweep(points, hot, keys, id_col, out, keep)
+    return _sweep(points, keys, id_col, out, slice_seconds, keep)
 
 
 # Order of end points at one instant. Intervals end before others begin, so
@@ -68,9 +63,9 @@ def _end_points(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
                      F.inline(F.when(empty, instant).otherwise(ordinary)))
 
 
-def _sweep(points: DataFrame, hot: DataFrame | None, keys: list[str], id_col: str, out: str,
+def _sweep(points: DataFrame, keys: list[str], id_col: str, out: str, slice_seconds: int,
            keep: tuple[str, ...] = ()) -> DataFrame:
-    line = carry(with_slice(points, hot, keys, "_t"), hot, keys,
+    line = carry(with_slice(points, "_t", slice_seconds), keys,
                  {"_s": F.sum("_starts"), "_e": F.sum("_ends")},
                  {"_s0": F.sum("_s"), "_e0": F.sum("_e")})
     here = upto(keys, F.col("_t"), F.col("_place"))
@@ -86,10 +81,9 @@ def _sweep(points: DataFrame, hot: DataFrame | None, keys: list[str], id_col: st
 
 def clashes_with_earlier(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
                          out: str = "clashes",
-                         rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                         slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Flag rows that begin while an earlier-starting interval is still open."""
-    hot = hot_keys(df, keys, start, end, rows_per_slice)
-    line = carry(with_slice(df, hot, keys, start), hot, keys,
+    line = carry(with_slice(df, start, slice_seconds), keys,
                  {"_m": F.max(end)}, {"_m0": F.max("_m")})
     before = within(keys, F.col(start), F.col(end), F.col(id_col))
     open_until = F.greatest(F.col("_m0"), F.max(end).over(before))
@@ -99,7 +93,7 @@ def clashes_with_earlier(df: DataFrame, keys: list[str], start: str, end: str, i
 
 
 def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
-                out: str = "first_clash", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                out: str = "first_clash", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """The earliest-starting other interval that clashes with each row, or NULL.
 
     Ties go to the earlier end, then the smaller id. In that order the first
@@ -108,11 +102,10 @@ def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
     peak end after my start. When that is the row itself, only the row right
     after it in order can be the first clash.
     """
-    hot = hot_keys(df, keys, start, end, rows_per_slice)
     order = (F.col(start), F.col(end), F.col(id_col))
     me = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("i"))
 
-    line = carry(with_slice(df.withColumn("_me", me), hot, keys, start), hot, keys,
+    line = carry(with_slice(df.withColumn("_me", me), start, slice_seconds), keys,
                  {"_m": F.max(end), "_f": F.min("_me")}, {"_m0": F.max("_m")}, {"_f0": F.min("_f")})
     next_here = F.lead("_me").over(Window.partitionBy(*keys, SLICE).orderBy(*order))
     walked = (line.withColumns({
@@ -129,7 +122,7 @@ def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
                  F.col("_me").alias("_row"), F.col("_next").alias("_next")))))
     points = points.filter(F.col("_peak").isNotNull() | F.col("_row").isNotNull())
     # The next peak after a point is the lowest one: peaks rise in start and end.
-    line = carry(with_slice(points, hot, keys, "_t"), hot, keys,
+    line = carry(with_slice(points, "_t", slice_seconds), keys,
                  {"_p": F.min("_peak")}, {}, {"_p0": F.min("_p")})
     ahead = within(keys, F.col("_t").desc(), F.col("_place").desc())
     found = (line.withColumn("_open", F.coalesce(F.min("_peak").over(ahead), F.col("_p0")))

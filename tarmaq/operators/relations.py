@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -93,14 +93,12 @@ def _rewrite_reference(child: DataFrame, hits: DataFrame, fk: str,
 
 
 def number_series(limit: DataFrame, column: str, name: str = "n") -> DataFrame:
-    """1..limit, where the limit is the one value of a one-row frame."""
-    return limit.select(F.explode(F.sequence(F.lit(1), F.col(column).cast("int"))).alias(name))
+    """1..limit, where the limit is the one value of a one-row frame; none below 1."""
+    # sequence() counts down when the limit is lower than the start
+    return limit.filter(F.col(column) >= 1).select(F.explode(F.sequence(F.lit(1), F.col(column).cast("int"))).alias(name))
 
 
 def above(df: DataFrame, value: Column, threshold: DataFrame) -> DataFrame:
     """Rows whose value exceeds the one value of a one-row frame."""
     return df.filter(value > threshold.scalar())
 
-
-def literal_rows(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
-    return spark.createDataFrame(rows, schema)

@@ -1,16 +1,15 @@
 """Running values over time that stay spread out when one key is hot.
 
-A window partitioned by a key puts all rows of the key into one task. That is
-fine for most keys, but not for one that holds a third of the table. So the
-hot keys - those with more rows than one task should sort - are cut into time
-slices of about that many rows. Inside a slice an ordinary window runs; what
+A window partitioned by a key puts all rows of the key into one task, which
+does not hold for a key with a third of the table. So every key is cut into
+slices of a fixed length of time. Inside a slice an ordinary window runs; what
 it needs from the slices before (or after) it is one small row per (key,
-slice), carried across by a second window over those rows only.
+slice), carried across by a second window over those rows only. A key has no
+more of them than the table's time span has slices.
 
-Every other key is one slice (NULL) and needs nothing carried. The hot keys
-are found first and kept as a small table, at most one row per million; Spark
-broadcasts it below its threshold and shuffles otherwise. When no key is hot,
-the plan is the plain window.
+There is one plan for every size and every key, and nothing is looked up in
+advance. The busiest ``slice_seconds`` of a key are the most a window gathers;
+take a shorter slice for data with sharper bursts.
 
 Keys and timestamps are NOT NULL in the data model.
 """
@@ -20,54 +19,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmaq.session import small_table
+from tarmaq.functions.scalars import moment
 
 SLICE = "_slice"
-ROWS_PER_SLICE = 1_000_000
+SLICE_SECONDS = 3600
 
 
-def hot_keys(df: DataFrame, keys: list[str], first: str, last: str,
-             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
-    """Keys with more rows than a slice, their time span and number of slices."""
-    span = (F.col("_to") - F.col("_from")).cast("interval second").cast("bigint")
-    sized = (df.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_rows"), F.min(first).alias("_from"),
-                  F.max(last).alias("_to"))
-             .filter(F.col("_rows") > rows_per_slice))
-    return small_table(sized.select(
-        *keys, "_from", (span + 1).alias("_span"),
-        F.ceil(F.col("_rows") / rows_per_slice).alias("_cuts")), "hot-keys")
+def with_slice(df: DataFrame, ts: str, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Add the number of the time slice that the row falls into."""
+    since = (F.col(ts) - moment("1970-01-01 00:00:00")).cast("interval second").cast("bigint")
+    return df.withColumn(SLICE, F.floor(since / slice_seconds))
 
 
-def with_slice(df: DataFrame, hot: DataFrame | None, keys: list[str], ts: str) -> DataFrame:
-    """Add the slice of each row: its share of the hot key's time span, else NULL."""
-    if hot is None:
-        return df.withColumn(SLICE, F.lit(None).cast("bigint"))
-    since = (F.col(ts) - F.col("_from")).cast("interval second").cast("bigint")
-    return (df.join(hot, keys, "left")
-            .withColumn(SLICE, F.floor(since * F.col("_cuts") / F.col("_span")))
-            .drop("_from", "_span", "_cuts"))
-
-
-def carry(sliced: DataFrame, hot: DataFrame | None, keys: list[str], totals: dict[str, Column],
+def carry(sliced: DataFrame, keys: list[str], totals: dict[str, Column],
           earlier: dict[str, Column], later: dict[str, Column] | None = None) -> DataFrame:
     """The sliced rows with what the other slices of their key add up to.
 
     ``totals`` are aggregates within a slice (folded map-side); ``earlier`` and
     ``later`` are aggregates of the totals over the slices before and after.
-    Rows of keys that are not sliced get NULLs.
     """
-    if hot is None:
-        return sliced.withColumns({n: F.lit(None) for n in [*earlier, *(later or {})]})
-    per_slice = (sliced.filter(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE)
-                 .agg(*[c.alias(n) for n, c in totals.items()]))
+    per_slice = sliced.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in totals.items()])
     span = (Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*span)
     after = Window.partitionBy(*keys).orderBy(F.desc(SLICE)).rowsBetween(*span)
     carried = per_slice.select(
         *keys, SLICE, *[c.over(before).alias(n) for n, c in earlier.items()],
         *[c.over(after).alias(n) for n, c in (later or {}).items()])
-    return sliced.join(carried, [*keys, SLICE], "left")
+    return sliced.join(carried, [*keys, SLICE])
 
 
 def within(keys: list[str], *order: Column):

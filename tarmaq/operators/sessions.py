@@ -6,29 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmaq.functions.scalars import plus_minutes
-from tarmaq.operators.running import ROWS_PER_SLICE, SLICE, hot_keys, upto, with_slice
+from tarmaq.operators.running import SLICE, SLICE_SECONDS, upto, with_slice
 
 SLOT = "_slot"
 
 
 def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
-             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+             slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """One row per session: a session goes on while gaps are at most ``idle``.
 
     Equal to a session window whose end is the last event plus the idle time,
     but a hot user is spread over time slices and a long session is summed
     map-side.
     """
-    plain = events.select(user, ts)
-    hot = hot_keys(plain, [user], ts, ts, rows_per_slice)
-    rows = with_slice(plain, hot, [user], ts)
-    seen = rows.withColumn("_prev", F.lag(ts).over(
-        Window.partitionBy(user, SLICE).orderBy(ts)))
+    seen = with_slice(events.select(user, ts), ts, slice_seconds).withColumn(
+        "_prev", F.lag(ts).over(Window.partitionBy(user, SLICE).orderBy(ts)))
     opens_here = F.col(ts) > plus_minutes("_prev", idle_minutes)
-
-    first_opens = F.when(F.col(SLICE).isNull(), F.col(ts)).otherwise(F.col("_begin"))
-    opening = F.when(F.col("_prev").isNull(), first_opens).when(opens_here, F.col(ts))
-    started = (_linked(seen, hot, user, ts, opens_here, idle_minutes)
+    opening = F.when(F.col("_prev").isNull(), F.col("_begin")).when(opens_here, F.col(ts))
+    started = (_linked(seen, user, ts, opens_here, idle_minutes)
                .withColumn("_opening", opening)
                .withColumn("session_start", F.coalesce(
                    F.max("_opening").over(upto([user], F.col(ts))), F.col("_carried"))))
@@ -38,14 +33,13 @@ def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
                     plus_minutes("_last", idle_minutes).alias("session_end"), "requests"))
 
 
-def _linked(seen: DataFrame, hot: DataFrame | None, user: str, ts: str, opens_here,
-            idle_minutes: int) -> DataFrame:
-    """What a slice needs to know from the slices before it."""
-    if hot is None:
-        return seen.withColumns({"_begin": F.lit(None), "_carried": F.lit(None)})
-    # Per slice: its first and last event and the last opening inside it. Whether
-    # the first event opens a session too is known from the slice before.
-    per_slice = seen.filter(F.col(SLICE).isNotNull()).groupBy(user, SLICE).agg(
+def _linked(seen: DataFrame, user: str, ts: str, opens_here, idle_minutes: int) -> DataFrame:
+    """What a slice needs to know from the slices before it.
+
+    Per slice: its first and last event and the last opening inside it. Whether
+    the first event opens a session too is known from the slice before.
+    """
+    per_slice = seen.groupBy(user, SLICE).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"),
         F.max(F.when(opens_here, F.col(ts))).alias("_opened"))
     slices = Window.partitionBy(user).orderBy(SLICE)
@@ -55,7 +49,7 @@ def _linked(seen: DataFrame, hot: DataFrame | None, user: str, ts: str, opens_he
               .withColumn("_carried", F.max(F.coalesce("_opened", "_begin")).over(
                   slices.rowsBetween(Window.unboundedPreceding, -1)))
               .select(user, SLICE, "_begin", "_carried"))
-    return seen.join(linked, [user, SLICE], "left")
+    return seen.join(linked, [user, SLICE])
 
 
 def with_slot(df: DataFrame, ts: str, minutes: int) -> DataFrame:

@@ -83,12 +83,6 @@ def order_totals(orders: DataFrame, lines: DataFrame) -> DataFrame:
         "total", F.coalesce(money("total"), money(F.lit(0))))
 
 
-def priced_seats(seats: DataFrame, prices: DataFrame) -> DataFrame:
-    """Held seats with their class price (seats without a price drop out)."""
-    return (seats.filter(F.col("order_id").isNotNull())
-            .join(prices, ["flight_id", "plane_id", "class_type"]))
-
-
 def order_lines(seats: DataFrame, prices: DataFrame) -> DataFrame:
     """Held seats with their class price, NULL where the class has none."""
     return (seats.filter(F.col("order_id").isNotNull())

@@ -22,9 +22,14 @@ def start_rows(cabins: DataFrame, rank: Column | None = None) -> DataFrame:
             .withColumn("end_row", (F.col("start_row") + F.col("rows_num") - 1).cast("int")))
 
 
+def _with_seats(started: DataFrame) -> DataFrame:
+    """Cabins of one seat or more; sequence() would count down for the others."""
+    return started.filter((F.col("rows_num") > 0) & (F.col("columns_num") > 0))
+
+
 def seat_grid(started: DataFrame) -> DataFrame:
     """Every (row, column) of every cabin, by exploding two sequences."""
-    rows = started.select("plane_id", "class_type", "columns_num",
+    rows = _with_seats(started).select("plane_id", "class_type", "columns_num",
                           F.explode(F.sequence("start_row", "end_row")).alias("s_row"))
     return rows.select("plane_id", "class_type", "s_row",
                        F.explode(F.sequence(F.lit(1), F.col("columns_num"))).alias("s_column"))
@@ -38,7 +43,7 @@ def seats_from_layout(flights: DataFrame, cabins: DataFrame, existing: DataFrame
     the shuffle carries flights, not seats.
     """
     cabined = (flights.select("flight_id", "plane_id")
-               .join(start_rows(cabins, rank), "plane_id"))
+               .join(_with_seats(start_rows(cabins, rank)), "plane_id"))
     rows = cabined.select("flight_id", "plane_id", "class_type", "columns_num",
                           F.explode(F.sequence("start_row", "end_row")).alias("s_row"))
     seats = rows.select("flight_id", "s_row",

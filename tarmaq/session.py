@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,9 @@ RUNTIME_CONF = {
 
 def build_session(app: str = "tarmaq", master: str | None = None, **conf: str) -> SparkSession:
     builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false"))
+               .config("spark.ui.showConsoleProgress", "false")
+               # a checkpoint goes when nothing refers to it any more
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():
@@ -42,12 +45,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is only accepted on a local master, where driver
-    and executors share the disk.
+    Where it is unset, a single-process session (``local[n]``: driver and
+    executors are one machine, as in tests) gets a folder of its own; any other
+    master must name one that every executor can reach.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         named = os.path.join(tempfile.gettempdir(), f"tarmaq-{spark.sparkContext.applicationId}")
     return named
@@ -65,14 +69,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
-
-def small_table(df: DataFrame, purpose: str) -> DataFrame | None:
-    """A small result, computed once and read back; None when it is empty.
-
-    Read from files its true size is known when a join with it is planned: it
-    is broadcast below Spark's threshold and shuffled beyond.
-    """
-    path = run_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    return None if table.isEmpty() else table

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airline import AS_OF
 from tarmaq.functions.predicates import in_tuples, owned_by
+from tarmaq.operators.relations import number_series
 from tarmaq.operators.relations import coalesce_owner
 from tarmaq.plans import datasets, seating
 
@@ -114,6 +115,21 @@ def test_tuples(air, rows):
     assert in_tuples(air["seat"], ["s_row", "s_column"], many).count() == \
         air["seat"].filter("s_row <= 12").count()
     assert in_tuples(air["seat"], ["s_row", "s_column"], []).count() == 0
+    for copies in (1, 101):  # values of another type, NULLs and repeats, however long the list is
+        assert in_tuples(air["seat"], ["s_row", "s_column"], [("1", "1"), (None, 3)] * copies).count() == 33
+
+
+def test_cabins_without_seats_and_empty_series(air, spark):
+    cabins = spark.createDataFrame([("P1", "Business", 4, 0), ("P1", "Economy", 2, 2), ("P2", "Business", 0, 3)],
+                                   "plane_id string, class_type string, columns_num int, rows_num int")
+    flights = spark.createDataFrame([("F1", "P1"), ("F2", "P2")], "flight_id string, plane_id string")
+    seats = seating.seats_from_layout(flights, cabins).collect()
+    assert sorted((r.flight_id, r.class_type, r.s_row, r.s_column) for r in seats) == [
+        ("F1", "Economy", r, c) for r in (1, 2) for c in (1, 2)]
+    assert seating.seat_grid(seating.start_rows(cabins)).count() == 4
+    for limit, want in ((0, []), (-2, []), (1, [1]), (3, [1, 2, 3])):
+        one = spark.createDataFrame([(limit,)], "n int")
+        assert sorted(r.n for r in number_series(one, "n").collect()) == want
 
 
 def test_seats_are_created_once(air):

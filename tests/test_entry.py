@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from tarmaq.bindings import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 ACTIONS = {"claim_all_or_nothing", "stream_claims", "stream_expire_holds", "stream_sessions",
@@ -15,11 +16,11 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_oracle(spark, con, name):
-    query = entry.queries()[name]
-    if name in entry.oracle_sql():
-        assert compare(spark, con, query, entry.oracle_sql()[name], FOLDER) is None
+    query = QUERIES[name]
+    if name in ORACLE:
+        assert compare(spark, con, query, ORACLE[name], FOLDER) is None
     else:
         assert query(spark, FOLDER).count() > 0
 
@@ -30,15 +31,15 @@ def test_entry(spark):
 
 
 def test_oracles_belong_to_queries():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - ACTIONS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ACTIONS))
 def test_plan_without_nested_loops_or_python(spark, name):
     """With broadcasts off no plan may fall back to pairing rows."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython",

@@ -25,7 +25,8 @@ def test_sessions_match_session_windows(spark, rows, events):
     df = spark.createDataFrame([(u, at(m)) for u, m in events], SCHEMA)
     want = df.groupBy("user", F.session_window("ts", "60 minutes").alias("w")).agg(
         F.count("*").alias("requests")).select("user", "w.start", "w.end", "requests")
-    assert rows(sessions(df, "user", "ts", 60, rows_per_slice=3)) == rows(want)
+    for seconds in (60, 3600, 20_000):
+        assert rows(sessions(df, "user", "ts", 60, slice_seconds=seconds)) == rows(want)
 
 
 def test_a_gap_of_exactly_the_limit_continues_the_session(spark):
