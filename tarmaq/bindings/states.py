@@ -85,24 +85,39 @@ def claim_all_or_nothing(spark, sf):
     return claims.claim_all_or_nothing(seat_requests(events(spark, sf, "click")))
 
 
-@query("confirm_payment", """
+@query("confirm_payment", f"""
 WITH hold AS (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY 1),
 paid AS (SELECT h.user_id, min(p.ts) AS paid_at FROM hold h JOIN events p
-         ON p.user_id = h.user_id AND p.event_type = 'purchase' AND p.ts >= h.ts GROUP BY 1)
+         ON p.user_id = h.user_id AND p.event_type = 'purchase' AND p.ts >= h.ts
+         AND p.ts <= h.ts + to_minutes({HOLD_TTL}) GROUP BY 1)
 SELECT h.user_id AS order_id,
        CASE WHEN paid_at IS NULL THEN 'Pending' ELSE 'Active' END AS order_status,
        strftime(coalesce(paid_at, ts), '%Y-%m-%d %H:%M:%S.%f') AS date_of_purchase
 FROM hold h LEFT JOIN paid p ON p.user_id = h.user_id""")
 def confirm_payment(spark, sf):
-    """A user's last view is the pending order; later purchases are payments."""
+    """A user's last view is the pending order; all purchases are payments."""
+    return X.confirm_payment(*_holds_and_payments(spark, sf), HOLD_TTL)[0].select(
+        "order_id", "order_status", "date_of_purchase")
+
+
+def _holds_and_payments(spark, sf):
     holds = (events(spark, sf, "view").groupBy(F.col("user_id").alias("order_id"))
              .agg(F.max("ts").alias("date_of_purchase")).withColumn("order_status", F.lit(P.PENDING)))
-    payments = (events(spark, sf, "purchase")
-                .select(F.col("user_id").alias("order_id"), F.col("ts").alias("paid_at"))
-                .join(holds.select("order_id", F.col("date_of_purchase").alias("_held")), "order_id")
-                .filter(F.col("paid_at") >= F.col("_held")).drop("_held"))
-    return X.confirm_payment(holds, payments, None)[0].select("order_id", "order_status",
-                                                        "date_of_purchase")
+    return holds, events(spark, sf, "purchase").select(F.col("user_id").alias("order_id"),
+                                                       F.col("ts").alias("paid_at"))
+
+
+@query("rejected_payments", f"""
+WITH hold AS (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY 1),
+ranked AS (
+  SELECT p.user_id, p.ts, h.ts IS NOT NULL AND p.ts >= h.ts
+           AND p.ts <= h.ts + to_minutes({HOLD_TTL}) AS in_time
+  FROM events p LEFT JOIN hold h USING (user_id) WHERE event_type = 'purchase')
+SELECT user_id AS order_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS paid_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, in_time ORDER BY ts) AS n FROM ranked)
+WHERE NOT (in_time AND n = 1)""")
+def rejected_payments(spark, sf):
+    return X.confirm_payment(*_holds_and_payments(spark, sf), HOLD_TTL)[1]
 
 
 @query("cancel_decisions", f"""

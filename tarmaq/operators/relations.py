@@ -55,20 +55,14 @@ def replace_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """Insert by key or overwrite; among rows of ``new`` the highest version wins.
 
-    ``max_by`` folds map-side, so a key with many versions is not gathered.
+    Only ``new`` is folded (map-side, so a key with many versions is not
+    gathered; ties go to the greatest row); ``old`` just loses those keys.
     """
     values = [c for c in old.columns if c not in keys]
-    order = F.col(version) if version else F.lit(0)
-    packed = F.struct(*values)
-    base = old.select(*keys, packed.alias("_row"),
-                      F.struct(F.lit(0).alias("side"), F.lit(None).cast(
-                          new.schema[version].dataType if version else "int").alias("v"),
-                          packed.alias("tie")).alias("_rank"))
-    fresh = new.select(*keys, packed.alias("_row"),
-                       F.struct(F.lit(1).alias("side"), order.alias("v"),
-                                packed.alias("tie")).alias("_rank"))
-    latest = base.unionByName(fresh).groupBy(*keys).agg(F.max_by("_row", "_rank").alias("_row"))
-    return latest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in old.columns])
+    order = [F.col(version)] if version else []
+    latest = new.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order, *values)).alias("_row"))
+    written = latest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in old.columns])
+    return not_existing(old, written, keys).unionByName(written)
 
 
 def null_orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:

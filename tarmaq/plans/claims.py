@@ -8,8 +8,10 @@ nobody. That sequential rule is solved in rounds of set operations:
   its seats - nothing still undecided can come before it;
 * an open order that wants a seat of an accepted one is rejected.
 
-Each round decides at least the earliest open order of every flight, and in
-practice most of them, so the open set shrinks quickly. A popular flight is
+Each round decides at least the earliest open order of every flight. Independent
+orders are decided in the first rounds; a chain of orders that each want a seat
+of the next takes a round for every other link, so the number of rounds is
+bounded by the seats of a flight. A popular flight is
 spread over its seats, and a popular seat is one partial minimum per map task;
 no flight is ever gathered into one task.
 """
@@ -36,15 +38,28 @@ def claim_all_or_nothing(requests: DataFrame, seats: DataFrame | None = None) ->
 
     ``requests``: order_id, flight_id, s_row, s_column, requested_ts, a row per
     seat. ``seats``: the seat table; only free, existing seats can be claimed
-    (None: every seat exists and is free).
+    (None: every seat exists and is free). If both have a class_type, the seat
+    must be of the class that was asked for. If the seats have a free_from
+    (NULL: always), a request before that moment does not get the seat.
     """
+    classed = seats is not None and "class_type" in requests.columns and "class_type" in seats.columns
     wants = (requests.groupBy("order_id", *SEAT)
-             .agg(F.count(F.lit(1)).alias("_times"), F.min("requested_ts").alias("_ts")))
+             .agg(F.count(F.lit(1)).alias("_times"), F.min("requested_ts").alias("_ts"),
+                  *([F.min("class_type").alias("_class"),
+                     F.max("class_type").alias("_class2")] if classed else [])))
     if seats is None:
         wants = wants.withColumn("_free", F.lit(True))
     else:
-        free = seats.filter(F.col("order_id").isNull()).select(*SEAT).distinct()
-        wants = wants.join(free.withColumn("_free", F.lit(True)), SEAT, "left")
+        timed = "free_from" in seats.columns
+        since = F.col("free_from") if timed else F.lit(None).cast(requests.schema["requested_ts"].dataType)
+        free = (seats.filter(F.col("order_id").isNull())
+                .select(*SEAT, since.alias("_since"),
+                        *(["class_type"] if classed else [])).dropDuplicates(SEAT))
+        fits = F.col("_since").isNull() | (F.col("_ts") >= F.col("_since"))
+        if classed:
+            fits &= (F.col("_class") == F.col("class_type")) & (F.col("_class2") == F.col("_class"))
+        wants = (wants.join(free.withColumn("_hit", F.lit(True)), SEAT, "left")
+                 .withColumn("_free", F.coalesce(F.col("_hit") & fits, F.lit(False))))
     # The same seat twice, or a seat that cannot be had, fails the whole order.
     orders = wants.groupBy("order_id", "flight_id").agg(
         F.sum("_times").alias("seats"), F.min("_ts").alias("_ts"),

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmaq import params as P
-from tarmaq.functions.scalars import clean_email, moment, percent
-from tarmaq.operators.relations import not_existing, upsert
+from tarmaq.functions.scalars import clean_email, moment, percent, plus_minutes
+from tarmaq.operators.relations import exists_in, not_existing, replace_children, upsert
 from tarmaq.plans import claims, datasets, reports, scheduling, seating, transitions
 from tarmaq.session import cut_lineage
 
@@ -55,26 +55,45 @@ def refresh(t: Tables, as_of: str) -> Tables:
             "orders": transitions.derive_order_completed(orders, flights)}
 
 
-def book(t: Tables, requests: DataFrame, payments: DataFrame, as_of: str) -> Tables:
+def book(t: Tables, requests: DataFrame, payments: DataFrame, as_of: str,
+         guests: DataFrame | None = None) -> Tables:
     """Requests become pending orders, paid ones active; the rest is void.
 
     ``requests``: order_id, flight_id, guest_email, reg_customer_email, s_row,
-    s_column, requested_ts, a row per seat. ``payments``: order_id, paid_at.
-    Lapsed holds are dropped first, so their seats can be claimed.
+    s_column, requested_ts, a row per seat (class_type too, if it is to be
+    checked). ``payments``: order_id, paid_at. Payments of standing orders come
+    first, then what is still pending and older than the limit lapses; a seat is
+    free from the moment its hold lapsed. Requests whose order_id is taken are
+    returned as they came (rejected_requests). ``guests`` (order_id,
+    customer_email, customer_first_name, customer_last_name, customer_phone, a
+    row per phone) are saved for the orders that were paid in this run.
     """
-    orders, seats = transitions.expire_holds(t["orders"], t["seat"], as_of)
-    decided = claims.claim_all_or_nothing(requests, seats)
-    asked = requests.groupBy("order_id", "flight_id").agg(
+    paid, unused = transitions.confirm_payment(t["orders"], payments, P.HOLD_MINUTES)
+    standing = cut_lineage(paid)
+    lapsed = standing.filter(transitions.is_expired(as_of)).select(
+        "order_id", plus_minutes("date_of_purchase", P.HOLD_MINUTES).alias("_until"))
+    orders, seats = transitions.expire_holds(standing, t["seat"], as_of)
+    freed = (t["seat"].filter(F.col("order_id").isNotNull()).join(lapsed, "order_id")
+             .select(*claims.SEAT, F.col("_until").alias("free_from")))
+    fresh = not_existing(requests, t["orders"], ["order_id"])
+    decided = claims.claim_all_or_nothing(fresh, seats.join(freed, claims.SEAT, "left"))
+    asked = fresh.groupBy("order_id", "flight_id").agg(
         F.any_value("guest_email").alias("guest_email"),
         F.any_value("reg_customer_email").alias("reg_customer_email"),
         F.min("requested_ts").alias("date_of_purchase"))
     placed = (asked.join(decided.select("order_id", "accepted"), "order_id")
               .withColumn("order_status", F.when(F.col("accepted"), P.PENDING)
-                          .otherwise(P.BY_SYSTEM)))
-    booked = orders.unionByName(placed.select(*orders.columns))
-    confirmed, rejected = transitions.confirm_payment(booked, payments, P.HOLD_MINUTES)
-    return {"orders": confirmed, "seat": claims.apply_claims(seats, requests, decided),
-            "rejected_payments": rejected}
+                          .otherwise(P.BY_SYSTEM)).select(*orders.columns))
+    new, rejected = transitions.confirm_payment(placed, unused, P.HOLD_MINUTES)
+    booked = orders.unionByName(new)
+    after = {"orders": booked, "seat": claims.apply_claims(seats, fresh, decided),
+             "rejected_payments": rejected,
+             "rejected_requests": exists_in(requests, t["orders"], ["order_id"])}
+    if guests is not None:
+        was = t["orders"].filter(F.col("order_status") == P.ACTIVE)
+        now = not_existing(booked.filter(F.col("order_status") == P.ACTIVE), was, ["order_id"])
+        after |= save_guests(t["guest"], t["guest_phone"], exists_in(guests, now, ["order_id"]))
+    return after
 
 
 def summaries(t: Tables) -> DataFrame:
@@ -84,9 +103,14 @@ def summaries(t: Tables) -> DataFrame:
                                   datasets.order_lines(t["seat"], t["pricing"]))
 
 
-def save_guests(guests: DataFrame, updates: DataFrame) -> DataFrame:
-    """Guests of paid orders: inserted, or their names overwritten."""
-    return upsert(guests, updates, ["customer_email"])
+def save_guests(guests: DataFrame, phones: DataFrame, updates: DataFrame) -> Tables:
+    """Guests are inserted or their names overwritten; their phones are replaced.
+
+    ``updates``: customer_email, names and customer_phone, a row per phone.
+    """
+    numbers = updates.filter(F.col("customer_phone").isNotNull()).select(*phones.columns).distinct()
+    return {"guest": upsert(guests, updates.select(*guests.columns).distinct(), ["customer_email"]),
+            "guest_phone": replace_children(phones, numbers, "customer_email")}
 
 
 def schedule(t: Tables, proposals: Tables) -> Tables:

@@ -7,6 +7,9 @@ place, so a failed job leaves the previous version untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,22 +45,40 @@ def confirm_payment(orders: DataFrame, payments: DataFrame,
                     ttl_minutes: int | None = P.HOLD_MINUTES) -> tuple[DataFrame, DataFrame]:
     """Pending orders with a payment in time become Active at the time of the first one.
 
-    A payment after the hold has lapsed does not count (None: holds do not
-    lapse). Second result: payments that confirmed nothing, because the order
-    was not pending, the hold had lapsed, or an earlier payment had done it.
+    A payment counts from the moment of the hold until it lapses (None: holds do
+    not lapse). Second result: payments that confirmed nothing, because there
+    was no such pending order, the time was wrong, or another payment had done
+    it - a repeated payment too, row by row.
     """
-    first = payments.groupBy("order_id").agg(F.min("paid_at").alias("_paid"))
-    in_time = F.lit(True) if ttl_minutes is None else (
-        F.col("_paid") <= plus_minutes("date_of_purchase", ttl_minutes))
-    pays = (F.col("order_status") == P.PENDING) & F.col("_paid").isNotNull() & in_time
-    matched = orders.join(first, "order_id", "left").withColumn("_pays", pays)
+    columns = payments.columns
+    due = (orders.filter(F.col("order_status") == P.PENDING)
+           .select("order_id", F.col("date_of_purchase").alias("_held")))
+    in_time = F.col("paid_at") >= F.col("_held")
+    if ttl_minutes is not None:
+        in_time &= F.col("paid_at") <= plus_minutes("_held", ttl_minutes)
+    others = [c for c in columns if c not in ("order_id", "paid_at")]
+    first = (payments.join(due, "order_id").filter(in_time).groupBy("order_id")
+             .agg(F.min(F.struct("paid_at", *others)).alias("_first")))
+    matched = (orders.join(first.select("order_id", F.col("_first.paid_at").alias("_paid")),
+                           "order_id", "left")
+               .withColumn("_pays", (F.col("order_status") == P.PENDING)
+                           & F.col("_paid").isNotNull()))
     confirmed = (matched.withColumns({
         "date_of_purchase": F.when(F.col("_pays"), F.col("_paid"))
         .otherwise(F.col("date_of_purchase")),
         "order_status": F.when(F.col("_pays"), P.ACTIVE).otherwise(F.col("order_status"))})
         .select(*orders.columns))
-    used = matched.filter("_pays").select("order_id", F.col("_paid").alias("paid_at"))
-    return confirmed, payments.join(used, ["order_id", "paid_at"], "left_anti")
+    # Equal payments are counted, less the one that confirmed the order.
+    used = first.select("order_id", "_first.*", F.lit(1).alias("_used"))
+    same = reduce(and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"u.{c}")) for c in columns])
+    left = (payments.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).alias("p")
+            .join(used.alias("u"), same, "left")
+            .select(*[F.col(f"p.{c}") for c in columns],
+                    (F.col("_n") - F.coalesce("_used", F.lit(0))).cast("int").alias("_n")))
+    rejected = (left.filter(F.col("_n") > 0)
+                .select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_k"))
+                .drop("_k"))
+    return confirmed, rejected
 
 
 def cancel_decisions(orders: DataFrame, as_of: str, hours: int = P.CUSTOMER_CANCEL_HOURS,
@@ -166,9 +187,18 @@ def derive_order_completed(orders: DataFrame, flights: DataFrame) -> DataFrame:
 
 
 def assign_codes(df: DataFrame, order: list[str], width: int = P.ORDER_CODE_WIDTH,
-                 name: str = "code") -> DataFrame:
-    """Unique zero-padded codes; they grow wider when the numbers do."""
-    text = F.col("_number").cast("string")
+                 name: str = "code", existing: DataFrame | None = None) -> DataFrame:
+    """Unique zero-padded codes; they grow wider when the numbers do.
+
+    Numbers go on after the highest of the ``existing`` codes (a frame with the
+    codes in its first column; those that are no numbers do not count).
+    """
+    number = F.col("_number")
+    if existing is not None:
+        code = F.col(existing.columns[0])
+        digits = F.when(code.rlike("^[0-9]+$"), code.cast("bigint"))
+        number = number + existing.agg(F.coalesce(F.max(digits), F.lit(0)).alias("m")).scalar()
+    text = number.cast("string")
     padded = F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
     return numbered(df, order, "_number").withColumn(name, padded).drop("_number")
 

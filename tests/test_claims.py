@@ -79,6 +79,15 @@ def test_same_seat_twice_fails_and_blocks_nobody(spark):
     assert {r.order_id: r.accepted for r in decided.collect()} == {"A": False, "B": True}
 
 
+def test_seats_of_another_class_are_not_claimed(spark):
+    seats = spark.createDataFrame([("F", 1, 1, None, "Business"), ("F", 2, 1, None, "Economy")], SEAT + ", class_type string")
+    requests = spark.createDataFrame(
+        [("A", "F", 1, 1, BASE, "Economy"), ("B", "F", 1, 1, BASE + timedelta(minutes=1), "Business"),
+         ("C", "F", 2, 1, BASE, None), ("D", "F", 2, 1, BASE + timedelta(minutes=1), "Economy")], REQUEST + ", class_type string")
+    decided = claim_all_or_nothing(requests, seats)
+    assert {r.order_id: r.accepted for r in decided.collect()} == {"A": False, "B": True, "C": False, "D": True}
+
+
 def test_nothing_to_decide(spark):
     assert claim_all_or_nothing(spark.createDataFrame([], REQUEST)).count() == 0
 

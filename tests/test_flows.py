@@ -50,10 +50,38 @@ def test_book(air, spark):
     assert [r.order_id for r in after["rejected_payments"].collect()] == ["N2"]
     summary = {r.order_id: (r.seats, r.total) for r in flows.summaries(air | after).collect()}
     assert summary["N1"] == ("3A, 3B", D("800.00")) and summary["N3"] == ("3C", D("400.00"))
-    guests = flows.save_guests(air["guest"], spark.createDataFrame(
-        [("n1@example.org", "New", "One"), ("g001@example.org", "Other", "Name")],
-        schema_of("guest")))
-    assert guests.count() == 21
+
+
+def test_book_pays_before_holds_lapse(air, spark):
+    """Hold at 10:00, payment at 10:05, run at 10:30: the order is paid, an unpaid one lapses."""
+    at = lambda minute: NOW + timedelta(minutes=minute)
+    orders = air["orders"].unionByName(spark.createDataFrame(
+        [("P1", "F1005", "p1@example.org", None, at(0), "Pending"), ("P2", "F1005", "p2@example.org", None, at(0), "Pending")],
+        air["orders"].schema))
+    held = {(3, 1): "P1", (3, 2): "P2"}
+    seats = air["seat"].filter("NOT (flight_id = 'F1005' AND s_row = 3 AND s_column <= 2)").unionByName(
+        spark.createDataFrame([("F1005", r, c, "P0004", "Business", o) for (r, c), o in held.items()],
+                              air["seat"].schema))
+    ask = [("O0001", 3, 4, 20), ("N1", 3, 2, 10), ("N2", 3, 2, 20), ("N3", 3, 1, 25)]
+    requests = spark.createDataFrame(
+        [(o, "F1005", f"{o.lower()}@example.org", None, r, c, at(m)) for o, r, c, m in ask],
+        "order_id string, flight_id string, guest_email string, reg_customer_email string, s_row int, s_column int, "
+        "requested_ts timestamp_ntz")
+    payments = spark.createDataFrame([("P1", at(5)), ("N2", at(21))], "order_id string, paid_at timestamp_ntz")
+    guests = spark.createDataFrame(
+        [("P1", "p1@example.org", "New", "One", "050"), ("P1", "p1@example.org", "New", "One", "051"),
+         ("N3", "n3@example.org", "Not", "Paid", "052")],
+        "order_id string, customer_email string, customer_first_name string, customer_last_name string, customer_phone string")
+    after = flows.book(air | {"orders": orders, "seat": seats}, requests, payments, "2026-02-01 00:30:00", guests)
+    status = {r.order_id: r.order_status for r in after["orders"].collect()}
+    # N1 came before the hold of P2 had lapsed; P1 keeps its seat.
+    assert "P2" not in status and {k: status[k] for k in ("P1", "N1", "N2", "N3")} == {
+        "P1": "Active", "N1": "Cancelled by system", "N2": "Active", "N3": "Cancelled by system"}
+    assert after["rejected_payments"].count() == 0
+    assert [r.order_id for r in after["rejected_requests"].collect()] == ["O0001"]
+    assert after["guest"].count() == air["guest"].count() + 1
+    assert sorted(r.customer_phone for r in after["guest_phone"].filter("customer_email = 'p1@example.org'").collect()) == [
+        "050", "051"]
 
 
 def test_refresh_frees_lapsed_holds(air, spark):

@@ -69,6 +69,25 @@ def test_confirm_payment(spark, rows):
         ("a", before(1)), ("b", before(1)), ("gone", before(1)), ("late", before(4))}
 
 
+def test_early_and_repeated_payments(spark):
+    orders = spark.createDataFrame([("a", "F", before(5), "Pending"), ("b", "F", before(5), "Pending")], ORDER)
+    payments = spark.createDataFrame(
+        [("a", before(3)), ("a", before(3)), ("a", before(9)), ("b", before(60 * 24 * 30)), ("b", None)],
+        "order_id string, paid_at timestamp_ntz")
+    confirmed, rejected = X.confirm_payment(orders, payments)
+    assert {(r.order_id, r.order_status, r.date_of_purchase) for r in confirmed.collect()} == {
+        ("a", "Active", before(3)), ("b", "Pending", before(5))}
+    assert sorted((r.order_id, str(r.paid_at)) for r in rejected.collect()) == sorted([
+        ("a", str(before(3))), ("a", str(before(9))), ("b", str(before(60 * 24 * 30))), ("b", "None")])
+
+
+def test_codes_go_on_after_the_highest(spark):
+    new = spark.createDataFrame([("x",), ("y",)], "name string")
+    old = spark.createDataFrame([("00007",), ("00003",), ("odd",), (None,)], "code string")
+    assert sorted(r.code for r in X.assign_codes(new, ["name"], existing=old).collect()) == ["00008", "00009"]
+    assert sorted(r.code for r in X.assign_codes(new, ["name"], existing=old.limit(0)).collect()) == ["00001", "00002"]
+
+
 def test_customer_cancel_needs_more_than_36_hours(spark):
     cases = [("early", after(36, 1), "Active", "100.00"), ("edge", after(36), "Active", "100.00"),
              ("late", after(35, 59), "Active", "100.00"), ("done", after(99), "Completed", "100.00"),
