@@ -88,9 +88,10 @@ counted AS (
   FROM served a LEFT JOIN served b ON b.{member} = a.{member} AND b.flight_id <> a.flight_id
     AND b.s < a.e AND b.e > a.s
   GROUP BY a.flight_id, a.{member})
-SELECT flight_id, {member}, minutes < 360 OR {qualified} AS qualified, clashes,
-       (minutes < 360 OR {qualified}) AND clashes = 0 AS eligible
-FROM counted JOIN pool USING ({member})"""
+SELECT flight_id, {member}, {qualified} IS NOT NULL AS known,
+       coalesce(minutes < 360 OR {qualified}, false) AND {qualified} IS NOT NULL AS qualified, clashes,
+       coalesce(minutes < 360 OR {qualified}, false) AND {qualified} IS NOT NULL AND clashes = 0 AS eligible
+FROM counted LEFT JOIN pool USING ({member})"""
 
 
 @query("eligible_crew", _eligible(
@@ -119,18 +120,83 @@ def eligible_planes(spark, sf):
 
 @query("crew_size_violations", f"""
 WITH {FLIGHT}, head AS (
-  SELECT l_orderkey AS flight_id, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1),
+  SELECT l_orderkey AS flight_id, count(DISTINCT l_suppkey) FILTER (WHERE l_linenumber <= 2) AS pilot,
+         count(DISTINCT l_suppkey) FILTER (WHERE l_linenumber > 2) AS attendant
+  FROM lineitem GROUP BY 1),
 sized AS (
   SELECT flight_id, CASE WHEN minutes >= 360 THEN 'long' ELSE 'short' END AS length,
-         coalesce(n, 0) AS assigned, CASE WHEN minutes >= 360 THEN 3 ELSE 2 END::BIGINT AS required
-  FROM flight LEFT JOIN head USING (flight_id))
-SELECT flight_id, length, 'pilot' AS role, assigned, required FROM sized
-WHERE assigned <> required""")
+         coalesce(pilot, 0) AS pilot, coalesce(attendant, 0) AS attendant
+  FROM flight LEFT JOIN head USING (flight_id)),
+role AS (
+  SELECT flight_id, length, 'pilot' AS role, pilot AS assigned,
+         CASE length WHEN 'long' THEN 3 ELSE 2 END::BIGINT AS required FROM sized
+  UNION ALL SELECT flight_id, length, 'attendant', attendant,
+         CASE length WHEN 'long' THEN 6 ELSE 3 END::BIGINT FROM sized)
+SELECT * FROM role WHERE assigned <> required""")
 def crew_size_violations(spark, sf):
-    links = seat_lines(spark, sf).select("flight_id", F.lit("pilot").alias("role"),
-                                         F.col("suppkey").alias("employee_id"))
-    pilots_only = {length: {"pilot": heads["pilot"]} for length, heads in P.CREW_RULES.items()}
-    return C.crew_size_violations(flights(spark, sf), links, pilots_only)
+    """The first two lines of an order are its pilots, the others its attendants."""
+    role = F.when(F.col("s_row") <= 2, "pilot").otherwise("attendant")
+    links = seat_lines(spark, sf).select("flight_id", role.alias("role"), F.col("suppkey").alias("employee_id"))
+    return C.crew_size_violations(flights(spark, sf), links)
+
+
+NEW_FLIGHT = "1996-01-01 12:00:00"
+
+
+@query("available_for", f"""
+WITH {FLIGHT}, busy AS (
+  SELECT DISTINCT l_suppkey FROM lineitem JOIN flight ON flight_id = l_orderkey
+  WHERE flight_status IN ('Scheduled', 'Full') AND takeoff_ts < TIMESTAMP '{NEW_FLIGHT}' + to_minutes(400)
+    AND takeoff_ts + to_minutes(minutes) > TIMESTAMP '{NEW_FLIGHT}')
+SELECT s_suppkey AS l_suppkey FROM supplier
+WHERE s_acctbal > 0 AND s_suppkey NOT IN (SELECT l_suppkey FROM busy)""")
+def available_for(spark, sf):
+    """Suppliers that could serve a new flight of 400 minutes."""
+    links = scan(spark, sf, "lineitem", ["l_orderkey", "l_suppkey"]).withColumnRenamed("l_orderkey", "flight_id")
+    crew = scan(spark, sf, "supplier", ["s_suppkey", "s_acctbal"]).select(
+        F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") > 0).alias("trained"))
+    running = flights(spark, sf, *P.OPEN_FLIGHT).withColumns({
+        "start_ts": F.col("takeoff_ts"), "end_ts": plus_minutes("takeoff_ts", F.col("minutes"))})
+    return C.available_for(crew, links, running, "l_suppkey", "trained", NEW_FLIGHT, 400).select("l_suppkey")
+
+
+@query("schedule_violations", """
+WITH new AS (
+  SELECT o_orderkey AS flight_id, o_custkey AS route_id, o_orderkey % 250 AS plane_id,
+         o_orderkey % 12 AS manager_id, o_orderstatus AS code
+  FROM orders WHERE o_orderpriority = '1-URGENT'),
+link AS (SELECT DISTINCT flight_id, l_suppkey, l_linenumber <= 2 AS pilot
+         FROM new JOIN lineitem ON l_orderkey = flight_id)
+SELECT flight_id, 'flight id is taken' AS rule, CAST(flight_id AS VARCHAR) AS subject
+FROM new WHERE flight_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0)
+UNION ALL SELECT flight_id, 'flight is not open', 'Completed' FROM new WHERE code = 'F'
+UNION ALL SELECT flight_id, 'unknown route', CAST(route_id AS VARCHAR) FROM new
+WHERE route_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT flight_id, 'unknown plane', CAST(plane_id AS VARCHAR) FROM new
+WHERE plane_id NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT flight_id, 'unknown manager', CAST(manager_id AS VARCHAR) FROM new
+WHERE manager_id NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT flight_id, CASE WHEN pilot THEN 'unknown pilot' ELSE 'unknown attendant' END,
+       CAST(l_suppkey AS VARCHAR) FROM link
+WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""")
+def schedule_violations(spark, sf):
+    """Urgent orders are proposals; customers, parts and suppliers are what they refer to."""
+    urgent = flights(spark, sf).filter(F.col("priority") == "1-URGENT")
+    new = urgent.select("flight_id", F.col("owner").alias("route_id"), (F.col("flight_id") % 250).alias("plane_id"),
+                        (F.col("flight_id") % 12).alias("manager_id"), "flight_status")
+    suppliers = scan(spark, sf, "supplier", ["s_suppkey", "s_acctbal"]).withColumnRenamed("s_suppkey", "employee_id")
+    crew = (scan(spark, sf, "lineitem", ["l_orderkey", "l_suppkey", "l_linenumber"])
+            .select(F.col("l_orderkey").alias("flight_id"), F.col("l_suppkey").alias("employee_id"),
+                    (F.col("l_linenumber") <= 2).alias("pilot")).distinct()
+            .join(new.select("flight_id"), "flight_id", "left_semi"))
+    fit = suppliers.filter(F.col("s_acctbal") > 0)
+    return C.reference_violations(
+        new, new.filter(F.col("flight_id") % 7 == 0),
+        scan(spark, sf, "customer", ["c_custkey", "c_acctbal"]).filter(F.col("c_acctbal") > 0)
+        .withColumnRenamed("c_custkey", "route_id"),
+        scan(spark, sf, "part", ["p_partkey"]).withColumnRenamed("p_partkey", "plane_id"), suppliers,
+        {"pilot": fit, "attendant": fit},
+        {"pilot": crew.filter("pilot").drop("pilot"), "attendant": crew.filter(~F.col("pilot")).drop("pilot")})
 
 
 @query("missing_prices", f"""
@@ -185,13 +251,15 @@ def dq_unique(spark, sf):
      "SELECT count(*) FROM lineitem ANTI JOIN orders "
      "ON l_orderkey = o_orderkey AND l_linestatus = o_orderstatus")))
 def dq_foreign_key(spark, sf):
-    lines = scan(spark, sf, "lineitem", ["l_orderkey", "l_linestatus"])
+    # one fold of the fact feeds all three checks
+    lines = (scan(spark, sf, "lineitem", ["l_orderkey", "l_linestatus"])
+             .groupBy("l_orderkey", "l_linestatus").agg(F.count(F.lit(1)).alias("rows")))
     orders = scan(spark, sf, "orders", ["o_orderkey", "o_orderstatus"])
     return Q.union_all([
-        Q.check_fk(lines, ["l_orderkey"], orders, ["o_orderkey"], "lineitem", "orders"),
+        Q.check_fk(lines, ["l_orderkey"], orders, ["o_orderkey"], "lineitem", "orders", "rows"),
         Q.check_fk(orders, ["o_orderkey"], lines, ["l_orderkey"], "orders", "lineitem"),
         Q.check_fk(lines, ["l_orderkey", "l_linestatus"], orders, ["o_orderkey", "o_orderstatus"],
-                   "lineitem", "orders")])
+                   "lineitem", "orders", "rows")])
 
 
 @query("dq_check", _rows(

@@ -191,8 +191,10 @@ SELECT flight_id, CAST(s_row AS BIGINT) AS s_row, min(class_type) AS class_type,
        bool_or(order_status = 'Active') AS is_taken
 FROM seatline GROUP BY flight_id, s_row""")
 def seat_taken_map(spark, sf):
+    # F before O: the class is folded as a flag, as text would be sorted
+    first = F.max(F.when(F.col("class_type") == "F", 1).otherwise(0)) == 1
     seats = seat_lines(spark, sf).groupBy("flight_id", "s_row").agg(
-        F.min("class_type").alias("class_type"),
+        F.when(first, "F").otherwise("O").alias("class_type"),
         F.max(F.when(F.col("order_status") == P.ACTIVE, F.col("flight_id"))).alias("order_id"))
     return D.seat_map(seats.withColumn("s_column", F.lit(1))).drop("s_column")
 

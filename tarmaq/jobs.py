@@ -13,9 +13,9 @@ from pyspark.sql import SparkSession
 
 from tarmaq.plans import flows
 from tarmaq.plans.quality import audit
-from tarmaq.session import build_session, cut_lineage, tune
+from tarmaq.session import build_session, tune
 from tarmaq.sources.scans import scan_tables
-from tarmaq.sources.sinks import write_report, write_version
+from tarmaq.sources.sinks import publish, write_report
 
 
 def run(spark: SparkSession, job: str, store: str, out: str | None = None,
@@ -26,9 +26,9 @@ def run(spark: SparkSession, job: str, store: str, out: str | None = None,
         return [write_report(df, out, name, fmt)
                 for name, df in flows.dashboard(tables, as_of).items()]
     if job == "refresh":
-        # All new tables are computed before the first one is published.
-        fresh = {name: cut_lineage(df) for name, df in flows.refresh(tables, as_of).items()}
-        return [f"{name} v={write_version(df, f'{store}/{name}')}" for name, df in fresh.items()]
+        # All new tables are computed from the old ones and become valid at once.
+        fresh = publish(spark, store, flows.refresh(tables, as_of))
+        return [f"{name} v={version}" for name, version in fresh.items()]
     return [write_report(audit(tables), out, "audit", fmt)]
 
 

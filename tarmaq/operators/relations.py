@@ -77,6 +77,12 @@ def release(child: DataFrame, gone: DataFrame, fk: str) -> DataFrame:
     return _rewrite_reference(child, hit, fk, keep_when_hit=False)
 
 
+def clear(df: DataFrame, hits: DataFrame, key: str, column: str) -> DataFrame:
+    """Set a column to NULL in the rows whose key is among the ``hits``."""
+    marked = df.join(hits.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
+    return marked.withColumn(column, F.when(F.col("_hit").isNull(), F.col(column))).select(*df.columns)
+
+
 def _rewrite_reference(child: DataFrame, hits: DataFrame, fk: str,
                        keep_when_hit: bool) -> DataFrame:
     # Rows without a reference skip the join: NULL would be one hot key.

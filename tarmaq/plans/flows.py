@@ -117,16 +117,28 @@ def schedule(t: Tables, proposals: Tables) -> Tables:
     """Check proposed flights against the schedule; accept those without a violation.
 
     ``proposals`` holds flight, pricing, pilot_flight and attendant_flight rows.
-    All violations of all proposals come back at once.
+    All violations of all proposals come back at once. Of the standing schedule
+    only what the proposals' planes and crews serve is looked at.
     """
-    merged = {name: t[name].unionByName(rows) for name, rows in proposals.items()}
-    timed = scheduling.timed(merged["flight"], t["route"])
+    new, ids = proposals["flight"], proposals["flight"].select("flight_id").distinct()
+    standing = not_existing(t["flight"], ids, ["flight_id"])
+    links = {name: not_existing(exists_in(t[name], proposals[name], ["employee_id"]), ids, ["flight_id"])
+             for name in ("pilot_flight", "attendant_flight")}
+    involved = (exists_in(standing, new, ["plane_id"]).select("flight_id")
+                .unionByName(links["pilot_flight"].select("flight_id"))
+                .unionByName(links["attendant_flight"].select("flight_id")))
+    flights = exists_in(standing, involved, ["flight_id"]).unionByName(new)
+    crews = {name: links[name].unionByName(proposals[name]) for name in links}
     found = scheduling.schedule_violations(
-        timed, t["plane"], t["cabin_class"], merged["pricing"], t["pilot"], t["attendant"],
-        merged["pilot_flight"], merged["attendant_flight"])
-    new = proposals["flight"]
+        scheduling.timed(flights, t["route"]), t["plane"], t["cabin_class"],
+        exists_in(t["pricing"], involved, ["flight_id"]).unionByName(proposals["pricing"]),
+        t["pilot"], t["attendant"], crews["pilot_flight"], crews["attendant_flight"])
+    missing = scheduling.reference_violations(
+        new, t["flight"], t["route"], t["plane"], t["manager"],
+        {"pilot": t["pilot"], "attendant": t["attendant"]},
+        {"pilot": proposals["pilot_flight"], "attendant": proposals["attendant_flight"]})
     # Written once: the accepted flights and their seats depend on it as well.
-    violations = cut_lineage(found.join(new.select("flight_id"), "flight_id", "left_semi"))
+    violations = cut_lineage(found.join(ids, "flight_id", "left_semi").unionByName(missing).distinct())
     accepted = not_existing(new, violations, ["flight_id"])
     return {"violations": violations, "flight": accepted,
             "seat": seating.seats_from_layout(accepted, t["cabin_class"], t["seat"])}
@@ -135,30 +147,39 @@ def schedule(t: Tables, proposals: Tables) -> Tables:
 def cancel_orders(t: Tables, requests: DataFrame, as_of: str) -> Tables:
     """Customers cancel their orders (order_id, email): decisions and new tables.
 
-    A request counts when the e-mail is the order's owner, whatever its case.
+    A request counts when the e-mail is the order's owner, whatever its case;
+    an order that is not there, or another's, is not_found. Only the seats of
+    the requested orders are priced.
     """
     flights = transitions.refresh_status(t["flight"], as_of)
     asked = requests.select("order_id", clean_email("email").alias("_email")).distinct()
     owner = clean_email(F.coalesce("guest_email", "reg_customer_email"))
     mine = t["orders"].join(asked, "order_id").filter(owner == F.col("_email"))
     timed = mine.join(flights.select("flight_id", "takeoff_ts"), "flight_id")
-    lines = datasets.order_lines(t["seat"], t["pricing"])
+    lines = datasets.order_lines(exists_in(t["seat"], asked, ["order_id"]), t["pricing"])
     decided = transitions.cancel_decisions(datasets.order_totals(timed, lines), as_of).select(
         "order_id", "decision", "total", "fee", "refund")
     orders, seats = transitions.apply_customer_cancel(t["orders"], t["seat"], decided)
-    return {"decisions": decided, "orders": orders, "seat": seats}
+    nothing = [F.lit(0).cast(decided.schema[c].dataType).alias(c) for c in ("total", "fee", "refund")]
+    lost = not_existing(requests.select("order_id").distinct(), decided, ["order_id"]).select(
+        "order_id", F.lit("not_found").alias("decision"), *nothing)
+    return {"decisions": decided.unionByName(lost), "orders": orders, "seat": seats}
 
 
 def cancel_requests(t: Tables, requests: DataFrame, as_of: str) -> Tables:
-    """Flight cancellations asked for by managers: decisions, refunds, new tables."""
+    """Flight cancellations asked for by managers: decisions, refunds, new tables.
+
+    Only the seats and orders of the cancelled flights are priced.
+    """
     flights = transitions.refresh_status(t["flight"], as_of)
     decided = transitions.flight_cancel_decisions(requests, flights, as_of)
     gone = transitions.cancelled_flights(decided)
-    totals = datasets.order_totals(t["orders"].select("order_id"),
-                                   datasets.order_lines(t["seat"], t["pricing"]))
+    touched = exists_in(t["orders"], gone, ["flight_id"])
+    totals = datasets.order_totals(touched.select("order_id"), datasets.order_lines(
+        exists_in(t["seat"], gone, ["flight_id"]), t["pricing"]))
     new_flights, orders, seats = transitions.cancel_flights(gone, flights, t["orders"], t["seat"])
     return {"decisions": decided, "flight": new_flights, "orders": orders, "seat": seats,
-            "refunds": transitions.flight_cancel_refunds(gone, t["orders"], totals)}
+            "refunds": transitions.flight_cancel_refunds(gone, touched, totals)}
 
 
 def sale_fact(t: Tables, as_of: str) -> DataFrame:

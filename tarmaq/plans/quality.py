@@ -42,9 +42,13 @@ def orphans(child: DataFrame, fk: list[str], parent: DataFrame, pk: list[str]) -
 
 
 def check_fk(child: DataFrame, fk: list[str], parent: DataFrame, pk: list[str], table: str,
-             parent_name: str) -> DataFrame:
-    """Counts orphans by reference value, so a hot value is one row per map task."""
-    counted = (orphans(child.groupBy(*fk).agg(F.count(F.lit(1)).alias("_n")), fk, parent, pk)
+             parent_name: str, weight: str | None = None) -> DataFrame:
+    """Counts orphans by reference value, so a hot value is one row per map task.
+
+    ``weight`` is the column of a folded child that says how many rows a row stands for.
+    """
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = (orphans(child.groupBy(*fk).agg(rows.alias("_n")), fk, parent, pk)
                .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("bad_rows")))
     return _result(counted, table, f"fk({','.join(fk)}->{parent_name})")
 

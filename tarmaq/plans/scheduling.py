@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ def flight_length(flights: DataFrame, limit: int = P.LONG_FLIGHT_MINUTES) -> Dat
 
 
 def timed(flights: DataFrame, routes: DataFrame) -> DataFrame:
-    """Flights with minutes, start_ts and end_ts."""
+    """Flights with minutes, start_ts and end_ts (NULL where the route is unknown)."""
     return (flights.join(routes.select("route_id", F.col("flight_duration").alias("minutes")),
-                         "route_id")
+                         "route_id", "left")
             .withColumns({"start_ts": F.col("takeoff_ts"),
                           "end_ts": plus_minutes("takeoff_ts", F.col("minutes"))}))
 
@@ -36,17 +38,22 @@ def check_assignments(links: DataFrame, flights: DataFrame, pool: DataFrame, mem
     """Whether each linked crew member (or plane) may serve its flight.
 
     Long flights need a qualified member (trained crew, a large plane), and the
-    member must not serve another open flight at the same time. ``flights``:
-    flight_id, minutes, start_ts, end_ts, open flights only. ``member`` are the
-    columns that identify a member in ``links`` and ``pool``.
+    member must not serve another open flight at the same time. A member that is
+    not in the pool is not ``known`` and may not serve. ``flights``: flight_id,
+    minutes, start_ts, end_ts, open flights only; links of other flights, and of
+    flights without times, are not looked at. ``member`` are the columns that
+    identify a member in ``links`` and ``pool``.
     """
-    served = links.join(flights.select("flight_id", "minutes", "start_ts", "end_ts"), "flight_id")
+    served = links.join(flights.filter(F.col("end_ts").isNotNull())
+                        .select("flight_id", "minutes", "start_ts", "end_ts"), "flight_id")
     counted = self_clash_counts(served, member, "start_ts", "end_ts", "flight_id",
                                 keep=("minutes",))
-    return (counted.join(pool.select(*member, F.col(qualified).alias("_qualified")), member)
-            .withColumn("qualified", ~is_long() | F.col("_qualified"))
+    known = pool.select(*member, F.col(qualified).alias("_qualified"), F.lit(True).alias("_known"))
+    return (counted.join(known, member, "left")
+            .withColumn("known", F.coalesce("_known", F.lit(False)))
+            .withColumn("qualified", F.col("known") & (~is_long() | F.coalesce("_qualified", F.lit(False))))
             .withColumn("eligible", F.col("qualified") & (F.col("clashes") == 0))
-            .select("flight_id", *member, "qualified", "clashes", "eligible"))
+            .select("flight_id", *member, "known", "qualified", "clashes", "eligible"))
 
 
 def available_for(pool: DataFrame, links: DataFrame, flights: DataFrame, member: str,
@@ -119,7 +126,7 @@ def schedule_violations(flights: DataFrame, planes: DataFrame, cabins: DataFrame
     links = crew.unionByName(members(running, "plane", "plane_id", "flight_id"))
     checked = check_assignments(links, running, pool, ["role", "member"], "fit")
     broken = F.array(
-        F.when(~F.col("qualified"), F.concat("role", F.lit(" not fit for a long flight"))),
+        F.when(F.col("known") & ~F.col("qualified"), F.concat("role", F.lit(" not fit for a long flight"))),
         F.when(F.col("clashes") > 0, F.concat("role", F.lit(" has an overlapping flight"))))
     assigned = (checked.select("flight_id", F.explode(F.array_compact(broken)).alias("rule"),
                                F.col("member").alias("subject")))
@@ -136,3 +143,32 @@ def schedule_violations(flights: DataFrame, planes: DataFrame, cabins: DataFrame
     return (assigned.unionByName(rule(heads, "crew size", "role"))
             .unionByName(rule(unpriced, "cabin without a price", "class_type"))
             .unionByName(rule(bare, "plane without Economy", "plane_id")))
+
+
+def reference_violations(new: DataFrame, existing: DataFrame, routes: DataFrame, planes: DataFrame,
+                         managers: DataFrame, pools: dict[str, DataFrame],
+                         links: dict[str, DataFrame]) -> DataFrame:
+    """What proposed flights refer to and is not there: (flight_id, rule, subject).
+
+    A flight_id that is taken, or proposed twice; a status that is not open; an
+    unknown route, plane, manager or (per role of ``pools`` and ``links``) crew
+    member. A NULL reference is unknown.
+    """
+    def rule(df, name, subject):
+        return df.select("flight_id", F.lit(name).alias("rule"), F.col(subject).cast("string").alias("subject"))
+
+    def unknown(df, known, column, name):
+        return rule(df.join(known.select(column).distinct(), column, "left_anti"), name, column)
+
+    twice = new.groupBy("flight_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    closed = new.filter(~F.coalesce(F.col("flight_status").isin(*P.OPEN_FLIGHT), F.lit(False)))
+    found = [rule(new.join(existing.select("flight_id").distinct(), "flight_id", "left_semi"),
+                  "flight id is taken", "flight_id"),
+             rule(twice, "flight id is proposed twice", "flight_id"),
+             rule(closed, "flight is not open", "flight_status"),
+             unknown(new, routes, "route_id", "unknown route"),
+             unknown(new, planes, "plane_id", "unknown plane"),
+             unknown(new, managers.select(F.col("employee_id").alias("manager_id")), "manager_id",
+                     "unknown manager")]
+    found += [unknown(links[role], pool, "employee_id", f"unknown {role}") for role, pool in pools.items()]
+    return reduce(DataFrame.unionByName, found)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tarmaq import params as P
 from tarmaq.functions.scalars import flag, money, moment, plus_hours, plus_minutes
 from tarmaq.operators.numbering import numbered
-from tarmaq.operators.relations import release
+from tarmaq.operators.relations import clear, release
 
 
 def refresh_status(flights: DataFrame, as_of: str) -> DataFrame:
@@ -158,8 +158,7 @@ def cancel_flights(cancelled: DataFrame, flights: DataFrame, orders: DataFrame,
     new_orders = (orders.join(hit, "flight_id", "left")
                   .withColumn("order_status", F.when(voided, P.BY_SYSTEM)
                               .otherwise(F.col("order_status"))).select(*orders.columns))
-    touched = orders.join(cancelled, "flight_id", "left_semi").select("order_id")
-    return new_flights, new_orders, release(seats, touched, "order_id")
+    return new_flights, new_orders, clear(seats, cancelled, "flight_id", "order_id")
 
 
 def derive_full(flights: DataFrame, tally: DataFrame, held: str = "kept",

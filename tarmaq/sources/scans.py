@@ -16,12 +16,31 @@ def scan(spark: SparkSession, folder: str, table: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+MANIFEST = "_manifest"
+MANIFEST_SCHEMA = "name string, version int"
+
+
 def scan_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The sixteen tables of a versioned store under ``folder``."""
-    return {name: scan_version(spark, f"{folder.rstrip('/')}/{name}", schema_of(name))
+    """The sixteen tables of a versioned store under ``folder``.
+
+    The versions are those of the newest complete manifest, so tables that were
+    changed together are read together; without a manifest, the newest ones.
+    """
+    root = folder.rstrip("/")
+    valid = manifest(spark, root)
+    return {name: scan_version(spark, f"{root}/{name}", schema_of(name), valid.get(name))
             for name in TABLES}
 
 
+def manifest(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Versions by table (a row per table) of the newest complete manifest."""
+    known = versions(spark, f"{folder}/{MANIFEST}")
+    if not known:
+        return {}
+    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/{MANIFEST}/v={known[-1]}")
+    return {r["name"]: r["version"] for r in rows.collect()}
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions of a table, oldest first (a version without its
     success marker is an aborted write and is not listed)."""

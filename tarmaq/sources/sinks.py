@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tarmaq.operators.relations import not_existing
-from tarmaq.sources.scans import versions
+from tarmaq.schemas import TABLES
+from tarmaq.sources.scans import MANIFEST, MANIFEST_SCHEMA, manifest, versions
 
 
 def write_version(df: DataFrame, path: str) -> int:
@@ -16,15 +17,39 @@ def write_version(df: DataFrame, path: str) -> int:
     return version
 
 
+def publish(spark: SparkSession, folder: str, changed: dict[str, DataFrame]) -> dict[str, int]:
+    """Write new versions of several tables, and then the manifest that makes them valid.
+
+    Readers go by the newest complete manifest: until it is written they see the
+    old versions of all tables, and a job that stops in between changes nothing.
+    """
+    root = folder.rstrip("/")
+    before = {name: versions(spark, f"{root}/{name}") for name in TABLES}
+    valid = {name: known[-1] for name, known in before.items() if known} | manifest(spark, root)
+    if not versions(spark, f"{root}/{MANIFEST}"):  # what is there now stays valid until the end
+        _write_manifest(spark, root, valid)
+    fresh = {name: write_version(df, f"{root}/{name}") for name, df in changed.items()}
+    _write_manifest(spark, root, valid | fresh)
+    return fresh
+
+
+def _write_manifest(spark: SparkSession, root: str, valid: dict[str, int]) -> None:
+    rows = spark.createDataFrame(sorted(valid.items()), MANIFEST_SCHEMA)
+    write_version(rows.coalesce(1), f"{root}/{MANIFEST}")  # a row per table
+
+
 def append_new(df: DataFrame, existing: DataFrame, path: str, keys: list[str]) -> None:
     """Append only the rows whose key is not there yet, so a rerun adds nothing."""
     not_existing(df, existing, keys).write.mode("append").parquet(path)
 
 
 def write_report(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> str:
-    """Keep a report for display. Reports are small, so one file each."""
+    """Keep a report for display, in as many files as its last stage has tasks.
+
+    Adaptive execution merges small partitions, so a small report is one file.
+    """
     target = f"{folder.rstrip('/')}/{name}"
-    writer = df.coalesce(1).write.mode("overwrite").format(fmt)
+    writer = df.write.mode("overwrite").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(target)
     return target
 

@@ -10,6 +10,8 @@ from airline import AS_OF
 from tarmaq import jobs
 from tarmaq.plans import flows
 from tarmaq.schemas import schema_of
+from tarmaq.sources import sinks
+from tarmaq.sources.scans import manifest, scan_tables
 from tarmaq.sources.sinks import write_version
 
 NOW = datetime(2026, 2, 1)
@@ -124,6 +126,24 @@ def test_schedule(air, spark, case, rules):
     assert got["seat"].count() == (0 if rules else 40)
 
 
+@pytest.mark.parametrize("change, rules", [
+    (dict(route=999), {"unknown route"}), (dict(plane="P9999"), {"unknown plane"}), (dict(manager="M9"), {"unknown manager"}),
+    (dict(pilots=["Psmall0", "nobody"]), {"unknown pilot"}), (dict(status="Completed"), {"flight is not open"}),
+    (dict(attendants=["Asmall0", "Asmall1", "nobody"]), {"unknown attendant"}),
+    (dict(flight="F1001"), {"flight id is taken"}),
+    (dict(flight="F1001", pilots=[], attendants=[]), {"flight id is taken", "crew size"})])
+def test_schedule_rejects_broken_references(air, spark, change, rules):
+    case = dict(flight="F2000", route=101, plane="P0003", manager="M1", status="Scheduled", pilots=CREW[0], attendants=CREW[1]) | change
+    rows = {"flight": [(case["flight"], case["route"], case["plane"], case["manager"], datetime(2026, 4, 1), case["status"])],
+            "pricing": [(case["flight"], case["plane"], "Economy", D("100.00"))],
+            "pilot_flight": [(case["flight"], p) for p in case["pilots"]],
+            "attendant_flight": [(case["flight"], a) for a in case["attendants"]]}
+    got = flows.schedule(air, {name: spark.createDataFrame(r, schema_of(name)) for name, r in rows.items()})
+    found = {r.rule for r in got["violations"].collect()}
+    assert rules <= found and found - rules <= {"plane without Economy"}
+    assert got["flight"].count() == 0 and got["seat"].count() == 0
+
+
 def test_cancel_requests(air, spark):
     asks = spark.createDataFrame([("F1007", "M2"), ("F1019", "M2"), ("F1031", "M3")],
                                  "flight_id string, manager_id string")
@@ -145,11 +165,12 @@ def test_cancel_orders(air, spark):
     late = next(r.order_id for r in held if r.flight_id == "F1005")
     asks = spark.createDataFrame(
         [(early, f" {owner[early].upper()} "), (late, owner[late]), ("O0001", owner["O0001"]),
-         ("O0002", "stranger@example.org")], "order_id string, email string")
+         ("O0002", "stranger@example.org"), ("none", "a@example.org")], "order_id string, email string")
     after = flows.cancel_orders(air, asks, AS_OF)
     assert {r.order_id: (r.decision, r.fee, r.refund) for r in after["decisions"].collect()} == {
         early: ("accepted", D("86.00"), D("1634.00")), late: ("too_late", D("0.00"), D("0.00")),
-        "O0001": ("not_active", D("0.00"), D("0.00"))}
+        "O0001": ("not_active", D("0.00"), D("0.00")), "O0002": ("not_found", D("0.00"), D("0.00")),
+        "none": ("not_found", D("0.00"), D("0.00"))}
     assert after["seat"].filter("order_id is not null").count() == 753 - 4
     assert after["orders"].filter("order_status = 'Cancelled by customer'").count() == 14
 
@@ -165,3 +186,26 @@ def test_jobs(air, spark, tmp_path):
     jobs.run(spark, "audit", store, out, fmt="csv")
     found = spark.read.option("header", True).csv(f"{out}/audit")
     assert found.filter("bad_rows <> '0'").count() == 0 and found.count() > 100
+
+
+def test_a_refresh_that_stops_half_way_changes_nothing(air, spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    for name, df in air.items():
+        write_version(df, f"{store}/{name}")
+    real = sinks.write_version
+
+    def stops(df, path):
+        if path.endswith("/orders"):
+            raise RuntimeError("lost")
+        return real(df, path)
+
+    monkeypatch.setattr(sinks, "write_version", stops)
+    with pytest.raises(RuntimeError):
+        jobs.run(spark, "refresh", store, as_of=AS_OF)
+    monkeypatch.undo()
+    seen = scan_tables(spark, store)
+    for name in ("flight", "seat", "orders"):
+        assert seen[name].exceptAll(air[name]).count() == 0 and seen[name].count() == air[name].count()
+    jobs.run(spark, "refresh", store, as_of=AS_OF)
+    assert manifest(spark, store)["orders"] == 2
+    assert scan_tables(spark, store)["flight"].filter("flight_status = 'Completed'").count() == 21

@@ -58,7 +58,7 @@ def test_assignments(spark):
     flights = spark.createDataFrame([
         flight("A", 0, 360), flight("B", 5, 60), flight("C", 6, 60), flight("D", 6.5, 30)], FLIGHT)
     links = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "x"), ("A", "y"), ("D", "z"),
-                                   ("C", "z")], "flight_id string, employee_id string")
+                                   ("C", "z"), ("B", "stranger")], "flight_id string, employee_id string")
     pool = spark.createDataFrame([("x", False), ("y", True), ("z", False)],
                                  "employee_id string, long_flight_training boolean")
     checked = C.check_assignments(links, C.open_flights(flights), pool, ["employee_id"],
@@ -67,7 +67,8 @@ def test_assignments(spark):
            for r in checked.collect()}
     assert got == {("A", "x"): (False, 1, False), ("B", "x"): (True, 1, False),
                    ("C", "x"): (True, 0, True), ("A", "y"): (True, 0, True),
-                   ("D", "z"): (True, 1, False), ("C", "z"): (True, 1, False)}
+                   ("D", "z"): (True, 1, False), ("C", "z"): (True, 1, False),
+                   ("B", "stranger"): (False, 0, False)}
 
 
 def test_available_for_one_flight(air):
