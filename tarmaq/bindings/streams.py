@@ -9,15 +9,27 @@ from tarmaq.bindings import query
 from tarmaq.bindings.states import CLAIMS, SESSIONS
 from tarmaq.bindings.views import EVENT_SCHEMA, HOLD_TTL, events, seat_requests
 from tarmaq.plans.claims import SEAT
-from tarmaq.streaming import drain, read_files
+from tarmaq.session import run_dir
+from tarmaq.streaming import CLOSING, drain, open_files, read_files
 from tarmaq.streaming.claims import drain_claims
 from tarmaq.streaming.holds import lapsed_holds
-from tarmaq.streaming.windows import drain_complete, stream_sessions, tumbling_counts
+from tarmaq.streaming.windows import stream_sessions, tumbling_counts
 
+FILES = "events*.parquet"
 
-def _stream(spark, sf, *kinds):
-    df = read_files(spark, sf, EVENT_SCHEMA, "events*.parquet")
-    return df.filter(F.col("event_type").isin(*kinds)) if kinds else df
+
+def _closing(spark):
+    """One closing row for each kind of event that a query watermarks."""
+    return spark.createDataFrame([(-1, CLOSING, -1, kind, None) for kind in ("view", "purchase")],
+                                 EVENT_SCHEMA)
+
+
+def _stream(spark, sf, target):
+    return open_files(spark, sf, EVENT_SCHEMA, target, FILES)
+
+
+def _of(stream, kind):
+    return stream.filter(F.col("event_type") == kind)
 
 
 @query("stream_tumbling_counts", """
@@ -25,40 +37,34 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
        count(*) AS n
 FROM events GROUP BY ALL""")
 def stream_tumbling_counts(spark, sf):
-    return drain_complete(tumbling_counts(_stream(spark, sf), "ts", "1 day", ["event_type"]),
-                          "tumbling")
+    target = run_dir(spark, "tumbling")
+    return drain(tumbling_counts(_stream(spark, sf, target), "ts", "1 day", ["event_type"]), target,
+                 _closing(spark))
 
 
-# What the watermark has settled: one hour behind the slower of the two sides it
-# has passed the hold's own slot and the next.
 @query("stream_expire_holds", f"""
-WITH w AS (
-  SELECT least(max(ts) FILTER (WHERE event_type = 'view'),
-               max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL 1 HOUR AS mark
-  FROM events)
-SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS held_at FROM events v, w
+SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS held_at FROM events v
 WHERE event_type = 'view'
-  AND time_bucket(to_minutes({HOLD_TTL}), ts) + to_minutes(2 * {HOLD_TTL}) <= mark
   AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase'
                   AND p.user_id = v.user_id AND p.ts >= v.ts
                   AND p.ts <= v.ts + to_minutes({HOLD_TTL}))""")
 def stream_expire_holds(spark, sf):
-    return drain(lapsed_holds(_stream(spark, sf, "view"), _stream(spark, sf, "purchase"),
-                              "user_id", "event_id", "ts", HOLD_TTL), "holds")
+    target = run_dir(spark, "holds")
+    stream = _stream(spark, sf, target)
+    return drain(lapsed_holds(_of(stream, "view"), _of(stream, "purchase"), "user_id", "event_id", "ts",
+                              HOLD_TTL), target, _closing(spark))
 
 
-@query("stream_sessions", f"""
-SELECT * FROM ({SESSIONS})
-WHERE session_end <= (SELECT strftime(max(ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f')
-                      FROM events)""")
+@query("stream_sessions", SESSIONS)
 def stream_session_windows(spark, sf):
-    return drain(stream_sessions(_stream(spark, sf), "user_id", "ts", P.SESSION_IDLE_MINUTES),
-                 "sessions")
+    target = run_dir(spark, "sessions")
+    return drain(stream_sessions(_stream(spark, sf, target), "user_id", "ts", P.SESSION_IDLE_MINUTES),
+                 target, _closing(spark))
 
 
 @query("stream_claims", CLAIMS)
 def stream_claims(spark, sf):
-    requests = seat_requests(_stream(spark, sf, "click"))
+    requests = seat_requests(_of(read_files(spark, sf, EVENT_SCHEMA, FILES), "click"))
     seats = (seat_requests(events(spark, sf, "click")).select(*SEAT).distinct()
              .withColumn("order_id", F.lit(None).cast("bigint")))
-    return drain_claims(requests, seats).drop("epoch")
+    return drain_claims(requests, seats, run_dir(spark, "claims")).drop("epoch")

@@ -7,25 +7,24 @@ from pyspark.sql import functions as F
 
 from tarmaq.operators.relations import exists_in, not_existing
 from tarmaq.plans.claims import SEAT, claim_all_or_nothing
-from tarmaq.session import run_dir
 
 
-def drain_claims(requests: DataFrame, seats: DataFrame, purpose: str = "claims") -> DataFrame:
+def drain_claims(requests: DataFrame, seats: DataFrame, target: str) -> DataFrame:
     """Decide requests batch by batch; earlier batches come first.
 
     Each batch runs the set-based claim rule against the requested seats as the
     earlier batches left them. A batch writes its decisions and the seats it
     handed out under its own epoch and reads earlier epochs only, so a batch
-    that is run again replaces its own output and the result is exactly-once.
+    that is run again replaces its own output and the result is exactly-once. A
+    later run with the same ``target`` folder goes on after the last batch.
     """
     spark = requests.sparkSession
-    target = run_dir(spark, purpose)
     key = requests.schema["order_id"].dataType.simpleString()
     types = {c: seats.schema[c].dataType.simpleString() for c in SEAT}
     decision = f"order_id {key}, flight_id {types['flight_id']}, seats bigint, accepted boolean"
     handed_out = ", ".join(f"{c} {t}" for c, t in types.items()) + ", epoch bigint"
-    spark.createDataFrame([], decision).write.parquet(f"{target}/decided/epoch=-1")
-    seats.select(*SEAT).limit(0).write.parquet(f"{target}/taken/epoch=-1")
+    spark.createDataFrame([], decision).write.mode("ignore").parquet(f"{target}/decided/epoch=-1")
+    seats.select(*SEAT).limit(0).write.mode("ignore").parquet(f"{target}/taken/epoch=-1")
 
     def decide(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession

@@ -5,42 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmaq.session import run_dir
 from tarmaq.streaming import event_time
 
 
 def tumbling_counts(events: DataFrame, ts: str, size: str, keys: list[str],
                     delay: str = "1 day") -> DataFrame:
-    """Events per time window and keys (partial counts before the shuffle)."""
+    """Events per time window and keys (partial counts before the shuffle).
+
+    A window is emitted, and its state dropped, once the watermark has closed it.
+    """
     return (event_time(events.select(ts, *keys), ts, delay)
             .groupBy(F.window(ts, size), *keys).agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                     *keys, "n"))
 
 
-def drain_complete(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run an aggregate to the end of the available files and return it whole.
-
-    Complete mode also yields the windows the watermark has not closed. Each
-    batch writes its own folder, so a batch that is run again replaces itself.
-    """
-    spark = stream.sparkSession
-    target = run_dir(spark, purpose)
-    last = {}
-
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/out/epoch={epoch}")
-        last["epoch"] = epoch
-
-    query = (stream.writeStream.outputMode("complete").foreachBatch(keep)
-             .option("checkpointLocation", f"{target}/state")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{target}/out/epoch={last['epoch']}")
-
-
 def stream_sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
                     delay: str = "1 hour") -> DataFrame:
     """Closed sessions, emitted once the watermark has passed their end.
