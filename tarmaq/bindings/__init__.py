@@ -33,4 +33,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from tarmaq.bindings import checks, listings, reports, states, streams  # noqa: F401
+    from tarmaq.bindings import checks, listings, reports, states, store, streams  # noqa: F401
