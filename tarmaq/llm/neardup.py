@@ -161,7 +161,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     signs = classes.select("rep", "n_shingles", "signature")
     both = (pairs.join(signs.toDF("a", "n_a", "sign_a"), "a").join(signs.toDF("b", "n_b", "sign_b"), "b")
             .filter(_ratio("n_a", "n_b")).select("a", "b", "sign_a", "sign_b"))
-    near = stored(both.mapInArrow(_near, "a long, b long").distinct(), "near")
+    near = stored(both.mapInArrow(_near, "a long, b long"), "near")
     return (near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
             .mapInArrow(_confirm, "a long, b long"))
 
@@ -193,7 +193,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     tested = stored(crowded.filter("before IS NOT NULL")
                     .select("rep", F.explode(F.array("before", "center")).alias("x")).filter("x != rep")
                     .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct(), "tested")
-    links = stored(confirm(tested, classes, texts).distinct(), "links")
+    links = stored(confirm(tested, classes, texts), "links")
     labels = components(links)
 
     rows = (crowded.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
@@ -208,7 +208,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rest = (rows.join(other, (rows["key"] == other["key"]) & open_)
             .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti"))
-    more = stored(confirm(stored(rest, "rest"), classes, texts).distinct(), "links")
+    more = confirm(stored(rest, "rest"), classes, texts)
     labels = components(links.union(more))
 
     smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
