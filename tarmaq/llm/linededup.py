@@ -38,10 +38,14 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 
 def _refine(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys occur twice, with the first of their class (by document, then place) as its name."""
+    """Rows whose keys occur twice, with the first of their class (by document, then place) as its name.
+
+    The classes are a table before they are joined: then both sides of the join
+    come straight from a shuffle, and Spark can split a line that is very common.
+    """
     place = F.struct("doc_id", "hash", "seq")
-    classes = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-               .filter("n > 1").drop("n"))
+    classes = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+                     .filter("n > 1").drop("n"), "classes")
     return rows.join(classes, keys)
 
 
@@ -54,7 +58,8 @@ def later_copies(lines: DataFrame) -> DataFrame:
     while depth < MIN_LINES:
         step = min(depth, MIN_LINES - depth)
         behind = F.first("name").over(in_document.rangeBetween(step, step))
-        rows = stored(_refine(rows.withColumn("behind", behind).filter("behind IS NOT NULL"), ["name", "behind"])
+        pairs = stored(rows.withColumn("behind", behind).filter("behind IS NOT NULL"), "pairs")
+        rows = stored(_refine(pairs, ["name", "behind"])
                       .select("doc_id", "hash", "seq", F.col("first").alias("name")), "suffixes")
         depth += step
     starts = (rows.filter(F.col("name") < F.struct("doc_id", "hash", "seq"))
