@@ -10,7 +10,9 @@ lengths are powers of two, so no sequence needs padding.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from itertools import chain
 
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmaq.llm.common import block_texts, row_sums, text_blocks
+from tarmaq.llm.common import block_texts, text_blocks
 
 SEQUENCE = 2048
 END_OF_TEXT = 1
@@ -30,6 +32,9 @@ BUCKETS = 1 << 16
 KEPT_WORDS = 500_000
 SEQUENCES_PER_TASK = 1 << 36
 
+#: Fixed value: how byte-level BPE splits text before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, sequence_length long")
 
@@ -42,11 +47,12 @@ def points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data) - 3
     if n <= 0:
         return np.zeros((len(offsets) - 1, DIMENSIONS))
-    wide = data.astype(np.uint32)
-    grams = wide[:n] | (wide[1:n + 1] << 8) | (wide[2:n + 2] << 16) | (wide[3:] << 24)
-    buckets = ((grams * _GRAM) >> np.uint32(16)).astype(np.int32)
+    grams = np.ndarray(n, "<u4", np.ascontiguousarray(data), strides=(1,))  # every four bytes as a number
+    projected = _DIRECTIONS.take(((grams * _GRAM) >> np.uint32(16)).astype(np.intp), axis=0)
     edges = np.minimum(offsets, n)
-    total = row_sums(_DIRECTIONS[buckets], edges)
+    some = np.flatnonzero(np.diff(edges) > 0)
+    total = np.zeros((len(offsets) - 1, DIMENSIONS), np.float32)
+    total[some] = np.add.reduceat(projected, edges[:-1][some], axis=0)
     return np.tanh(4 * total / np.maximum(np.diff(edges), 1)[:, None])
 
 
@@ -84,22 +90,42 @@ def curve_key(column: pa.Array) -> pa.Array:
     return pa.array(np.concatenate(keys))
 
 
+def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes to numbers, and the special tokens, of a byte-level BPE file.
+
+    Such a file writes a byte as a character: printable ones as themselves, the
+    others in order from U+0100. Numbers follow the order of the merges.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(printable)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(other)}
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    vocabulary = {t: n for t, n in model["model"]["vocab"].items() if t not in special}
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+    if merged != sorted(merged):
+        raise ValueError("token numbers must follow the order of the merges")
+    return {bytes(byte_of[c] for c in t): n for t, n in vocabulary.items()}, special
+
+
 class WordTokenizer:
     """Token numbers of texts, by way of a table of words.
 
     The byte-level pattern always starts a new token at a blank that a
-    non-blank follows, so texts can be cut there without a change of the result.
+    non-blank follows, so texts can be cut there without a change of the
+    result. Special tokens' names in a text are ordinary text.
     """
 
     _open: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their names in a text are text
-        if self.model.get_vocab_size() > 1 << 16:
+        ranks, special = byte_ranks(path)
+        if max([*ranks.values(), *special.values()]) >= 1 << 16:
             raise ValueError("token numbers must fit into 16 bits")
+        self.model = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.plain: dict[str, bytes] = {}  # a piece as it stands
         self.spaced: dict[str, bytes] = {}  # a word behind a blank
         self.odd = re.compile(r" (?:\s|\Z)")
@@ -116,9 +142,10 @@ class WordTokenizer:
         if len(table) + len(new) > KEPT_WORDS:
             table.clear()
             new = list(wanted)
-        found = self.model.encode_batch_fast([prefix + w for w in new], add_special_tokens=False)
-        for word, own in zip(new, found):
-            table[word] = np.array(own.ids, np.uint16).tobytes()
+        encode, pack_ = self.model.encode_ordinary, struct.pack
+        for word in new:
+            own = encode(prefix + word)
+            table[word] = pack_(f"<{len(own)}H", *own)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token numbers of each text, as 16-bit numbers."""
