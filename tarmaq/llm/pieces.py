@@ -26,8 +26,8 @@ from tarmaq.llm.common import add_columns, block_texts
 BLANK = "▁"
 BLANK_BYTES = BLANK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words kept by a worker; the table starts anew when it is full.
-KEPT_WORDS = 500_000
+#: Words in each of the two tables that a worker keeps.
+KEPT_WORDS = 300_000
 #: Words above this many characters are merged with a heap.
 LONG = 64
 
@@ -125,7 +125,7 @@ class PieceModel:
                 if left is not None and right is not None:
                     self.pair_order[left * SHIFT + right] = order[-self.scores[i]]
                     self.pair_piece[left * SHIFT + right] = i
-        self.words = _Words(self)
+        self.words, self.before = _Words(self), {}
         self._pairs = None
 
     @property
@@ -224,16 +224,8 @@ class PieceModel:
 
     def _merge_table(self, words: list[str]) -> list[bytes]:
         if self._pairs is None:
-            keys = np.array(sorted(self.pair_order), np.int64)
-            self._pairs = (keys, np.array([self.pair_order[k] for k in keys.tolist()], np.int64),
-                           np.array([self.pair_piece[k] for k in keys.tolist()], np.int64))
-        keys, orders, become = self._pairs
-
-        def find(left, right):
-            wanted = left * SHIFT + right
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            there = (keys[at] == wanted) & (left >= 0) & (right >= 0)
-            return np.where(there, orders[at], NEVER), become[at]
+            self._pairs = _PairTable(self.pair_order, self.pair_piece)
+        find = self._pairs.find
 
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         lengths = np.array([len(w) for w in words])
@@ -244,26 +236,28 @@ class PieceModel:
         place = np.arange(width + 1)
         table[place < lengths[:, None]] = numbers
         costs, _ = find(table[:, :-1], table[:, 1:])
-        rows = np.arange(len(words))
-        while len(rows):
-            at = costs[rows].argmin(axis=1)
-            going = costs[rows, at] < NEVER
-            rows, at = rows[going], at[going]
+        rows, part = np.arange(len(words)), table.copy()
+        while True:
+            index = np.arange(len(rows))
+            at = costs.argmin(axis=1)
+            going = costs[index, at] < NEVER
+            if not going.all():
+                table[rows[~going]] = part[~going]
+                rows, part, costs, at = rows[going], part[going], costs[going], at[going]
+                index = index[:len(rows)]
             if not len(rows):
                 break
-            _, new = find(table[rows, at], table[rows, at + 1])
+            _, new = find(part[index, at], part[index, at + 1])
             moved = np.minimum(place + (place > at[:, None]), width)
-            part = np.take_along_axis(table[rows], moved, axis=1)
+            part = np.take_along_axis(part, moved, axis=1)
             part[:, width] = -1
-            part[np.arange(len(rows)), at] = new
-            cost = np.take_along_axis(costs[rows], np.minimum(moved[:, :width], width - 1), axis=1)
-            cost[:, width - 1] = NEVER
-            index = np.arange(len(rows))
-            cost[index, at], _ = find(new, part[index, at + 1])
+            part[index, at] = new
+            costs = np.take_along_axis(costs, np.minimum(moved[:, :width], width - 1), axis=1)
+            costs[:, width - 1] = NEVER
+            costs[index, at], _ = find(new, part[index, at + 1])
             before = np.maximum(at - 1, 0)
             left, _ = find(part[index, before], new)
-            cost[index, before] = np.where(at > 0, left, cost[index, before])
-            table[rows], costs[rows] = part, cost
+            costs[index, before] = np.where(at > 0, left, costs[index, before])
         inside = table >= 0
         edges = np.concatenate(([0], np.cumsum(inside.sum(axis=1)))).tolist()
         flat = table[inside]
@@ -276,13 +270,21 @@ class PieceModel:
                 for k, (a, b) in enumerate(zip(edges, edges[1:]))]
 
     def learn(self, words: set[str]) -> None:
-        """Adds short words to the table of kept words."""
-        kept = self.words
-        new = sorted((w for w in words if w not in kept and len(w) < LONG), key=len)
-        if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
+        """Adds short words to the kept ones, those kept before the last change of table first."""
+        kept, before = self.words, self.before
+        new = [w for w in words if w not in kept and len(w) < LONG]
+        known = [w for w in new if w in before]
+        if known:
+            kept.update({w: before[w] for w in known})
+            new = [w for w in new if w not in kept]
+        new.sort(key=len)
         kept.update(zip(new, self.merge_many([BLANK + w for w in new])))
 
+    def forget(self) -> None:
+        """A full table becomes the one before; words that come up again move back."""
+        if len(self.words) > KEPT_WORDS:
+            self.before, self.words = self.words, _Words(self)
+
     def _merge_heap(self, parts: list[str]) -> list[str]:
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
@@ -323,7 +325,9 @@ class PieceModel:
         parts = [self.cut(t) for t in texts]
         self.learn(set(chain.from_iterable(parts)))
         get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), np.uint16) for own in parts]
+        found = [np.frombuffer(b"".join(map(get, own)), np.uint16) for own in parts]
+        self.forget()
+        return found
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -434,6 +438,47 @@ class PieceModel:
         return bytes(out)
 
 
+class _PairTable:
+    """Order and result of the merges by pair: open addressing, looked up for many pairs at once."""
+
+    def __init__(self, orders: dict[int, int], pieces: dict[int, int]):
+        keys = np.array(list(orders), np.int64)
+        bits = max(8, int(len(keys) * 5).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.orders = np.full(1 << bits, NEVER, np.int64)
+        self.pieces = np.zeros(1 << bits, np.int64)
+        left, slots = np.arange(len(keys)), self.slot(keys)
+        while len(left):  # of the pairs that want a free slot the first gets it, the others go on
+            free = self.keys[slots] < 0
+            _, first = np.unique(np.where(free, slots, -1), return_index=True)
+            first = first[free[first]]
+            self.keys[slots[first]] = keys[left[first]]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, slots = left[rest], (slots[rest] + 1) & self.mask
+        filled = np.flatnonzero(self.keys >= 0)
+        self.orders[filled] = [orders[k] for k in self.keys[filled].tolist()]
+        self.pieces[filled] = [pieces[k] for k in self.keys[filled].tolist()]
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the merge (``NEVER``: there is none) and the piece it makes."""
+        wanted = np.where((left < 0) | (right < 0), -2, left * SHIFT + right)
+        slots = self.slot(wanted)
+        held = self.keys[slots]
+        flat_slots, flat_wanted = slots.reshape(-1), wanted.reshape(-1)
+        going = np.flatnonzero(((held != wanted) & (held >= 0)).reshape(-1))
+        while len(going):  # someone else's slot
+            flat_slots[going] = (flat_slots[going] + 1) & self.mask
+            held = self.keys[flat_slots[going]]
+            going = going[(held != flat_wanted[going]) & (held >= 0)]
+        there = self.keys[slots] == wanted
+        return np.where(there, self.orders[slots], NEVER), self.pieces[slots]
+
+
 class _Words(dict):
     """Pieces of a word behind a blank mark, as 16-bit numbers."""
 
