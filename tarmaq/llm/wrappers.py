@@ -48,6 +48,8 @@ SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: Longest repeated group of neighbouring blocks.
 GROUP = 4
+#: Groups that a host's wrappers are aligned in before those of the groups are.
+SHARES = 64
 #: Pages of a host before its literals count as the host's own words.
 LITERAL_PAGES = 3
 
@@ -348,7 +350,11 @@ def infer(pages: DataFrame) -> DataFrame:
                         names=["host", "wrapper"])
 
     schema = "host string, wrapper string"
-    return pages.select("host", "html").mapInArrow(per_task, schema).groupBy("host").applyInArrow(per_host, schema)
+    found = pages.select("host", "html").mapInArrow(per_task, schema)
+    # in two steps: a host's wrappers from all tasks would be one group otherwise
+    some = (found.withColumn("share", F.spark_partition_id() % SHARES).groupBy("host", "share")
+            .applyInArrow(per_host, schema))
+    return some.groupBy("host").applyInArrow(per_host, schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:
