@@ -50,7 +50,7 @@ STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 GROUP = 4
 #: Groups that a host's wrappers are aligned in before those of the groups are.
 SHARES = 64
-#: Pages of a host before its literals count as the host's own words.
+#: Distinct pages of a host before its literals count as the host's own words.
 LITERAL_PAGES = 3
 
 _TOKEN = re.compile(
@@ -261,14 +261,46 @@ def main_path(wrapper: dict) -> list[str]:
     return path
 
 
+def number(wrapper: dict, first: int = 0) -> int:
+    """Gives every literal outside skipped blocks a number "i"; returns the next one."""
+    if label_kind(wrapper["l"])[0]:
+        return first
+    if wrapper["t"]:
+        wrapper["i"] = first
+        first += 1
+    for _, _, inner in wrapper["c"]:
+        first = number(inner, first)
+    return first
+
+
+def inner_wrappers(wrapper: dict | None) -> dict[str, dict]:
+    """The wrappers of a block's children by label, those in groups too."""
+    known: dict[str, dict] = {}
+    for _, _, w in wrapper["c"] if wrapper is not None else ():
+        for x in [w, *(inner for _, _, inner in w["c"])] if w["l"].startswith("(") else [w]:
+            known.setdefault(x["l"], x)
+    return known
+
+
+def literals(block: Block, wrapper: dict, found: set[int]) -> set[int]:
+    """Adds the numbers of the wrapper's literals that the page has."""
+    if "i" in wrapper and any(isinstance(c, str) and not c.isspace() for c in block.children):
+        found.add(wrapper["i"])
+    known = inner_wrappers(wrapper)
+    for child in block.children:
+        if not isinstance(child, str) and child.label in known:
+            literals(child, known[child.label], found)
+    return found
+
+
 class Extractor:
-    """Takes the main text out of a host's pages."""
+    """Takes the main text out of a host's pages; ``own`` has the numbers of the literals that are the host's words."""
 
-    def __init__(self, wrapper: dict):
+    def __init__(self, wrapper: dict, own: frozenset = frozenset()):
         self.wrapper = wrapper
         self.article = articles(wrapper)
         self.path = [] if self.article else main_path(wrapper)
-        self.literal = wrapper["n"] >= LITERAL_PAGES and slots(wrapper) > 0
+        self.own = own if slots(wrapper) > 0 else frozenset()
 
     def text(self, page: str) -> str:
         root = parse(page)
@@ -288,13 +320,8 @@ class Extractor:
 
     def _walk(self, block: Block, wrapper: dict | None, inside: bool, out: list[str]) -> None:
         """Adds the block's texts; a text ends where a block begins or ends."""
-        literal = (self.literal and not inside and wrapper is not None and wrapper["t"] not in (None, "")
-                   and wrapper["n"] >= LITERAL_PAGES)
-        known: dict[str, dict] = {}
-        if wrapper is not None:
-            for _, _, w in wrapper["c"]:
-                for x in [w, *(inner for _, _, inner in w["c"])] if w["l"].startswith("(") else [w]:
-                    known.setdefault(x["l"], x)
+        literal = not inside and wrapper is not None and wrapper.get("i") in self.own
+        known = inner_wrappers(wrapper)
         text: list[str] = []
 
         def flush() -> None:
@@ -346,6 +373,7 @@ def infer(pages: DataFrame) -> DataFrame:
         for own in sorted(table.column("wrapper").to_pylist()):
             own = json.loads(own)
             whole = own if whole is None else merge(whole, own)
+        number(whole)
         return pa.table([table.column("host").slice(0, 1), pa.array([json.dumps(whole)], pa.string())],
                         names=["host", "wrapper"])
 
@@ -357,6 +385,37 @@ def infer(pages: DataFrame) -> DataFrame:
     return some.groupBy("host").applyInArrow(per_host, schema)
 
 
+def own_words(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """One row per host: host, own (numbers of the literals that are the host's own words).
+
+    Those stand in most of the host's distinct pages, ``LITERAL_PAGES`` at least.
+    Every page is looked at, but only its hash and literals are grouped.
+    """
+    def run(batches):
+        held: dict[str, dict] = {}
+        for batch in batches:
+            found = []
+            for wrapper, page in zip(batch.column("wrapper").to_pylist(), batch.column("html").to_pylist()):
+                if wrapper not in held:
+                    if len(held) >= 1000:
+                        held.clear()
+                    held[wrapper] = json.loads(wrapper)
+                found.append([-1, *sorted(literals(parse(page or ""), held[wrapper], set()))])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_hash"),
+                                              pa.array(found, pa.list_(pa.int32()))], ["host", "page_hash", "found"])
+
+    seen = (pages.select("host", "html", F.xxhash64("html").alias("page_hash")).join(wrappers, "host")
+            .select("host", "page_hash", "html", "wrapper")
+            .mapInArrow(run, "host string, page_hash long, found array<int>"))
+    counts = (seen.groupBy("host", "page_hash").agg(F.first("found").alias("found"))
+              .select("host", F.explode("found").alias("i")).groupBy("host", "i").agg(F.count("*").alias("n")))
+    whole = F.max(F.when(F.col("i") == -1, F.col("n")))  # the page itself
+    many = F.filter(F.collect_list(F.struct("i", "n")), lambda x: (x["i"] >= 0))
+    return (counts.groupBy("host").agg(whole.alias("pages"), many.alias("found"))
+            .select("host", F.expr(f"transform(filter(found, x -> x.n >= {LITERAL_PAGES} AND 2 * x.n > pages), x -> x.i)")
+                    .alias("own")))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Rows page_id, url, text, n_chars for every row of ``pages``.
 
@@ -366,21 +425,22 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     pages = pages.select(F.col("page_id").alias("page_id"), "url", "html").withColumn("host", host_of("url"))
     wrappers = stored(infer(pages), "wrappers")
+    wrappers = stored(wrappers.join(own_words(pages, wrappers), "host"), "own-words")
 
     def run(batches):
         held: dict[str, Extractor] = {}
         for batch in batches:
             texts = []
-            for wrapper, page in zip(batch.column("wrapper").to_pylist(), batch.column("html").to_pylist()):
-                if wrapper not in held:
+            for host, wrapper, own, page in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "own", "html"))):
+                if host not in held:
                     if len(held) >= 1000:
                         held.clear()
-                    held[wrapper] = Extractor(json.loads(wrapper))
-                texts.append(held[wrapper].text(page or ""))
+                    held[host] = Extractor(json.loads(wrapper), frozenset(own))
+                texts.append(held[host].text(page or ""))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)
-    return pages.join(wrappers, "host").select("page_id", "url", "html", "wrapper").mapInArrow(
+    return pages.join(wrappers, "host").select("page_id", "url", "html", "host", "wrapper", "own").mapInArrow(
         run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")

@@ -48,6 +48,16 @@ def test_pages_without_an_article_follow_the_host(spark):
         assert out[k].split("\n") == want
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    def page(k, more=""):
+        return f"<body><h1>Title of {k * 37}</h1>{more}<p>First words {k}</p><p>Second words {k}</p><h6>Our house</h6></body>"
+    quote = "<blockquote>A real quotation</blockquote>"
+    pages = [("http://h/1", page(1, quote))] * 9 + [(f"http://h/{k}", page(k)) for k in range(2, 5)]
+    out = texts(spark, pages)
+    assert all(out[k].split("\n") == ["Title of 37", "A real quotation", "First words 1", "Second words 1"] for k in range(9))
+    assert out[9].split("\n") == ["Title of 74", "First words 2", "Second words 2"]
+
+
 def test_odd_pages(spark):
     pages = [("http://x/", None), ("http://x/", ""), (None, "plain words"), ("no host", "<p>a<p>b"), (None, "<div><article>"),
              ("http://y/", "a < b & c &copy; &#x41; <notatag"), ("http://z/", "<p>" * 3000 + "deep"),
