@@ -11,7 +11,7 @@ and a host's wrappers from all tasks are aligned with each other, so a host
 with a third of the pages sends one wrapper per task.
 
 From a host's wrapper follows what its pages' main text is: an article or main
-block if there is one, else the block that holds most of the slots' text;
+block if there is one, else the innermost block that holds all content;
 without blocks for menus, adverts, forms and the like, and outside an article
 without literals, which are the host's own words.
 """
@@ -33,6 +33,8 @@ from tarmaq.llm.common import stored
 RAW = "script|style|noscript|template|iframe|svg|canvas|textarea|select|object|video|audio|math"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
+#: Blocks that a link may hold.
+LINKED = frozenset("div figure figcaption h1 h2 h3 h4 h5 h6 p section".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED_TAGS = frozenset("nav footer aside form button head dialog menu input link meta".split())
 SKIPPED_WORDS = frozenset(
@@ -52,22 +54,26 @@ GROUP = 4
 SHARES = 64
 #: Distinct pages of a host before its literals count as the host's own words.
 LITERAL_PAGES = 3
+#: Least share of link text in a list of links.
+LINK_SHARE = 0.8
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_NUMBER = re.compile(r"\d+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Block:
-    """A block of a page: its label, and child blocks and texts in order."""
+    """A block of a page: its label, child blocks and texts in order, and the characters of its links."""
 
-    __slots__ = ("label", "children")
+    __slots__ = ("label", "children", "links")
 
     def __init__(self, label: str):
         self.label = label
         self.children: list[Block | str] = []
+        self.links = 0
 
     def text(self) -> str:
         return " ".join("".join(c for c in self.children if isinstance(c, str)).split())
@@ -98,6 +104,7 @@ def parse(page: str) -> Block:
     """The tree of a page; missing end tags are supplied, stray ones dropped."""
     root = Block("page")
     stack, tags, at = [root], ["page"], 0
+    link = False
 
     def close(upto: int) -> None:
         del stack[upto:], tags[upto:]
@@ -105,10 +112,16 @@ def parse(page: str) -> Block:
     for token in _TOKEN.finditer(page):
         if token.start() > at:
             stack[-1].children.append(page[at:token.start()])
+            if link:
+                stack[-1].links += len(" ".join(page[at:token.start()].split()))
         at = token.end()
         if token[3] is None:
             continue
         tag = token[3].lower()
+        if tag == "a":
+            link = not token[2]
+        elif tag not in INLINE and tag != "br" and tag not in LINKED:  # a link left open
+            link = False
         if token[2]:
             if tag in INLINE and tag not in tags:
                 continue
@@ -148,13 +161,16 @@ def parse(page: str) -> Block:
 
 
 # -- wrappers -------------------------------------------------------------------
-# A wrapper is {"l": label, "n": pages, "t": text, "m": characters, "c": items}; text is "" (none), a literal's digest
-# or None (a slot). An item is [fewest (0 or 1), repeated, wrapper]; a group has the label "( .. )" of its members.
+# A wrapper is {"l": label, "n": pages, "t": text, "d": text, "m": characters, "k": those of links, "c": items}; text is
+# "" (none), a literal's digest or None (a slot), "d" the same of the text without its numbers. An item is [fewest (0 or 1), repeated, wrapper]; a group has the label "( .. )" of its members.
 
 def wrapper_of(block: Block) -> dict:
     """The wrapper of a single page."""
     text = block.text()
-    return {"l": block.label, "n": 1, "t": hashlib.md5(text.encode()).hexdigest()[:12] if text else "", "m": len(text),
+    digest = hashlib.md5(text.encode()).hexdigest()[:12] if text else ""
+    shape = _NUMBER.sub("0", text)
+    return {"l": block.label, "n": 1, "t": digest, "m": len(text), "k": block.links,
+            "d": digest if shape == text else hashlib.md5(shape.encode()).hexdigest()[:12],
             "c": fold([[1, False, wrapper_of(c)] for c in block.children
                        if not isinstance(c, str) and c.label != "br"])}
 
@@ -167,8 +183,8 @@ def _one(left: list, right: list) -> list:
 
 
 def _group(items: list) -> dict:
-    return {"l": "(" + ",".join(i[2]["l"] for i in items) + ")", "n": max(i[2]["n"] for i in items), "t": "", "m": 0,
-            "c": items}
+    return {"l": "(" + ",".join(i[2]["l"] for i in items) + ")", "n": max(i[2]["n"] for i in items), "t": "", "d": "", "m": 0,
+            "k": 0, "c": items}
 
 
 def fold(items: list, known: frozenset = frozenset()) -> list:
@@ -232,7 +248,8 @@ def merge(one: dict, two: dict) -> dict:
             items.append([min(left[a][0], right[b][0]), left[a][1] or right[b][1], merge(left[a][2], right[b][2])])
         i, j = a + 1, b + 1
     return {"l": one["l"], "n": one["n"] + two["n"], "m": one["m"] + two["m"],
-            "t": one["t"] if one["t"] == two["t"] else None, "c": items}
+            "k": one["k"] + two["k"], "t": one["t"] if one["t"] == two["t"] else None,
+            "d": one["d"] if one["d"] == two["d"] else None, "c": items}
 
 
 # -- main text ------------------------------------------------------------------
@@ -249,15 +266,44 @@ def articles(wrapper: dict) -> bool:
     return not label_kind(wrapper["l"])[1] and (is_article(wrapper["l"]) or any(articles(w) for _, _, w in wrapper["c"]))
 
 
-def main_path(wrapper: dict) -> list[str]:
-    """Labels from the page to the block that holds most of the slots' text."""
-    path, total = [], slots(wrapper)
-    while total:
-        best = max((w for _, _, w in wrapper["c"]), key=slots, default=None)
-        if best is None or slots(best) < 0.6 * total or not any(slots(w) for _, _, w in best["c"]):
+def only_links(wrapper: dict) -> bool:
+    """Whether nearly all text of the wrapper is that of links."""
+    def sums(w: dict) -> tuple[int, int]:
+        inner = [sums(x) for _, _, x in w["c"]]
+        return w["k"] + sum(k for k, _ in inner), w["m"] + sum(m for _, m in inner)
+
+    links, every = sums(wrapper)
+    return every > 0 and links >= LINK_SHARE * every
+
+
+def is_content(wrapper: dict, own: frozenset) -> bool:
+    """Whether the wrapper has text that is neither skipped nor the host's own.
+
+    Not content are lists of links, and unnamed blocks without inner ones whose
+    text changes in its numbers only, such as counters.
+    """
+    if not has_text(wrapper, own) or only_links(wrapper):
+        return False
+    counter = wrapper["t"] is None and wrapper["d"] is not None
+    return not counter or bool(wrapper["c"]) or wrapper["l"] not in ("div", "center")
+
+
+def has_text(wrapper: dict, own: frozenset) -> bool:
+    if label_kind(wrapper["l"])[1]:
+        return False
+    return (wrapper["t"] is None or "i" in wrapper and wrapper["i"] not in own
+            or any(has_text(w, own) for _, _, w in wrapper["c"]))
+
+
+def main_path(wrapper: dict, own: frozenset) -> list[str]:
+    """Labels from the page to the innermost block that holds all content."""
+    path: list[str] = []
+    while not (wrapper["t"] is None or "i" in wrapper and wrapper["i"] not in own):
+        content = [w for _, _, w in wrapper["c"] if is_content(w, own)]
+        if len(content) != 1 or not any(has_text(w, own) for _, _, w in content[0]["c"]):
             break
-        path.append(best["l"])
-        wrapper = best
+        wrapper = content[0]
+        path.append(wrapper["l"])
     return path
 
 
@@ -294,13 +340,17 @@ def literals(block: Block, wrapper: dict, found: set[int]) -> set[int]:
 
 
 class Extractor:
-    """Takes the main text out of a host's pages; ``own`` has the numbers of the literals that are the host's words."""
+    """Takes the main text out of a host's pages.
+
+    ``own`` has the numbers of the literals that are the host's words;
+    ``aligned`` says whether the host has enough distinct pages.
+    """
 
-    def __init__(self, wrapper: dict, own: frozenset = frozenset()):
+    def __init__(self, wrapper: dict, own: frozenset, aligned: bool):
         self.wrapper = wrapper
         self.article = articles(wrapper)
-        self.path = [] if self.article else main_path(wrapper)
         self.own = own if slots(wrapper) > 0 else frozenset()
+        self.path = [] if self.article or not aligned else main_path(wrapper, self.own)
 
     def text(self, page: str) -> str:
         root = parse(page)
@@ -386,9 +436,9 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 def own_words(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """One row per host: host, own (numbers of the literals that are the host's own words).
+    """One row per host: host, pages (distinct ones), own (numbers of the literals that are the host's own words).
 
-    Those stand in most of the host's distinct pages, ``LITERAL_PAGES`` at least.
+    The latter stand in most of the host's distinct pages, ``LITERAL_PAGES`` at least.
     Every page is looked at, but only its hash and literals are grouped.
     """
     def run(batches):
@@ -412,7 +462,7 @@ def own_words(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     whole = F.max(F.when(F.col("i") == -1, F.col("n")))  # the page itself
     many = F.filter(F.collect_list(F.struct("i", "n")), lambda x: (x["i"] >= 0))
     return (counts.groupBy("host").agg(whole.alias("pages"), many.alias("found"))
-            .select("host", F.expr(f"transform(filter(found, x -> x.n >= {LITERAL_PAGES} AND 2 * x.n > pages), x -> x.i)")
+            .select("host", "pages", F.expr(f"transform(filter(found, x -> x.n >= {LITERAL_PAGES} AND 2 * x.n > pages), x -> x.i)")
                     .alias("own")))
 
 
@@ -431,16 +481,17 @@ def extract(pages: DataFrame) -> DataFrame:
         held: dict[str, Extractor] = {}
         for batch in batches:
             texts = []
-            for host, wrapper, own, page in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "own", "html"))):
+            for host, wrapper, own, many, page in zip(
+                    *(batch.column(c).to_pylist() for c in ("host", "wrapper", "own", "pages", "html"))):
                 if host not in held:
                     if len(held) >= 1000:
                         held.clear()
-                    held[host] = Extractor(json.loads(wrapper), frozenset(own))
+                    held[host] = Extractor(json.loads(wrapper), frozenset(own), many >= LITERAL_PAGES)
                 texts.append(held[host].text(page or ""))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)
-    return pages.join(wrappers, "host").select("page_id", "url", "html", "host", "wrapper", "own").mapInArrow(
+    return pages.join(wrappers, "host").select("page_id", "url", "html", "host", "wrapper", "own", "pages").mapInArrow(
         run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")

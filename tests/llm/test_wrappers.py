@@ -58,6 +58,24 @@ def test_copies_of_a_page_are_one_page(spark):
     assert out[9].split("\n") == ["Title of 74", "First words 2", "Second words 2"]
 
 
+def test_blocks_beside_the_body_stay(spark):
+    names = ["River", "Mountain", "Forest", "Desert"]
+    def page(k):
+        return (f"<body><div class=top>Our site</div><div class=title><h1>The {names[k]}</h1></div>"
+                f"<div class=intro>About the {names[k]}</div><div class=body>"
+                + "".join(f"<p>A long paragraph on the {names[k]}, which is number {j} of many</p>" for j in range(6))
+                + f"</div><ul class=x>{''.join(f'<li><a href=y>See {n}{k}</a>' for n in names[:k + 1])}</ul></body>")
+    out = texts(spark, [(f"http://h/{k}", page(k)) for k in range(4)])
+    for k, name in enumerate(names):
+        found = out[k].split("\n")
+        assert found[:2] == [f"The {name}", f"About the {name}"] and len([x for x in found if "paragraph" in x]) == 6
+        assert "Our site" not in found
+    outer = [page(k).replace("<div class=title>", "<div class=page><div class=title>").replace("<ul", "</div><ul")
+             for k in range(4)]
+    out = texts(spark, [(f"http://h/{k}", outer[k]) for k in range(4)])
+    assert all(out[k].split("\n")[:2] == [f"The {n}", f"About the {n}"] and "See" not in out[k] for k, n in enumerate(names))
+
+
 def test_odd_pages(spark):
     pages = [("http://x/", None), ("http://x/", ""), (None, "plain words"), ("no host", "<p>a<p>b"), (None, "<div><article>"),
              ("http://y/", "a < b & c &copy; &#x41; <notatag"), ("http://z/", "<p>" * 3000 + "deep"),
