@@ -12,8 +12,9 @@ with a third of the pages sends one wrapper per task.
 
 From a host's wrapper follows what its pages' main text is: an article or main
 block if there is one, else the innermost block that holds all content;
-without blocks for menus, adverts, forms and the like, and outside an article
-without literals, which are the host's own words.
+without blocks for menus, adverts, forms and the like, and without literals that
+most of the host's pages have, which are the host's own words. A host with too
+few distinct pages has no such literals.
 """
 
 from __future__ import annotations
@@ -355,9 +356,10 @@ class Extractor:
     def text(self, page: str) -> str:
         root = parse(page)
         blocks: list[str] = []
-        if self.article and (own := _articles(root)):
-            for block in own:
-                self._walk(block, None, True, blocks)
+        if self.article and (own := _articles(root, self.wrapper)):
+            for block, wrapper in own:
+                # the host's words go from an article that has others
+                self._walk(block, wrapper if wrapper and has_text(wrapper, self.own) else None, True, blocks)
             return "\n".join(blocks)
         node, wrapper = root, self.wrapper
         for label in self.path:
@@ -370,7 +372,7 @@ class Extractor:
 
     def _walk(self, block: Block, wrapper: dict | None, inside: bool, out: list[str]) -> None:
         """Adds the block's texts; a text ends where a block begins or ends."""
-        literal = not inside and wrapper is not None and wrapper.get("i") in self.own
+        literal = wrapper is not None and wrapper.get("i") in self.own
         known = inner_wrappers(wrapper)
         text: list[str] = []
 
@@ -392,13 +394,14 @@ class Extractor:
         flush()
 
 
-def _articles(block: Block) -> list[Block]:
-    """The outermost articles, in page order."""
+def _articles(block: Block, wrapper: dict | None) -> list[tuple[Block, dict | None]]:
+    """The outermost articles, in page order, each with its part of the host's wrapper."""
     if label_kind(block.label)[1]:
         return []
     if is_article(block.label):
-        return [block]
-    return [a for c in block.children if not isinstance(c, str) for a in _articles(c)]
+        return [(block, wrapper)]
+    known = inner_wrappers(wrapper)
+    return [a for c in block.children if not isinstance(c, str) for a in _articles(c, known.get(c.label))]
 
 
 def host_of(url: str):

@@ -76,6 +76,17 @@ def test_blocks_beside_the_body_stay(spark):
     assert all(out[k].split("\n")[:2] == [f"The {n}", f"About the {n}"] and "See" not in out[k] for k, n in enumerate(names))
 
 
+def test_the_hosts_words_in_an_article_go(spark):
+    def page(k):
+        return (f"<body><article><h1>Title of {k * 37}</h1><div class=x9q>Get our letter every week</div><p>First words {k}</p>"
+                f"<p>Second words {k}</p><div class=q7>{'Only here' if k == 2 else f'Written by {k}'}</div></article></body>")
+    out = texts(spark, [(f"http://h/{k}", page(k)) for k in range(5)] + [("http://few/1", page(1)), ("http://few/2", page(2))])
+    for k in range(5):
+        assert out[k].split("\n") == [f"Title of {k * 37}", f"First words {k}", f"Second words {k}",
+                                      "Only here" if k == 2 else f"Written by {k}"]
+    assert "Get our letter every week" in out[5] and "Get our letter every week" in out[6]
+
+
 def test_odd_pages(spark):
     pages = [("http://x/", None), ("http://x/", ""), (None, "plain words"), ("no host", "<p>a<p>b"), (None, "<div><article>"),
              ("http://y/", "a < b & c &copy; &#x41; <notatag"), ("http://z/", "<p>" * 3000 + "deep"),
