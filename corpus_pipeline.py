@@ -16,6 +16,8 @@ from tarmaq.session import run_dir
 
 #: Least posterior of the predicted language.
 MIN_LANGUAGE_SCORE = 0.5
+#: Least share of what a language's own texts gain over even odds, on the mean of a text's n-grams.
+MIN_LANGUAGE_FIT = 0.5
 #: Least probability of good quality.
 MIN_QUALITY = 0.5
 
@@ -28,12 +30,17 @@ def _aside(docs: DataFrame, *needed: str):
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, and those of which no language is likelier than all others."""
+    """Rejects texts without a letter, those of which no language is likelier than all others, and those unlike it.
+
+    The last are noise and texts in languages that were not learned: the mean
+    log-probability of their n-grams is far below that of the texts that the
+    language was learned from, whatever their length.
+    """
     prepare(spark)
     docs, restore = _aside(docs, "text", "lang")
-    found = language.annotate(docs, language.train(docs))
-    return restore(found.filter((F.col("lang_pred") != language.UNKNOWN)
-                                & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)))
+    found = language.annotate(docs, language.train(docs), fit=True)
+    return restore(found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)
+                                & (F.col("lang_fit") >= MIN_LANGUAGE_FIT)))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

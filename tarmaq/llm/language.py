@@ -121,6 +121,7 @@ class LanguageModel:
     languages: list[str]
     prior: np.ndarray  # log share of each language
     weights: np.ndarray  # BUCKETS x languages, float32 log-probabilities; a last row of zeros
+    typical: np.ndarray  # mean log-probability of an n-gram in the texts of each language
 
 
 def train(labelled: DataFrame) -> LanguageModel:
@@ -143,30 +144,43 @@ def train(labelled: DataFrame) -> LanguageModel:
         prior[lang[~inside]] = n[~inside]
         prior = np.log(prior / prior.sum())
     weights = np.log(totals / totals.sum(axis=0, keepdims=True)).astype(np.float32)
-    return LanguageModel(names, prior, np.vstack([weights, np.zeros((1, len(names)), np.float32)]))
+    counts_of = totals - SMOOTHING
+    typical = (counts_of * weights).sum(axis=0) / np.maximum(counts_of.sum(axis=0), 1)
+    return LanguageModel(names, prior, np.vstack([weights, np.zeros((1, len(names)), np.float32)]), typical)
 
 
 def predict_block(model: LanguageModel, data: np.ndarray, offsets: np.ndarray):
-    """Language number (-1: none) and posterior of each text."""
+    """Language number (-1: none), posterior and fit of each text.
+
+    The fit is what the text's n-grams gain on the mean over even odds for all
+    buckets, as a share of what the language's training texts gain: around 1 for
+    its texts of any length, 0 and less for noise.
+    """
     n, many = len(offsets) - 1, len(model.languages)
     codes, edges = letters(data, offsets)
     lettered = row_sums((codes > 0).astype(np.int64), edges) > 0
-    best, score = np.full(n, -1), np.zeros(n)
+    best, score, fit = np.full(n, -1), np.zeros(n), np.zeros(n)
     if not many or not lettered.any():
-        return best, score
+        return best, score, fit
     total = np.tile(model.prior, (n, 1))
+    count = np.zeros(n, np.int64)
     for bucket in grams(codes, edges):
         total += row_sums(model.weights[bucket], np.minimum(edges, len(bucket)))
+        count += row_sums((bucket < BUCKETS).astype(np.int64), np.minimum(edges, len(bucket)))
+    own = total.argmax(axis=1)
+    mean = (total[np.arange(n), own] - model.prior[own]) / np.maximum(count, 1)
+    even = -np.log(BUCKETS)
+    fit[lettered] = ((mean - even) / np.maximum(model.typical[own] - even, 1e-9))[lettered]
     total -= total.max(axis=1, keepdims=True)
     share = np.exp(total)
     share /= share.sum(axis=1, keepdims=True)
-    best[lettered] = total.argmax(axis=1)[lettered]
+    best[lettered] = own[lettered]
     score[lettered] = share.max(axis=1)[lettered]
-    return best, score
+    return best, score, fit
 
 
-def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with the columns lang_pred and lang_score added.
+def annotate(docs: DataFrame, model: LanguageModel, fit: bool = False) -> DataFrame:
+    """``docs`` with the columns lang_pred and lang_score added, and lang_fit where ``fit`` is set.
 
     Only the column text is read for a prediction. NULL texts and texts without
     a letter are ``und`` with score 0, as is everything when nothing was
@@ -179,11 +193,13 @@ def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
         learned = held.value
         names = np.array([*learned.languages, UNKNOWN], dtype=object)
         limit = max(1 << 14, (4 << 20) // (4 * max(1, len(learned.languages))))
-        best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+        best, score, fits = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
         for _, _, data, offsets, _ in text_blocks(batch.column("text"), limit):
-            b, s = predict_block(learned, data, offsets)
+            b, s, f = predict_block(learned, data, offsets)
             best.append(b)
             score.append(s)
-        return pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))
+            fits.append(f)
+        found = pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))
+        return (*found, pa.array(np.concatenate(fits))) if fit else found
 
-    return add_columns(docs, run, "lang_pred string, lang_score double", "text")
+    return add_columns(docs, run, "lang_pred string, lang_score double" + ", lang_fit double" * fit, "text")

@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -89,3 +90,14 @@ def test_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), folder).count() == 0
     run = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in run} <= {1, 5, 6, None} and run
+
+
+def test_noise_and_unlearned_languages_go(spark):
+    rng = np.random.default_rng(3)
+    odd = [(-k - 1, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 300)), None) for k in range(20)]
+    odd += [(-101, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 5, None),
+            (-102, "色は匂へど散りぬるを我が世誰ぞ常ならむ有為の奥山今日越えて" * 5, None)]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    after = corpus_pipeline.language_id(spark, docs.unionByName(documents(spark, odd)), FOLDER)
+    kept = ids(after)
+    assert not any(d < 0 for d in kept) and len(kept) >= 0.99 * len(ids(docs.filter("text RLIKE '[a-z]'")))
