@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmaq.llm import language, linededup, neardup, packing, quality
-from tarmaq.llm.common import load, prepare, tokenizer
+from tarmaq.llm.common import load, prepare, stored, tokenizer
 from tarmaq.session import run_dir
 
 #: Least posterior of the predicted language.
@@ -61,11 +61,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies; repeated rows of a doc_id are one."""
+    """Keeps one document of each group of near copies; repeated rows of a doc_id and text are one."""
     prepare(spark)
-    kept = (neardup.deduplicate(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    text_hash = F.xxhash64("text")
+    # texts that share a doc_id, all but one of them, are named by a hash of both
+    shared = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(text_hash).alias("_least"), F.max(text_hash).alias("_most")).filter("_least != _most")
+        .select(F.col("doc_id").alias("_shared"), "_least"), "shared-ids")
+    other = F.col("_least").isNotNull() & (F.col("_least") != text_hash)
+    named = (docs.join(shared, F.col("doc_id") == F.col("_shared"), "left")
+             .withColumn("_name", F.when(other, F.xxhash64("doc_id", text_hash)).otherwise(F.col("doc_id").cast("long"))))
+    kept = (neardup.deduplicate(named.select(F.col("_name").alias("doc_id"), "text"))
+            .filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_name")).distinct())
     unnamed = docs.filter("doc_id IS NULL")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).union(unnamed)
+    return named.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select(*docs.columns).union(unnamed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,3 +101,10 @@ def test_noise_and_unlearned_languages_go(spark):
     after = corpus_pipeline.language_id(spark, docs.unionByName(documents(spark, odd)), FOLDER)
     kept = ids(after)
     assert not any(d < 0 for d in kept) and len(kept) >= 0.99 * len(ids(docs.filter("text RLIKE '[a-z]'")))
+
+
+def test_near_dedup_keeps_other_texts_of_a_doc_id(spark):
+    one, two = ("river stone valley bridge morning " * 3 + "and some more", "never again shall we count seven blue lamps at night")
+    docs = documents(spark, [(7, one), (7, two), (7, two), (3, two), (8, "quite another text that nobody else has here"), (None, one)])
+    found = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect())
+    assert [d for d, t in found if t == one] == [0, 7] and len([t for _, t in found if t == two]) == 1 and len(found) == 4
