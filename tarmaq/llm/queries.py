@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm import chat, language, linededup, neardup, neighbours, packing, perplexity, pieces, quality, wrappers
+from tarmaq.llm import (chat, language, linededup, neardup, neighbours, packing, perplexity, phrases, pieces, quality,
+                        spelling, wrappers)
 from tarmaq.llm.common import crc_mod, load, stored, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_line_dedup"] = linededup.ORACLE_SQL
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.group(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language over all documents."""
+    return phrases.collocations(load(spark, sf_dir, "documents", "text", "lang"))
+
+
+ORACLE["op13_phrases"] = phrases.oracle_sql()
