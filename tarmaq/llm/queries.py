@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm import (chat, language, linededup, neardup, neighbours, packing, perplexity, phrases, pieces, quality,
-                        spelling, wrappers)
+from tarmaq.llm import (chat, combinations, language, linededup, neardup, neighbours, packing, perplexity, phrases,
+                        pieces, quality, spelling, wrappers)
 from tarmaq.llm.common import crc_mod, load, stored, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op10_line_dedup"] = linededup.ORACLE_SQL
 
 
+@query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share 85 % of their four-word shingles."""
+    return combinations.deduplicate(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their near words, forms and roots."""
