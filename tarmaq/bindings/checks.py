@@ -9,6 +9,7 @@ from tarmaq.bindings import query
 from tarmaq.bindings.views import (AS_OF, CABIN, FLIGHT, SPAN, cabins, flights, seat_lines, spans)
 from tarmaq.functions.scalars import flag, plus_minutes
 from tarmaq.operators import intervals as I
+from tarmaq.plans import candidates
 from tarmaq.plans import quality as Q
 from tarmaq.plans import scheduling as C
 from tarmaq.sources.scans import scan
@@ -160,6 +161,52 @@ def available_for(spark, sf):
     return C.available_for(crew, links, running, "l_suppkey", "trained", NEW_FLIGHT, 400).select("l_suppkey")
 
 
+@query("crew_candidates", f"""
+WITH {FLIGHT}, member AS (
+  SELECT 'crew' AS role, s_suppkey AS member, s_acctbal > 0 AS fit FROM supplier
+  UNION ALL SELECT 'plane', p_partkey, p_type = 'LARGE' FROM part),
+link AS (
+  SELECT DISTINCT 'crew' AS role, l_suppkey AS member, l_orderkey AS flight_id FROM lineitem
+  UNION ALL SELECT DISTINCT 'plane', l_partkey, l_orderkey FROM lineitem),
+busy AS (
+  SELECT role, member, takeoff_ts AS s, takeoff_ts + to_minutes(minutes) AS e
+  FROM link JOIN flight USING (flight_id) WHERE flight_status = 'Scheduled'),
+load AS (SELECT role, member, count(*) AS load FROM busy GROUP BY ALL),
+pool AS (SELECT role, member, fit, coalesce(load, 0) AS load FROM member LEFT JOIN load USING (role, member)),
+new AS (
+  SELECT flight_id, takeoff_ts AS s, takeoff_ts + to_minutes(minutes) AS e, minutes >= 360 AS long, minutes
+  FROM flight WHERE flight_status = 'Full'),
+-- flights of one moment and length share their candidates
+slot AS (SELECT s, e, any_value(long) AS long, count(*) AS flights FROM new GROUP BY s, e),
+clash AS (
+  SELECT DISTINCT slot.s, slot.e, busy.role, member FROM slot JOIN busy ON busy.s < slot.e AND busy.e > slot.s),
+free AS (
+  SELECT slot.s, slot.e, role, member, load, row_number() OVER (
+           PARTITION BY slot.s, slot.e, role ORDER BY load, member) AS place,
+         CASE WHEN role = 'plane' THEN 1 WHEN long THEN 3 ELSE 2 END AS seats
+  FROM slot JOIN pool ON fit OR NOT long
+  ANTI JOIN clash USING (s, e, role, member)
+  QUALIFY place <= seats)
+SELECT flight_id, role, place, member, load FROM new JOIN free USING (s, e)""")
+def crew_candidates(spark, sf):
+    """Full flights are new: their least-loaded free crews and planes among suppliers and parts."""
+    timed = flights(spark, sf).select("flight_id", "flight_status", "minutes", F.col("takeoff_ts").alias("start_ts"),
+                                      plus_minutes("takeoff_ts", F.col("minutes")).alias("end_ts"))
+    links = scan(spark, sf, "lineitem", ["l_orderkey", "l_suppkey", "l_partkey"]).select(
+        F.col("l_orderkey").alias("flight_id"), F.inline(F.array(
+            F.struct(F.lit("crew").alias("role"), F.col("l_suppkey").alias("member")),
+            F.struct(F.lit("plane").alias("role"), F.col("l_partkey").alias("member"))))).distinct()
+    busy = links.join(timed.filter(F.col("flight_status") == P.SCHEDULED), "flight_id").select(
+        "role", "member", "start_ts", "end_ts")
+    pool = scan(spark, sf, "supplier", ["s_suppkey", "s_acctbal"]).select(
+        F.lit("crew").alias("role"), F.col("s_suppkey").alias("member"), (F.col("s_acctbal") > 0).alias("fit")).unionByName(
+        scan(spark, sf, "part", ["p_partkey", "p_type"]).select(
+            F.lit("plane").alias("role"), F.col("p_partkey").alias("member"), (F.col("p_type") == "LARGE").alias("fit")))
+    demand = candidates.crew_demand(timed.filter(F.col("flight_status") == P.FULL),
+                                    {"long": {"crew": 3}, "short": {"crew": 2}})
+    return candidates.shortlist(demand, candidates.loads(pool, busy), busy)
+
+
 @query("schedule_violations", """
 WITH new AS (
   SELECT o_orderkey AS flight_id, o_custkey AS route_id, o_orderkey % 250 AS plane_id,
