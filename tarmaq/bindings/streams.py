@@ -67,4 +67,4 @@ def stream_claims(spark, sf):
     requests = seat_requests(_of(read_files(spark, sf, EVENT_SCHEMA, FILES), "click"))
     seats = (seat_requests(events(spark, sf, "click")).select(*SEAT).distinct()
              .withColumn("order_id", F.lit(None).cast("bigint")))
-    return drain_claims(requests, seats, run_dir(spark, "claims")).drop("epoch")
+    return drain_claims(requests, seats, run_dir(spark, "claims"))

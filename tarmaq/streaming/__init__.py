@@ -44,6 +44,13 @@ def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, df[ts].cast("timestamp")).withWatermark(ts, delay)
 
 
+def with_keyed_state(spark: SparkSession) -> SparkSession:
+    """State that a keyed processor reads and writes entry by entry needs this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
 def drain(stream: DataFrame, target: str, closing: DataFrame | None = None) -> DataFrame:
     """Run an append-mode query over the available files; all its output so far.
 

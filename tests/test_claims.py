@@ -48,6 +48,20 @@ def test_rounds_equal_the_sequential_rule(spark, seed):
     assert decided.count() == len({r[0] for r in requests})
 
 
+@pytest.mark.parametrize("fold", [1, 3, 7])
+def test_crowded_flights_are_thinned_first(spark, fold):
+    requests = random_requests(fold, orders=80, seats=16)
+    decided = claim_all_or_nothing(spark.createDataFrame(requests, REQUEST), fold=fold)
+    assert {r.order_id for r in decided.filter("accepted").collect()} == sequential(requests)
+
+
+def test_only_the_first_of_a_seat_set_is_folded(spark):
+    """A popular flight is as large as its different sets, however many orders ask."""
+    requests = [(f"O{n:05d}", "F", 1, seat, BASE + timedelta(seconds=n)) for n in range(4000) for seat in (n % 2, n % 2 + 1)]
+    decided = claim_all_or_nothing(spark.createDataFrame(requests, REQUEST), fold=2)  # two sets: nothing is thinned
+    assert [r.order_id for r in decided.filter("accepted").collect()] == ["O00000"]
+
+
 def test_only_free_existing_seats_can_be_claimed(spark):
     requests = random_requests(42)
     seats = [(f"F{f}", s // 4 + 1, s % 4 + 1, "X" if (s + f) % 5 == 0 else None)
@@ -66,10 +80,10 @@ def test_only_free_existing_seats_can_be_claimed(spark):
 def test_a_long_chain_of_dependent_orders(spark):
     # Each order shares a seat with the next: accepted, rejected, accepted, ...
     requests = [(f"O{n:02d}", "F", 1, n + step, BASE + timedelta(minutes=n))
-                for n in range(9) for step in (0, 1)]
+                for n in range(90) for step in (0, 1)]
     decided = claim_all_or_nothing(spark.createDataFrame(requests, REQUEST))
     assert {r.order_id for r in decided.filter("accepted").collect()} == {
-        f"O{n:02d}" for n in range(0, 9, 2)}
+        f"O{n:02d}" for n in range(0, 90, 2)}
 
 
 def test_same_seat_twice_fails_and_blocks_nobody(spark):

@@ -83,4 +83,20 @@ def test_claims_in_arrival_order(spark, tmp_path):
     decided = drain_claims(read_files(spark, folder, schema, files_per_trigger=1), seats, str(tmp_path / "target"))
     assert {r.order_id for r in decided.filter("accepted").collect()} == sequential(requests)
     assert decided.count() == len(orders)
-    assert decided.select("epoch").distinct().count() == 3
+
+
+def test_claims_go_on_after_a_restart(spark, tmp_path):
+    """Seats given away before stay taken; the seat table is not looked at again."""
+    folder, target = str(tmp_path / "requests"), str(tmp_path / "target")
+    seats = [("F", 1, c, None if c < 4 else "X") for c in (1, 2, 3, 4)]
+    frame = spark.createDataFrame(seats, "flight_id string, s_row int, s_column int, order_id string")
+    schema = spark.createDataFrame([], REQUEST).schema
+    asked = [[("A", "F", 1, 1, BASE), ("B", "F", 1, 4, BASE)],
+             [("C", "F", 1, 1, BASE), ("C", "F", 1, 2, BASE), ("D", "F", 1, 2, BASE), ("E", "F", 9, 9, BASE)],
+             [("G", "F", 1, 3, BASE + timedelta(hours=1)), ("H", "F", 1, 3, BASE), ("I", "F", 1, 2, BASE)]]
+    for part, table in zip(asked, (frame, frame.limit(0), frame)):
+        spark.createDataFrame(part, REQUEST).coalesce(1).write.mode("append").parquet(folder)
+        decided = drain_claims(read_files(spark, folder, schema), table, target)
+    assert {r.order_id: (r.seats, r.accepted) for r in decided.collect()} == {
+        "A": (1, True), "B": (1, False), "C": (2, False), "D": (1, True), "E": (1, False),
+        "G": (1, False), "H": (1, True), "I": (1, False)}
