@@ -10,7 +10,7 @@ from tarmaq.bindings.views import (AS_OF, BOOKING, EVENTS_END, FLIGHT, HOLD_TTL,
                                    bookings, events, flights, seat_lines, seat_requests, tally)
 from tarmaq.operators import relations as J
 from tarmaq.operators.sessions import lapsed, sessions
-from tarmaq.plans import claims
+from tarmaq.plans import claims, totals
 from tarmaq.plans import transitions as X
 from tarmaq.plans.datasets import order_totals
 from tarmaq.sources.scans import scan
@@ -143,6 +143,44 @@ def cancel_decisions(spark, sf):
         "order_id", "total", "decision", "fee", "refund")
 
 
+FOLDED = f"""
+WITH {BOOKING}, after AS (
+  SELECT date_of_purchase, CASE WHEN order_status = 'Active' AND date_of_purchase > TIMESTAMP '{AS_OF}' + INTERVAL 36 HOUR
+                                THEN 'Cancelled by customer' ELSE order_status END AS order_status FROM booking)"""
+
+
+def _cancelled(spark, sf):
+    """The bookings, and what changes when all that may be cancelled are."""
+    orders = bookings(spark, sf)
+    decided = X.cancel_decisions(orders.select(
+        "order_id", "order_status", F.col("date_of_purchase").alias("takeoff_ts"), F.lit(0).alias("total")), AS_OF)
+    accepted = decided.filter(F.col("decision") == "accepted").select("order_id")
+    touched = orders.join(accepted, "order_id", "left_semi")
+    return orders, touched.select("order_id", F.col("date_of_purchase").alias("old_date"),
+                                  F.col("order_status").alias("old_status"), F.col("date_of_purchase").alias("new_date"),
+                                  F.lit(P.BY_CUSTOMER).alias("new_status"))
+
+
+@query("bookings_by_status", f"""{FOLDED}
+SELECT strftime(date_trunc('month', date_of_purchase), '%Y-%m-%d %H:%M:%S.%f') AS period, order_status, count(*) AS n
+FROM after GROUP BY ALL""")
+def bookings_by_status(spark, sf):
+    """Totals by month before the cancellations, with the cancelled bookings moved."""
+    orders, changes = _cancelled(spark, sf)
+    return totals.fold(totals.booking_totals(orders, "month"), totals.signed(changes, "month"))
+
+
+@query("cancel_rate_from_totals", f"""{FOLDED}
+SELECT strftime(date_of_purchase, '%Y-%m') AS purchase_month, count(*) AS orders,
+       CAST(round(100 * CAST(count(*) FILTER (WHERE order_status = 'Cancelled by customer') AS DECIMAL(18,6))
+                  / count(*), 2) AS DOUBLE) AS customer_cancellation_rate
+FROM after WHERE order_status <> 'Pending' GROUP BY 1""")
+def cancel_rate_from_totals(spark, sf):
+    """The cancellation report after the cancellations, read from daily totals."""
+    orders, changes = _cancelled(spark, sf)
+    return totals.cancel_rate(totals.fold(totals.booking_totals(orders), totals.signed(changes)))
+
+
 def _cascade(spark, sf):
     """Urgent orders ask for their flight to be cancelled; every third asks for another's."""
     trips = flights(spark, sf).withColumn("manager_id", F.col("owner"))

@@ -10,9 +10,11 @@ from tarmaq.bindings.states import CLAIMS, SESSIONS
 from tarmaq.bindings.views import EVENT_SCHEMA, HOLD_TTL, events, seat_requests
 from tarmaq.plans.claims import SEAT
 from tarmaq.session import run_dir
+from tarmaq.sources.scans import scan
 from tarmaq.streaming import CLOSING, drain, open_files, read_files
 from tarmaq.streaming.claims import drain_claims
 from tarmaq.streaming.holds import lapsed_holds
+from tarmaq.streaming.totals import drain_totals
 from tarmaq.streaming.windows import stream_sessions, tumbling_counts
 
 FILES = "events*.parquet"
@@ -68,3 +70,24 @@ def stream_claims(spark, sf):
     seats = (seat_requests(events(spark, sf, "click")).select(*SEAT).distinct()
              .withColumn("order_id", F.lit(None).cast("bigint")))
     return drain_claims(requests, seats, run_dir(spark, "claims"))
+
+
+@query("stream_bookings_by_status", """
+SELECT strftime(date_trunc('day', o_orderdate), '%Y-%m-%d %H:%M:%S.%f') AS period,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 'Cancelled by customer' ELSE 'Active' END AS order_status, count(*) AS n
+FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL
+UNION ALL SELECT strftime(date_trunc('day', o_orderdate), '%Y-%m-%d %H:%M:%S.%f'), 'Pending', count(*)
+FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL""")
+def stream_bookings_by_status(spark, sf):
+    """Every order is booked as pending; all but those in P are paid, and the urgent ones of these cancelled."""
+    schema = scan(spark, sf, "orders").schema
+    orders = read_files(spark, sf, schema, "orders*.parquet")
+    paid, urgent = F.col("o_orderstatus") != "P", F.col("o_orderpriority") == "1-URGENT"
+
+    def change(old, new, when):
+        return F.when(when, F.struct(F.col("o_orderdate").alias("old_date"), F.lit(old).cast("string").alias("old_status"),
+                                     F.col("o_orderdate").alias("new_date"), F.lit(new).alias("new_status")))
+
+    steps = F.array_compact(F.array(change(None, P.PENDING, F.lit(True)), change(P.PENDING, P.ACTIVE, paid),
+                                    change(P.ACTIVE, P.BY_CUSTOMER, paid & urgent)))
+    return drain_totals(orders.select(F.inline(steps)), run_dir(spark, "totals"))
