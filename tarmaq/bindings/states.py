@@ -10,9 +10,11 @@ from tarmaq.bindings.views import (AS_OF, BOOKING, EVENTS_END, FLIGHT, HOLD_TTL,
                                    bookings, events, flights, seat_lines, seat_requests, tally)
 from tarmaq.operators import relations as J
 from tarmaq.operators.sessions import lapsed, sessions
-from tarmaq.plans import claims, totals
+from tarmaq.plans import claims, scoped, totals
 from tarmaq.plans import transitions as X
 from tarmaq.plans.datasets import order_totals
+from tarmaq.session import run_dir
+from tarmaq.sources import buckets
 from tarmaq.sources.scans import scan
 
 
@@ -181,12 +183,18 @@ def cancel_rate_from_totals(spark, sf):
     return totals.cancel_rate(totals.fold(totals.booking_totals(orders), totals.signed(changes)))
 
 
+CANCELLED_DAYS = "2000-01-24", "2000-01-30"
+
+
+def _requests(urgent):
+    return urgent.select("flight_id", (F.col("owner") + F.when(F.col("flight_id") % 3 == 0, 1).otherwise(0))
+                         .alias("manager_id"))
+
+
 def _cascade(spark, sf):
     """Urgent orders ask for their flight to be cancelled; every third asks for another's."""
     trips = flights(spark, sf).withColumn("manager_id", F.col("owner"))
-    asks = trips.filter(F.col("priority") == "1-URGENT").select(
-        "flight_id", (F.col("owner") + F.when(F.col("flight_id") % 3 == 0, 1).otherwise(0))
-        .alias("manager_id"))
+    asks = _requests(trips.filter(F.col("priority") == "1-URGENT"))
     decided = X.flight_cancel_decisions(asks, trips, AS_OF)
     # the first status in this order decides; as numbers, so that the fold needs no sort
     rank = F.min(F.when(F.col("order_status") == P.ACTIVE, 0)
@@ -225,6 +233,33 @@ def trip_cancel_cascade(spark, sf):
             .select("order_id", "flight_id", "order_status", "seat_order"))
 
 
+@query("scoped_cancellation", f"""
+WITH {CASCADE}, week AS (SELECT flight_id FROM gone JOIN flight USING (flight_id)
+                       WHERE CAST(takeoff_ts AS DATE) BETWEEN DATE '{CANCELLED_DAYS[0]}' AND DATE '{CANCELLED_DAYS[1]}')
+SELECT order_id, flight_id,
+       CASE WHEN flight_id IN (SELECT flight_id FROM week) AND order_status IN ('Active', 'Pending')
+            THEN 'Cancelled by system' ELSE order_status END AS order_status
+FROM sale""")
+def scoped_cancellation(spark, sf):
+    """The requests for one week's flights, in a store of buckets: only their buckets are written anew."""
+    trips, _, orders = _cascade(spark, sf)
+    store = run_dir(spark, "store")
+    tables = {"flight": trips, "orders": orders.drop("total"), "seat": orders.select("flight_id", "s_row", "order_id")}
+    buckets.create(spark, store, tables, "flight_id", 64)
+    schemas = {name: df.schema for name, df in tables.items()}
+    week = scoped.read(spark, store, schemas=schemas)["flight"].filter(
+        (F.col("priority") == "1-URGENT") & (F.to_date("takeoff_ts").between(*CANCELLED_DAYS)))
+    asks = _requests(week)
+
+    def change(t):
+        decided = X.flight_cancel_decisions(asks, t["flight"], AS_OF)
+        flown, voided, freed = X.cancel_flights(X.cancelled_flights(decided), t["flight"], t["orders"], t["seat"])
+        return {"flight": flown, "orders": voided, "seat": freed}
+
+    scoped.apply(spark, store, asks.select("flight_id"), change, schemas=schemas)
+    return scoped.read(spark, store, schemas=schemas)["orders"].select("order_id", "flight_id", "order_status")
+
+
 @query("trip_cancel_refunds", f"""
 WITH {CASCADE}
 SELECT g.flight_id, count(order_id) AS refunded_orders,
