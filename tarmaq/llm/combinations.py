@@ -22,11 +22,14 @@ for the texts that have not (copies of copies, texts made of common passages),
 the rest is counted, among those texts. So the order is rare tokens of the first
 quarter, rare ones of the rest, then frequent ones; by frequency, then hash.
 
-Sets of a key are tested against the key's first set; what links is merged to
-components; then, in keys that still hold several components, all rows outside
-the largest one are compared with the others by size, by what no other set has
-and by odd sketches, none of which loses a link. Candidates are confirmed on the
-full sets of their texts. Equal sets are one class from the start.
+Sets of a key are tested against the key's first set, and what links is merged to
+components. In keys that still hold several components, two rounds test the sets
+of other components against one set drawn per key, which costs as many tests as
+there are rows and merges what is linked many times over. In what is still mixed
+then, all rows outside the largest component are compared with the others by
+size, by what no other set has and by odd sketches, none of which loses a link.
+Candidates are confirmed on the full sets of their texts. Equal sets are one
+class from the start.
 """
 
 from __future__ import annotations
@@ -47,6 +50,7 @@ RARE = 64
 BITS = 1024
 TOKEN_BYTES = 6  # of an indexed token; a false match costs a comparison
 LEAST = 6        # smaller sets link with equal ones only
+ROUNDS = 2       # of tests against one set of each mixed key, before all others are compared
 
 _MASK = np.uint64((1 << 8 * TOKEN_BYTES) - 1)
 _REST = np.uint64(1 << 8 * TOKEN_BYTES)  # marks tokens that are not of the first quarter
@@ -258,6 +262,37 @@ def index(classes: DataFrame, texts_of, rare: int = RARE) -> DataFrame:
             .mapInArrow(_keys(rare), "key long, set long, known long"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+
+
+def _named(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The index rows with the component of their set."""
+    return stored(entries.select("key", "set", "known").join(labels.toDF("set", "label"), "set", "left")
+                  .withColumn("label", F.coalesce("label", "set")), "named")
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """The index rows of keys that hold several components, with the one that has the most rows there."""
+    counts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    most = (counts.groupBy("key").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
+            .filter("labels > 1").select("key", F.col("m.label").alias("most")))
+    return named.join(most, "key")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more links: components of the components that they connect."""
+    links = stored(links, "links")
+    one, two = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    edges = (links.join(one, "a", "left").join(two, "b", "left")
+             .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b"))
+    onward = stored(components(edges).toDF("label", "next"), "onward")
+    old = labels.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    new = onward.select(F.col("label").alias("node"), F.col("next").alias("label")).join(
+        labels.select("node"), "node", "left_anti")
+    return stored(old.unionByName(new), "labels")
+
+
 def deduplicate(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -292,16 +327,22 @@ def deduplicate(docs: DataFrame, rare: int = RARE) -> DataFrame:
 
     starred = entries.filter("set != center").select(F.col("center").alias("a"), F.col("set").alias("b")).distinct()
     starred = stored(starred.join(one, "a").join(two, "b").filter(allowed).select("a", "b"), "starred")
-    met = texts_of(starred.select(F.explode(F.array("a", "b")).alias("set")).distinct())
-    links = stored(confirmed(starred, stored(met, "texts")), "links")
+    links = confirmed(starred, stored(texts_of(_ends(starred)), "texts"))
     labels = components(links)
-
-    named = stored(entries.select("key", "set", "known").join(labels.toDF("set", "label"), "set", "left")
-                   .withColumn("label", F.coalesce("label", "set")), "named")
-    largest = (named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-               .groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("labels"))
-               .filter("labels > 1").select("key", "most"))
-    mixed = stored(named.join(largest, "key").join(facts, "set"), "mixed")
+    tested, named = starred, _named(entries, labels)
+    for turn in range(ROUNDS):
+        mixed = _mixed(named)
+        drawn = F.struct((F.col("label") != F.col("most")) if turn == 0 else F.lit(False),
+                         F.xxhash64(F.lit(turn), "key", "set"))
+        centers = mixed.groupBy("key").agg(F.min_by(F.struct("set", "label"), drawn).alias("c"))
+        pairs = (mixed.join(centers, "key").filter(F.col("label") != F.col("c.label"))
+                 .select(F.least("set", "c.set").alias("a"), F.greatest("set", "c.set").alias("b")).distinct()
+                 .join(tested, ["a", "b"], "left_anti"))
+        pairs = stored(pairs.join(one, "a").join(two, "b").filter(allowed).select("a", "b"), "pairs")
+        labels = _merged(labels, confirmed(pairs, stored(texts_of(_ends(pairs)), "texts")))
+        tested, named = tested.unionByName(pairs), _named(entries, labels)
+
+    mixed = stored(_mixed(named).join(facts, "set"), "mixed")
     outer = mixed.filter("label != most").select("key", F.col("set").alias("a"), F.col("label").alias("la"),
                                                  F.col("known").alias("ka"), "n", "sketch")
     inner = mixed.select("key", F.col("set").alias("b"), F.col("label").alias("lb"), F.col("known").alias("kb"),
@@ -310,10 +351,9 @@ def deduplicate(docs: DataFrame, rare: int = RARE) -> DataFrame:
     once = (F.col("lb") == F.col("most")) | (F.col("a") < F.col("b"))
     rest = (outer.join(inner, "key").filter((F.col("la") != F.col("lb")) & once & enough & allowed)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(starred, ["a", "b"], "left_anti"))
+            .join(tested, ["a", "b"], "left_anti"))
     rest = stored(rest, "open")
-    met = texts_of(rest.select(F.explode(F.array("a", "b")).alias("set")).distinct())
-    labels = components(links.unionByName(confirmed(rest, stored(met, "texts"))))
+    labels = _merged(labels, confirmed(rest, stored(texts_of(_ends(rest)), "texts")))
 
     heads = classes.select("set", F.col("doc_id").alias("head")).join(labels.toDF("set", "label"), "set", "left")
     heads = heads.withColumn("label", F.coalesce("label", "set"))
