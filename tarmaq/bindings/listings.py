@@ -14,6 +14,7 @@ from tarmaq.plans import datasets as D
 from tarmaq.plans import seating
 from tarmaq.plans.quality import union_all
 from tarmaq.sources import catalog
+from tarmaq.session import measured
 from tarmaq.sources.scans import scan
 
 # Column types of the driver tables, as declared in their files.
@@ -163,17 +164,18 @@ FROM flight f JOIN cabin c ON c.plane_id = f.priority
 LEFT JOIN price p ON p.flight_id = f.flight_id AND p.class_type = c.class_type
 LEFT JOIN free e ON e.flight_id = f.flight_id AND e.class_type = c.class_type""")
 def trip_cabin_offer(spark, sf):
-    """Planes are order priorities; their cabins are what their lines show."""
+    """Planes are order priorities; their cabins are what their lines show, measured first.
+
+    One fold of the lines by flight and class then has the price and the free seats.
+    """
     flown = flights(spark, sf).withColumnRenamed("priority", "plane_id")
-    lines = (seat_lines(spark, sf)
-             .withColumn("order_id", F.when(F.col("order_status") != P.BY_SYSTEM,
-                                            F.col("flight_id"))))
-    per_class = lines.groupBy("flight_id", "class_type").agg(
-        F.min("price").alias("price"), F.max("s_row").alias("rows_num"))
-    placed = per_class.join(flown.select("flight_id", "plane_id"), "flight_id")
-    layout = placed.groupBy("plane_id", "class_type").agg(F.max("rows_num").alias("rows_num"))
-    prices = placed.select("flight_id", "plane_id", "class_type", "price")
-    return D.cabin_offer(flown, layout, prices, lines).select(
+    lines = seat_lines(spark, sf)
+    layout = measured(lines.groupBy("flight_id", "class_type").agg(F.max("s_row").alias("rows_num"))
+                      .join(flown.select("flight_id", "plane_id"), "flight_id")
+                      .groupBy("plane_id", "class_type").agg(F.max("rows_num").alias("rows_num")), "layout")
+    facts = lines.groupBy("flight_id", "class_type").agg(
+        F.min("price").alias("price"), F.count_if(F.col("order_status") == P.BY_SYSTEM).alias("available"))
+    return D.cabin_offer(flown, layout, facts, keys=("flight_id", "class_type")).select(
         "flight_id", "class_type", "rows_num", "price", "available")
 
 

@@ -231,17 +231,15 @@ def trips_by_hour(spark, sf):
 
 
 def _fleet(spark, sf):
-    lines = seat_lines(spark, sf)
+    lines = R.with_occupancy(seat_lines(spark, sf), F.col("order_status") == P.ACTIVE)
     status = F.when(F.col("order_status") == P.BY_SYSTEM, P.CANCELLED).otherwise(P.COMPLETED)
     trips = lines.select("flight_id", F.col("suppkey").alias("plane_id"),
                          F.col("partkey").alias("route_id"), F.col("shipped").alias("takeoff_ts"),
-                         status.alias("flight_status"))
+                         status.alias("flight_status"), "occupancy_pct")
     routes = scan(spark, sf, "part", ["p_partkey", "p_brand", "p_type"]).select(
         F.col("p_partkey").alias("route_id"), F.col("p_brand").alias("origin_airport"),
         F.col("p_type").alias("destination_airport"))
-    occupancy = tally(lines).select(
-        "flight_id", percent(F.col("kept"), F.col("seats"), 6).alias("occupancy_pct"))
-    return trips, routes, occupancy
+    return trips, routes, None
 
 
 FLEET = f"""{SEATLINE}, {TALLY}, past AS (

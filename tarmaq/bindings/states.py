@@ -225,12 +225,9 @@ SELECT order_id, flight_id,
        CASE WHEN flight_id IN (SELECT flight_id FROM gone) THEN NULL ELSE order_id END AS seat_order
 FROM sale""")
 def trip_cancel_cascade(spark, sf):
-    trips, decided, orders = _cascade(spark, sf)
-    seats = orders.select("flight_id", "s_row", "order_id")
-    _, voided, freed = X.cancel_flights(X.cancelled_flights(decided), trips,
-                                        orders.drop("total"), seats)
-    return (voided.join(freed.withColumnRenamed("order_id", "seat_order"), ["flight_id", "s_row"])
-            .select("order_id", "flight_id", "order_status", "seat_order"))
+    _, decided, orders = _cascade(spark, sf)
+    return X.void_sales(X.cancelled_flights(decided), orders).select(
+        "order_id", "flight_id", "order_status", "seat_order")
 
 
 @query("scoped_cancellation", f"""

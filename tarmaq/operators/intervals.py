@@ -65,12 +65,13 @@ def _end_points(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
 
 def _sweep(points: DataFrame, keys: list[str], id_col: str, out: str, slice_seconds: int,
            keep: tuple[str, ...] = ()) -> DataFrame:
+    here = upto(keys, F.col("_t"), F.col("_place"))
     line = carry(with_slice(points, "_t", slice_seconds), keys,
                  {"_s": F.sum("_starts"), "_e": F.sum("_ends")},
-                 {"_s0": F.sum("_s"), "_e0": F.sum("_e")})
-    here = upto(keys, F.col("_t"), F.col("_place"))
-    begun = F.coalesce("_s0", F.lit(0)) + F.sum("_starts").over(here)
-    over = F.coalesce("_e0", F.lit(0)) + F.sum("_ends").over(here)
+                 {"_s0": F.sum("_s"), "_e0": F.sum("_e")},
+                 local={"_s1": F.sum("_starts").over(here), "_e1": F.sum("_ends").over(here)})
+    begun = F.coalesce("_s0", F.lit(0)) + F.col("_s1")
+    over = F.coalesce("_e0", F.lit(0)) + F.col("_e1")
     reads = (F.col("_reads_starts") > 0) | (F.col("_reads_ends") > 0)
     seen = line.withColumn("_seen", F.col("_reads_starts") * (begun - F.col("_own"))
                            - F.col("_reads_ends") * over).filter(reads)
@@ -83,13 +84,12 @@ def clashes_with_earlier(df: DataFrame, keys: list[str], start: str, end: str, i
                          out: str = "clashes",
                          slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Flag rows that begin while an earlier-starting interval is still open."""
-    line = carry(with_slice(df, start, slice_seconds), keys,
-                 {"_m": F.max(end)}, {"_m0": F.max("_m")})
     before = within(keys, F.col(start), F.col(end), F.col(id_col))
-    open_until = F.greatest(F.col("_m0"), F.max(end).over(before))
-    return (line.withColumn("_open", open_until)
+    line = carry(with_slice(df, start, slice_seconds), keys,
+                 {"_m": F.max(end)}, {"_m0": F.max("_m")}, local={"_m1": F.max(end).over(before)})
+    return (line.withColumn("_open", F.greatest("_m0", "_m1"))
             .withColumn(out, F.coalesce(F.col("_open") > F.col(start), F.lit(False)))
-            .drop("_m0", "_open", SLICE))
+            .drop("_m0", "_m1", "_open", SLICE))
 
 
 def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: str,
@@ -102,15 +102,15 @@ def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
     peak end after my start. When that is the row itself, only the row right
     after it in order can be the first clash.
     """
-    order = (F.col(start), F.col(end), F.col(id_col))
     me = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("i"))
+    own = (F.col(start), F.col(end), F.col("_me.i"))
 
-    line = carry(with_slice(df.withColumn("_me", me), start, slice_seconds), keys,
-                 {"_m": F.max(end), "_f": F.min("_me")}, {"_m0": F.max("_m")}, {"_f0": F.min("_f")})
-    next_here = F.lead("_me").over(Window.partitionBy(*keys, SLICE).orderBy(*order))
-    walked = (line.withColumns({
-        "_before": F.greatest(F.col("_m0"), F.max(end).over(within(keys, *order))),
-        "_next": F.coalesce(next_here, F.col("_f0"))}).drop(SLICE, "_m0", "_f0"))
+    next_here = F.lead("_me").over(Window.partitionBy(*keys, SLICE).orderBy(*own))
+    line = carry(with_slice(df.select(*keys, start, end, me.alias("_me")), start, slice_seconds), keys,
+                 {"_m": F.max(end), "_f": F.min("_me")}, {"_m0": F.max("_m")}, {"_f0": F.min("_f")},
+                 local={"_m1": F.max(end).over(within(keys, *own)), "_f1": next_here})
+    walked = line.select(*keys, end, start, "_me", F.greatest("_m0", "_m1").alias("_before"),
+                         F.coalesce("_f1", "_f0").alias("_next"))
 
     nothing = F.lit(None).cast(walked.schema["_me"].dataType)
     is_peak = F.col("_before").isNull() | (F.col(end) > F.col("_before"))
@@ -122,11 +122,10 @@ def first_clash(df: DataFrame, keys: list[str], start: str, end: str, id_col: st
                  F.col("_me").alias("_row"), F.col("_next").alias("_next")))))
     points = points.filter(F.col("_peak").isNotNull() | F.col("_row").isNotNull())
     # The next peak after a point is the lowest one: peaks rise in start and end.
-    line = carry(with_slice(points, "_t", slice_seconds), keys,
-                 {"_p": F.min("_peak")}, {}, {"_p0": F.min("_p")})
     ahead = within(keys, F.col("_t").desc(), F.col("_place").desc())
-    found = (line.withColumn("_open", F.coalesce(F.min("_peak").over(ahead), F.col("_p0")))
-             .filter(F.col("_row").isNotNull()))
+    line = carry(with_slice(points, "_t", slice_seconds), keys,
+                 {"_p": F.min("_peak")}, {}, {"_p0": F.min("_p")}, local={"_p1": F.min("_peak").over(ahead)})
+    found = line.filter(F.col("_row").isNotNull()).withColumn("_open", F.coalesce("_p1", "_p0"))
 
     other = F.when(F.col("_open.i") == F.col("_row.i"), F.col("_next")).otherwise(F.col("_open"))
     return (found.withColumn("_other", other)

@@ -16,6 +16,9 @@ Keys and timestamps are NOT NULL in the data model.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +35,32 @@ def with_slice(df: DataFrame, ts: str, slice_seconds: int = SLICE_SECONDS) -> Da
 
 
 def carry(sliced: DataFrame, keys: list[str], totals: dict[str, Column],
-          earlier: dict[str, Column], later: dict[str, Column] | None = None) -> DataFrame:
+          earlier: dict[str, Column], later: dict[str, Column] | None = None,
+          local: dict[str, Column] | None = None) -> DataFrame:
     """The sliced rows with what the other slices of their key add up to.
 
-    ``totals`` are aggregates within a slice (folded map-side); ``earlier`` and
-    ``later`` are aggregates of the totals over the slices before and after.
+    ``totals`` are aggregates within a slice; ``earlier`` and ``later`` are
+    aggregates of the totals over the slices before and after. ``local`` are
+    windows over (keys, slice); they come first, so that their sort serves the
+    join as well.
+
+    The rows are dealt out by (keys, slice) once, and both the totals and the
+    rows read that exchange. Spark reuses it only if both ask for the same rows
+    and columns: so NULLs, which the join would drop, go before, and the totals
+    look at every column.
     """
-    per_slice = sliced.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in totals.items()])
+    present = [F.col(c).isNotNull() for c in (*keys, SLICE)]
+    rows = sliced.filter(reduce(and_, present)).repartition(*keys, SLICE)
+    all_columns = F.max(F.xxhash64(*sliced.columns)).alias("_all")
+    per_slice = (rows.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in totals.items()], all_columns)
+                 .filter(F.col("_all").isNotNull()))
     span = (Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*span)
     after = Window.partitionBy(*keys).orderBy(F.desc(SLICE)).rowsBetween(*span)
     carried = per_slice.select(
         *keys, SLICE, *[c.over(before).alias(n) for n, c in earlier.items()],
         *[c.over(after).alias(n) for n, c in (later or {}).items()])
-    return sliced.join(carried, [*keys, SLICE])
+    return rows.withColumns(local or {}).join(carried, [*keys, SLICE])
 
 
 def within(keys: list[str], *order: Column):

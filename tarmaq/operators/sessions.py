@@ -16,40 +16,31 @@ def sessions(events: DataFrame, user: str, ts: str, idle_minutes: int,
     """One row per session: a session goes on while gaps are at most ``idle``.
 
     Equal to a session window whose end is the last event plus the idle time,
-    but a hot user is spread over time slices and a long session is summed
-    map-side.
+    but a hot user is spread over time slices. Events are read once: a slice is
+    cut into parts where a gap is too long, and a part is one row from then on.
+    Parts of neighbouring slices are joined if the gap between them is not too
+    long. A user has no more of them than slices times the gaps that fit into one.
     """
-    seen = with_slice(events.select(user, ts), ts, slice_seconds).withColumn(
-        "_prev", F.lag(ts).over(Window.partitionBy(user, SLICE).orderBy(ts)))
-    opens_here = F.col(ts) > plus_minutes("_prev", idle_minutes)
-    opening = F.when(F.col("_prev").isNull(), F.col("_begin")).when(opens_here, F.col(ts))
-    started = (_linked(seen, user, ts, opens_here, idle_minutes)
-               .withColumn("_opening", opening)
-               .withColumn("session_start", F.coalesce(
-                   F.max("_opening").over(upto([user], F.col(ts))), F.col("_carried"))))
-    return (started.groupBy(user, "session_start")
-            .agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("requests"))
-            .select(user, "session_start",
-                    plus_minutes("_last", idle_minutes).alias("session_end"), "requests"))
-
+    here = [F.col(ts)]
+    seen = with_slice(events.select(user, ts), ts, slice_seconds).filter(F.col(user).isNotNull() & F.col(ts).isNotNull())
+    previous = F.lag(ts).over(Window.partitionBy(user, SLICE).orderBy(*here))
+    parts = (seen.withColumn("_gap", F.coalesce((F.col(ts) > plus_minutes(previous, idle_minutes)).cast("int"), F.lit(0)))
+             .withColumn("_part", F.sum("_gap").over(upto([user], *here)))
+             .groupBy(user, SLICE, "_part")
+             .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")))
+    return _joined(parts, user, idle_minutes)
 
-def _linked(seen: DataFrame, user: str, ts: str, opens_here, idle_minutes: int) -> DataFrame:
-    """What a slice needs to know from the slices before it.
 
-    Per slice: its first and last event and the last opening inside it. Whether
-    the first event opens a session too is known from the slice before.
-    """
-    per_slice = seen.groupBy(user, SLICE).agg(
-        F.min(ts).alias("_first"), F.max(ts).alias("_last"),
-        F.max(F.when(opens_here, F.col(ts))).alias("_opened"))
-    slices = Window.partitionBy(user).orderBy(SLICE)
-    before = F.lag("_last").over(slices)
-    begins = before.isNull() | (F.col("_first") > plus_minutes(before, idle_minutes))
-    linked = (per_slice.withColumn("_begin", F.when(begins, F.col("_first")))
-              .withColumn("_carried", F.max(F.coalesce("_opened", "_begin")).over(
-                  slices.rowsBetween(Window.unboundedPreceding, -1)))
-              .select(user, SLICE, "_begin", "_carried"))
-    return seen.join(linked, [user, SLICE])
+def _joined(parts: DataFrame, user: str, idle_minutes: int) -> DataFrame:
+    """Sessions from parts (user, _first, _last, _n) that do not overlap."""
+    line = Window.partitionBy(user).orderBy("_first")
+    opens = F.coalesce(F.col("_first") > plus_minutes(F.lag("_last").over(line), idle_minutes), F.lit(True))
+    started = (parts.withColumn("_opening", F.when(opens, F.col("_first")))
+               .withColumn("session_start", F.max("_opening").over(
+                   line.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    return (started.groupBy(user, "session_start")
+            .agg(F.max("_last").alias("_end"), F.sum("_n").alias("requests"))
+            .select(user, "session_start", plus_minutes("_end", idle_minutes).alias("session_end"), "requests"))
 
 
 def with_slot(df: DataFrame, ts: str, minutes: int) -> DataFrame:

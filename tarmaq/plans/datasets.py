@@ -61,10 +61,16 @@ def free_seats(seats: DataFrame, free: Column | None = None) -> DataFrame:
 
 
 def cabin_offer(flights: DataFrame, cabins: DataFrame, prices: DataFrame,
-                seats: DataFrame) -> DataFrame:
-    """Per flight and cabin: layout, price (or NULL) and free seats (or 0)."""
+                seats: DataFrame | None = None,
+                keys: tuple[str, ...] = ("flight_id", "plane_id", "class_type")) -> DataFrame:
+    """Per flight and cabin: layout, price (or NULL) and free seats (or 0).
+
+    Without ``seats``, the prices (unique by ``keys``) say how many are available.
+    """
     offer = (flights.select("flight_id", "plane_id").join(cabins, "plane_id")
-             .join(prices, ["flight_id", "plane_id", "class_type"], "left"))
+             .join(prices, list(keys), "left"))
+    if seats is None:
+        return offer.withColumn("available", F.coalesce("available", F.lit(0)))
     return lookup_default(offer, free_seats(seats), ["flight_id", "class_type"],
                           {"available": 0})
 

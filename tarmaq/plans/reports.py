@@ -6,7 +6,7 @@ table, so a hot flight, order or plane shrinks map-side before any shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmaq import params as P
@@ -142,59 +142,73 @@ def cancel_rate_by_month(orders: DataFrame, exclude: tuple[str, ...] = (P.PENDIN
                     .alias("customer_cancellation_rate")))
 
 
-def route_months(flights: DataFrame, routes: DataFrame, occupancy: DataFrame,
-                 as_of: str) -> DataFrame:
-    """Flown flights before ``as_of`` per plane, month and route, with the best occupancy.
+def route_months(flights: DataFrame, routes: DataFrame, occupancy: DataFrame | None, as_of: str) -> DataFrame:
+    """Flights before ``as_of`` per plane, month (its first day) and route, from one fold.
 
-    ``month`` is the first day of the month.
+    flown, cancelled, ``days`` with a flown flight (bit d - 1 for day d) and the
+    best occupancy of a flown flight. ``occupancy``: flight_id, occupancy_pct;
+    None if the flights have the column. A route that is not known has no airports.
     """
-    flown = (_past(flights, as_of).filter(F.col("flight_status").isin(*P.FLOWN_FLIGHT))
-             .join(occupancy.select("flight_id", "occupancy_pct"), "flight_id", "left")
-             .groupBy("plane_id", month_start("takeoff_ts").alias("month"), "route_id")
-             .agg(F.count(F.lit(1)).alias("flown"), F.max("occupancy_pct").alias("best")))
+    flown = F.col("flight_status").isin(*P.FLOWN_FLIGHT)
+    past = _past(flights, as_of)
+    if occupancy is not None:
+        past = past.join(occupancy.select("flight_id", "occupancy_pct"), "flight_id", "left")
+    day_bit = F.expr("shiftleft(1, dayofmonth(takeoff_ts) - 1)")
+    folded = (past.groupBy("plane_id", month_start("takeoff_ts").alias("month"), "route_id")
+              .agg(F.sum(flag(flown)).alias("flown"),
+                   F.sum(flag(F.col("flight_status") == P.CANCELLED)).alias("cancelled"),
+                   F.max(F.when(flown, F.col("occupancy_pct"))).alias("best"),
+                   F.bit_or(F.when(flown, day_bit).otherwise(0)).alias("days")))
     # Folded by route first, so a route with a third of all flights joins as a few rows.
-    return (flown.join(routes.select("route_id", "origin_airport", "destination_airport"),
-                       "route_id")
+    return (folded.join(routes.select("route_id", "origin_airport", "destination_airport"), "route_id", "left")
             .groupBy("plane_id", "month", "origin_airport", "destination_airport")
-            .agg(F.sum("flown").alias("flown"), F.max("best").alias("best")))
+            .agg(F.sum("flown").alias("flown"), F.sum("cancelled").alias("cancelled"),
+                 F.max("best").alias("best"), F.bit_or("days").alias("days")))
 
 
-def dominant_route(per_route: DataFrame) -> DataFrame:
-    """The route flown most per plane and month.
+def _route_rank() -> Column:
+    """The smallest is the dominant route; NULL for routes that are not known or were not flown.
 
-    Ties: higher occupancy (none at all last), then origin and destination. The
-    winner is the smallest tuple, an aggregate that folds map-side.
+    Ties: higher occupancy (none at all last), then origin and destination.
     """
     rank = F.struct((-F.col("flown")).alias("flown"),
                     F.coalesce(-F.col("best"), F.lit(1)).alias("best"),
                     "origin_airport", "destination_airport")
-    return (per_route.groupBy("plane_id", "month").agg(F.min(rank).alias("top"))
+    known = F.col("origin_airport").isNotNull() | F.col("destination_airport").isNotNull()
+    return F.when(known & (F.col("flown") > 0), rank)
+
+
+def dominant_route(per_route: DataFrame) -> DataFrame:
+    """The route flown most per plane and month, an aggregate that folds map-side."""
+    return (per_route.groupBy("plane_id", "month").agg(F.min(_route_rank()).alias("top")).filter("top IS NOT NULL")
             .select("plane_id", "month", (-F.col("top.flown")).alias("route_flights"),
                     F.col("top.origin_airport").alias("origin_airport"),
                     F.col("top.destination_airport").alias("destination_airport")))
 
 
-def fleet_monthly(flights: DataFrame, routes: DataFrame, occupancy: DataFrame, as_of: str,
+def fleet_monthly(flights: DataFrame, routes: DataFrame, occupancy: DataFrame | None, as_of: str,
                   period_days: int = P.UTILISATION_DAYS) -> DataFrame:
-    """Per plane and month: flown, cancelled, days in use and the dominant route."""
-    flown = F.col("flight_status").isin(*P.FLOWN_FLIGHT)
-    per_day = (_past(flights, as_of)
-               .groupBy("plane_id", F.to_date("takeoff_ts").alias("day"))
-               .agg(F.sum(flag(flown)).alias("flown"),
-                    F.sum(flag(F.col("flight_status") == P.CANCELLED)).alias("cancelled")))
-    monthly = (per_day.groupBy("plane_id", F.trunc("day", "MM").alias("month"))
-               .agg(F.sum("flown").alias("completed_flights"),
-                    F.sum("cancelled").alias("cancelled_flights"),
-                    F.sum(flag(F.col("flown") > 0)).alias("flown_days"))
-               .filter(F.col("completed_flights") > 0))
-    top = dominant_route(route_months(flights, routes, occupancy, as_of))
-    return (monthly.join(top, ["plane_id", "month"], "left")
+    """Per plane and month: flown, cancelled, days in use and the dominant route.
+
+    Everything comes from one fold of the flights (see ``route_months``).
+    """
+    return (route_months(flights, routes, occupancy, as_of).groupBy("plane_id", "month")
+            .agg(F.sum("flown").alias("completed_flights"), F.sum("cancelled").alias("cancelled_flights"),
+                 F.bit_count(F.bit_or("days")).alias("flown_days"), F.min(_route_rank()).alias("top"))
+            .filter(F.col("completed_flights") > 0)
             .select("plane_id", month_text("month").alias("month"), "completed_flights", "cancelled_flights",
                     percent(F.col("flown_days"), F.lit(period_days)).alias("utilization_pct"),
-                    route_path("origin_airport", "destination_airport")
+                    route_path("top.origin_airport", "top.destination_airport")
                     .alias("dominant_origin_destination")))
 
 
+def with_occupancy(lines: DataFrame, kept: Column) -> DataFrame:
+    """Seat lines with the share of their flight's lines that are kept (a window over one flight's seats)."""
+    flight = Window.partitionBy("flight_id")
+    return lines.withColumn("occupancy_pct", percent(F.sum(flag(kept)).over(flight),
+                                                     F.count(F.lit(1)).over(flight), 6))
+
+
 def completed_by_month(flights: DataFrame, as_of: str | None = None) -> DataFrame:
     done = flights.filter(F.col("flight_status") == P.COMPLETED)
     done = _past(done, as_of) if as_of else done

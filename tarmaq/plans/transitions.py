@@ -161,6 +161,20 @@ def cancel_flights(cancelled: DataFrame, flights: DataFrame, orders: DataFrame,
     return new_flights, new_orders, clear(seats, cancelled, "flight_id", "order_id")
 
 
+def void_sales(cancelled: DataFrame, sales: DataFrame) -> DataFrame:
+    """The cascade for rows that hold an order with its seat: flight_id, order_id, order_status.
+
+    One join changes both: paid and pending orders are void, and ``seat_order``
+    is the order that holds the seat afterwards, NULL on a cancelled flight.
+    """
+    hit = F.col("_hit").isNotNull()
+    return (sales.join(cancelled.select("flight_id").distinct().withColumn("_hit", F.lit(True)), "flight_id", "left")
+            .withColumn("seat_order", F.when(~hit, F.col("order_id")))
+            .withColumn("order_status", F.when(hit & F.col("order_status").isin(P.ACTIVE, P.PENDING), P.BY_SYSTEM)
+                        .otherwise(F.col("order_status")))
+            .select(*sales.columns, "seat_order"))
+
+
 def derive_full(flights: DataFrame, tally: DataFrame, held: str = "kept",
                 count_empty: bool = False) -> DataFrame:
     """Scheduled flights without a free seat become Full.

@@ -69,3 +69,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
+
+def measured(df: DataFrame, purpose: str = "measured") -> DataFrame:
+    """The rows as a table in the shared folder, whose size Spark knows when it plans.
+
+    For a small side of a join on a key with few values: it is broadcast if it is
+    below the threshold, before anything is shuffled by that key.
+    """
+    path = run_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

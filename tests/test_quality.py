@@ -75,3 +75,15 @@ def test_every_table_is_declared(air):
     assert set(air) == set(TABLES) and len(TABLES) == 16
     assert air["plane"].schema["purchase_date"].dataType.typeName() == "date"
     assert isinstance(air["plane"].first().purchase_date, date)
+
+
+def test_foreign_keys_both_ways(spark, rows):
+    one = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (None, 5)], "k int, n int")
+    other = spark.createDataFrame([(1,), (4,), (4,), (None,)], "p int")
+    assert rows(Q.check_fk_both(one, ["k"], other, ["p"], "one", "other", "n")) == [
+        ("one", "fk(k->other)", 1), ("other", "fk(p->one)", 2)]
+    assert rows(Q.check_fk_both(one, ["k"], other, ["p"], "one", "other")) == [
+        ("one", "fk(k->other)", 1), ("other", "fk(p->one)", 2)]
+    assert rows(Q.check_fk(one, ["k"], other, ["p"], "one", "other", "n")) == [("one", "fk(k->other)", 1)]
+    assert rows(Q.check_fk_both(one.limit(0), ["k"], other.limit(0), ["p"], "one", "other")) == [
+        ("one", "fk(k->other)", 0), ("other", "fk(p->one)", 0)]

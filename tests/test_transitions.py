@@ -196,3 +196,12 @@ def test_order_totals_and_history(air):
     totals = {r.order_id: r.total for r in datasets.order_totals(
         air["orders"].select("order_id", "order_status"), lines).collect()}
     assert len(totals) == 220 and sum(totals.values()) == D("998330.00")
+
+
+def test_sales_of_cancelled_flights_are_void_in_one_join(spark, rows):
+    sales = spark.createDataFrame([(1, "A", "Active"), (1, "B", "Pending"), (1, "C", "Completed"), (2, "D", "Active"),
+                                   (None, "E", "Active")], "flight_id int, order_id string, order_status string")
+    gone = spark.createDataFrame([(1,), (1,), (3,)], "flight_id int")
+    assert rows(X.void_sales(gone, sales), "order_id", "order_status", "seat_order") == [
+        ("A", "Cancelled by system", None), ("B", "Cancelled by system", None), ("C", "Completed", None),
+        ("D", "Active", "D"), ("E", "Active", "E")]
