@@ -8,14 +8,15 @@ from tarmaq import params as P
 from tarmaq.bindings import query
 from tarmaq.bindings.views import (CABIN, FLIGHT, SEATLINE, bookings, cabins, flights, seat_lines)
 from tarmaq.functions import scalars as S
-from tarmaq.functions.predicates import in_tuples
+from tarmaq.functions.predicates import in_tuples, owned_by
 from tarmaq.operators import relations as J
 from tarmaq.plans import datasets as D
 from tarmaq.plans import seating
 from tarmaq.plans.quality import union_all
+from tarmaq.session import measured, run_dir
 from tarmaq.sources import catalog
-from tarmaq.session import measured
 from tarmaq.sources.scans import scan
+from tarmaq.sources.sinks import append_new
 
 # Column types of the driver tables, as declared in their files.
 COLUMNS = {
@@ -58,6 +59,55 @@ def column_profile(spark, sf):
     return union_all([catalog.profile(scan(spark, sf, t), t) for t in COLUMNS])
 
 
+def _distinct_sql(table: str) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{pair.split()[0]}' AS column_name, count(*) AS row_count, "
+        f"count(DISTINCT {pair.split()[0]}) AS distinct_count FROM {table}" for pair in COLUMNS[table].split(", "))
+
+
+@query("column_profile_distinct", "\nUNION ALL ".join(_distinct_sql(t) for t in ("part", "orders")))
+def column_profile_distinct(spark, sf):
+    return union_all([catalog.profile(scan(spark, sf, t), t, "exact") for t in ("part", "orders")]).select(
+        "table_name", "column_name", "row_count", "distinct_count")
+
+
+@query("nullable_columns", """
+WITH owner AS (
+  SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 1 THEN o_custkey END AS guest,
+         CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS member FROM orders)
+SELECT 'orders' AS table_name, 'guest' AS column_name, 2::BIGINT AS ordinal, 'bigint' AS data_type,
+       count(*) AS row_count, count(*) - count(guest) AS null_count FROM owner
+UNION ALL SELECT 'orders', 'member', 3, 'bigint', count(*), count(*) - count(member) FROM owner""")
+def nullable_columns(spark, sf):
+    """The two owner columns are declared nullable, the key is not."""
+    odd = F.col("o_orderkey") % 2 == 1
+    owners = scan(spark, sf, "orders", ["o_orderkey", "o_custkey"]).select(
+        F.coalesce("o_orderkey", F.lit(0)).alias("order_id"), F.when(odd, F.col("o_custkey")).alias("guest"),
+        F.when(~odd, F.col("o_custkey")).alias("member"))
+    return catalog.nullable_columns(owners, "orders")
+
+
+def _merged_sql() -> str:
+    def value(name, kind):
+        return (f"epoch_us({name})" if kind.startswith("timestamp") else name) if kind != "string" else "NULL"
+
+    return "\nUNION ALL ".join(
+        f"SELECT 'orders' AS table_name, '{n}' AS column_name, count(*) AS row_count, count(*) - count({n}) AS null_count, "
+        f"CAST(min({value(n, k)}) AS DOUBLE) AS min_number, CAST(max({value(n, k)}) AS DOUBLE) AS max_number, "
+        f"{f'min({n})' if k == 'string' else 'NULL::VARCHAR'} AS min_text, "
+        f"{f'max({n})' if k == 'string' else 'NULL::VARCHAR'} AS max_text FROM orders"
+        for n, k in (pair.split() for pair in COLUMNS["orders"].split(", ")))
+
+
+@query("column_profile_merged", _merged_sql())
+def column_profile_merged(spark, sf):
+    """Orders come in three parts (by status), are sketched one by one and merged; the exact columns."""
+    orders = scan(spark, sf, "orders")
+    parts = union_all([catalog.sketched(orders.filter(F.col("o_orderstatus") == s), "orders") for s in "FOP"])
+    return catalog.estimated(catalog.merged_profiles(parts)).select(
+        "table_name", "column_name", "row_count", "null_count", "min_number", "max_number", "min_text", "max_text")
+
+
 @query("layout_map_json", f"""
 WITH {CABIN}
 SELECT plane_id, '{{' || string_agg('"' || class_type || '":{{"rows":' || rows_num || ',"cols":4}}',
@@ -260,6 +310,45 @@ def purchase_history(spark, sf):
         S.day_text("date_of_purchase").alias("purchased"), "seats_count", "total")
 
 
+OWNER = "Customer#000000007"
+
+
+@query("owner_history", f"""
+WITH booking AS (
+  SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 1 THEN c_name END AS guest,
+         CASE WHEN o_orderkey % 2 = 0 THEN c_name END AS member, o_orderdate AS date_of_purchase,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 'Cancelled by customer'
+              WHEN o_orderstatus = 'F' THEN 'Completed' ELSE 'Active' END AS order_status
+  FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P')
+SELECT order_id, order_status, strftime(date_of_purchase, '%Y-%m-%d') AS purchased, count(l_orderkey) AS seats_count,
+       CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS total
+FROM booking LEFT JOIN lineitem ON l_orderkey = order_id
+WHERE guest = '{OWNER}' OR member = '{OWNER}' GROUP BY ALL""")
+def owner_history(spark, sf):
+    """The purchases of one owner: a guest of odd orders, a member of even ones."""
+    odd = F.col("order_id") % 2 == 1
+    names = scan(spark, sf, "customer", ["c_custkey", "c_name"]).toDF("owner", "name")
+    orders = bookings(spark, sf).join(names, "owner").withColumns({
+        "guest": F.when(odd, F.col("name")), "member": F.when(~odd, F.col("name"))})
+    mine = orders.filter(owned_by("guest", "member", OWNER))
+    lines = seat_lines(spark, sf).withColumnRenamed("flight_id", "order_id").drop("order_status")
+    return D.purchase_history(mine, J.exists_in(lines, mine, ["order_id"]), "name").select(
+        "order_id", "order_status", S.day_text("date_of_purchase").alias("purchased"), "seats_count", "total")
+
+
+@query("append_new_rows", """
+SELECT c_custkey AS key, c_name AS name FROM customer
+UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)""")
+def append_new_rows(spark, sf):
+    """Customers stand; suppliers are appended twice, and those with a new key are there once."""
+    path = run_dir(spark, "appended")
+    scan(spark, sf, "customer", ["c_custkey", "c_name"]).toDF("key", "name").write.parquet(path)
+    fresh = scan(spark, sf, "supplier", ["s_suppkey", "s_name"]).toDF("key", "name")
+    for _ in range(2):
+        append_new(fresh, spark.read.schema(fresh.schema).parquet(path), path, ["key"])
+    return spark.read.schema(fresh.schema).parquet(path)
+
+
 @query("contact_list", """
 SELECT c_custkey, c_name, coalesce((
   SELECT string_agg(p, ', ' ORDER BY p) FROM (
@@ -418,3 +507,23 @@ def contact_normalise(spark, sf):
         "c_custkey", S.clean_email("c_name").alias("email"),
         S.clean_code("c_mktsegment").alias("code"), S.clean_phone(written).alias("phone"),
         S.is_phone(digits).alias("digits_are_phone"), S.is_phone("c_name").alias("name_is_phone"))
+
+
+@query("seat_rebuild", f"""
+WITH {GRID}, flown AS (
+  SELECT s_suppkey AS flight_id, 'Brand#' || (s_suppkey % 25 + 1) AS plane_id, s_acctbal > 0 AS again FROM supplier),
+sound AS (SELECT * FROM flown WHERE again AND plane_id IN (SELECT p_brand FROM part WHERE p_type = 'ECONOMY'))
+SELECT DISTINCT l_suppkey AS flight_id, CAST(l_linenumber AS BIGINT) AS s_row, l_partkey % 4 + 1 AS s_column
+FROM lineitem WHERE l_suppkey NOT IN (SELECT flight_id FROM sound)
+UNION ALL SELECT flight_id, s_row, s_column FROM sound JOIN grid USING (plane_id)""")
+def seat_rebuild(spark, sf):
+    """Suppliers in credit get new seats by the layout of their brand; the others keep those their lines mention."""
+    fleet = scan(spark, sf, "supplier", ["s_suppkey", "s_acctbal"]).select(
+        F.col("s_suppkey").alias("flight_id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 25 + 1).alias("plane_id"),
+        (F.col("s_acctbal") > 0).alias("again"))
+    layout = cabins(spark, sf).withColumn("class_type", F.when(F.col("class_type") == "ECONOMY", "Economy")
+                                          .otherwise(F.col("class_type")))
+    seats = scan(spark, sf, "lineitem", ["l_suppkey", "l_linenumber", "l_partkey"]).select(
+        F.col("l_suppkey").alias("flight_id"), F.col("l_linenumber").alias("s_row"),
+        (F.col("l_partkey") % 4 + 1).cast("int").alias("s_column")).distinct()
+    return seating.rebuild_seats(seats, fleet.filter("again"), layout, F.upper("class_type"))

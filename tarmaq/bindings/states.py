@@ -9,11 +9,12 @@ from tarmaq.bindings import query
 from tarmaq.bindings.views import (AS_OF, BOOKING, EVENTS_END, FLIGHT, HOLD_TTL, SEATLINE, TALLY,
                                    bookings, events, flights, seat_lines, seat_requests, tally)
 from tarmaq.operators import relations as J
-from tarmaq.operators.sessions import lapsed, sessions
+from tarmaq.operators.sessions import follow_sessions, lapsed, no_sessions, sessions
 from tarmaq.plans import claims, scoped, totals
 from tarmaq.plans import transitions as X
 from tarmaq.plans.datasets import order_totals
-from tarmaq.session import run_dir
+from tarmaq.functions.scalars import moment
+from tarmaq.session import measured, run_dir
 from tarmaq.sources import buckets
 from tarmaq.sources.scans import scan
 
@@ -346,3 +347,18 @@ FROM s GROUP BY user_id, n"""
 @query("sessionize", SESSIONS)
 def sessionize(spark, sf):
     return sessions(events(spark, sf), "user_id", "ts", P.SESSION_IDLE_MINUTES)
+
+
+@query("sessionize_by_version", SESSIONS)
+def sessionize_by_version(spark, sf):
+    """Three versions of the events, each going on with the sessions that the one before left open."""
+    seen = events(spark, sf).select("user_id", "ts")
+    open_, closed, since = no_sessions(seen, "user_id", "ts"), None, None
+    for until in ("2024-01-11 00:00:00", "2024-01-20 12:00:00", EVENTS_END):
+        part = seen.filter(F.col("ts") < moment(until))
+        part = part if since is None else part.filter(F.col("ts") >= moment(since))
+        done, open_ = follow_sessions(open_, part, "user_id", "ts", P.SESSION_IDLE_MINUTES, until)
+        open_, since = measured(open_, "open_sessions"), until
+        closed = done if closed is None else closed.unionByName(done)
+    ends = F.col("last_ts") + F.make_dt_interval(mins=F.lit(P.SESSION_IDLE_MINUTES))
+    return closed.unionByName(open_.select("user_id", "session_start", ends.alias("session_end"), "requests"))

@@ -54,9 +54,9 @@ def seats_from_layout(flights: DataFrame, cabins: DataFrame, existing: DataFrame
     return not_existing(seats, existing, ["flight_id", "s_row", "s_column"])
 
 
-def rebuild_seats(seats: DataFrame, flights: DataFrame, cabins: DataFrame) -> DataFrame:
+def rebuild_seats(seats: DataFrame, flights: DataFrame, cabins: DataFrame, rank: Column | None = None) -> DataFrame:
     """Replace all seats of the given flights; a plane without Economy makes none."""
     economy = cabins.filter(F.col("class_type") == "Economy").select("plane_id").distinct()
     sound = flights.join(economy, "plane_id", "left_semi")
     others = not_existing(seats, sound, ["flight_id"])
-    return others.unionByName(seats_from_layout(sound, cabins).select(*seats.columns))
+    return others.unionByName(seats_from_layout(sound, cabins, rank=rank).select(*seats.columns))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tarmaq.operators.relations import not_existing
@@ -39,8 +42,34 @@ def _write_manifest(spark: SparkSession, root: str, valid: dict[str, int]) -> No
 
 
 def append_new(df: DataFrame, existing: DataFrame, path: str, keys: list[str]) -> None:
-    """Append only the rows whose key is not there yet, so a rerun adds nothing."""
-    not_existing(df, existing, keys).write.mode("append").parquet(path)
+    """Append only the rows whose key is not there yet, so a rerun adds nothing.
+
+    Two writers could both find a key missing, so one at a time holds the table's
+    lock file; the other one fails at once. A lock that a dead job has left names
+    that job and is to be deleted by hand.
+    """
+    with exclusive(df.sparkSession, path):
+        not_existing(df, existing, keys).write.mode("append").parquet(path)
+
+
+@contextmanager
+def exclusive(spark: SparkSession, path: str):
+    """Hold the lock file of a table: it is created only if it is not there, in one step."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    lock = hadoop.Path(f"{path.rstrip('/')}._lock")
+    fs = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(lock, False)
+    except Py4JJavaError as error:
+        if not fs.exists(lock):
+            raise
+        raise RuntimeError(f"another job writes {path}: {lock.toString()} is there") from error
+    try:
+        out.write(bytearray(spark.sparkContext.applicationId, "utf-8"))
+        out.close()
+        yield
+    finally:
+        fs.delete(lock, False)
 
 
 def write_report(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> str:

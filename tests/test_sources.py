@@ -39,6 +39,45 @@ def test_append_is_repeatable(air, spark, tmp_path):
     assert spark.read.parquet(path).count() == 1940
 
 
+def test_one_writer_appends_at_a_time(air, spark, tmp_path):
+    path = str(tmp_path / "plane.parquet")
+    air["plane"].limit(0).write.parquet(path)
+    with sinks.exclusive(spark, path):
+        with pytest.raises(RuntimeError, match="another job"):
+            sinks.append_new(air["plane"], air["plane"].limit(0), path, ["plane_id"])
+    assert spark.read.parquet(path).count() == 0
+    sinks.append_new(air["plane"], air["plane"].limit(0), path, ["plane_id"])  # the lock is gone
+    assert spark.read.parquet(path).count() == 6 and os.listdir(tmp_path) == ["plane.parquet"]
+
+
+def test_merged_profiles(spark):
+    """Parts sketched one by one give the exact counts and bounds, and estimates within their error."""
+    whole = spark.range(30_000).selectExpr("id AS n", "CAST(id % 997 AS STRING) AS t", "IF(id % 10 = 0, NULL, id / 7.0) AS x",
+                                           "TIMESTAMP_NTZ'2026-01-01' + make_dt_interval(0, 0, id) AS ts")
+    parts = [whole.filter(f"n % 4 = {k}") for k in range(4)] + [whole.limit(0)]
+    sketched = catalog.sketched(parts[0], "t")
+    for part in parts[1:]:
+        sketched = sketched.unionByName(catalog.sketched(part, "t"))
+    got = {r["column_name"]: r for r in catalog.estimated(catalog.merged_profiles(sketched)).collect()}
+    assert {c: (r["row_count"], r["null_count"]) for c, r in got.items()} == {
+        "n": (30_000, 0), "t": (30_000, 0), "x": (30_000, 3000), "ts": (30_000, 0)}
+    assert (got["n"]["min_number"], got["n"]["max_number"]) == (0, 29_999)
+    assert (got["t"]["min_text"], got["t"]["max_text"], got["t"]["q50"]) == ("0", "996", None)
+    assert got["ts"]["max_number"] - got["ts"]["min_number"] == 29_999 * 60_000_000
+    for column, distinct in (("n", 30_000), ("t", 997), ("x", 27_000), ("ts", 30_000)):
+        assert abs(got[column]["distinct_estimate"] - distinct) <= .03 * distinct
+    for share in (25, 50, 75):  # three times the sketch's rank error
+        assert abs(got["n"][f"q{share}"] / 30_000 - share / 100) < .02
+
+
+def test_profile_of_nothing(spark):
+    empty = spark.createDataFrame([], "a int, b string")
+    got = catalog.estimated(catalog.merged_profiles(catalog.sketched(empty, "e"))).collect()
+    assert {(r["column_name"], r["row_count"], r["distinct_estimate"], r["q50"]) for r in got} == {
+        ("a", 0, 0, None), ("b", 0, 0, None)}
+    assert catalog.nullable_columns(empty, "e").count() == 2
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_report_round_trip(air, spark, tmp_path, fmt):
     report = air["flight"].groupBy("flight_status").count()
