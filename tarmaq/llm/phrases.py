@@ -8,17 +8,19 @@ prefix, the totals of both parts of a cut, and the largest extension of a phrase
 to the right (the maximum of its own stripe) and to the left (the maximum of
 the entries that end in it), which decides whether it is subsumed.
 
-Every part of a phrase occurs as often as the phrase at least. So level by level
-only phrases are counted whose parts can be frequent: two words that both are,
-then three of two such pairs, then four and five of such threes. What is frequent
-goes to the tasks as a bitmap of fixed size (``BITS``) over hashes of phrases: a
-phrase that shares a bit costs a few rows more and changes no result, however
-full the bitmap is. Stripes of single words are dealt in ``SHARDS`` by the next
+Every part of a phrase occurs as often as the phrase at least. So pairs are counted
+of words that are frequent, and longer phrases where all their pairs are. What is
+frequent goes to the tasks as a bitmap of fixed size (``BITS``) over hashes of
+phrases. Even so most phrases are rare; each level is first counted as hashes, in
+an array of that size, and as text only where a place can hold a frequent phrase.
+A phrase that shares a place costs some work and changes no result, however full
+bitmap and array are. Stripes of single words are dealt in ``SHARDS`` by the next
 word, as a common word is followed by many. Counts are exact; phrases travel as text.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -31,6 +33,8 @@ from tarmaq.llm.common import LOWER, STEP_KEYS, hash_spans, mix, spans, stored,
 LONGEST, LEAST, TOP = 5, 100, 2000
 BITS = 1 << 26
 SHARDS = 8
+#: Parts of the prefixes that are sent and summed as one.
+BUCKETS = 512
 #: Entries that a task's stripes hold before they are handed on.
 HELD = 400_000
 
@@ -105,23 +109,100 @@ def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _stripes(docs: DataFrame, part: int, longest: int, known: np.ndarray) -> DataFrame:
-    """Stripes of all phrases of part + 1 to ``longest`` words whose parts of ``part`` words have their bit:
-    (lang, prefix, shard, next array, n array)."""
+def _walk(batches, bits: np.ndarray, part: int, longest: int):
+    """Some megabytes of text at a time: languages, each word's language, lower-cased bytes, word starts and
+    ends, and for each size from part + 1 to ``longest`` the places and hashes of the phrases whose parts of
+    ``part`` words have their bit."""
+    for batch in batches:
+        langs = _langs(batch)
+        for low, high, data, offsets, _ in text_blocks(batch.column("text"), 8 << 20):
+            data = LOWER[data]
+            words, starts, ends, firsts, joined = _words(data, offsets)
+            names = sorted(set(langs[low:high]))
+            code = np.repeat(np.array([names.index(v) for v in langs[low:high]], np.int64), np.diff(firsts))
+            seeds = np.array([_seed(v) for v in names], np.uint64)[code] if len(code) else words[:0]
+            # good[k]: the `part` words from k on stand in one piece and have their bit
+            good = _held(bits, phrase_hashes(words, seeds, part))
+            for k in range(1, part):
+                good &= joined[k:k + len(good)]
+            found = []
+            for size in range(part + 1, longest + 1):
+                places = max(len(words) - size + 1, 0)
+                ok = good[:places].copy()
+                for k in range(1, size - part + 1):
+                    ok &= good[k:k + places] & joined[k + part - 1:k + part - 1 + places]
+                at = np.flatnonzero(ok)
+                found.append((size, at, phrase_hashes(words, seeds, size)[at]))
+            yield names, code, data, starts, ends, found
+
+
+def crowded(docs: DataFrame, part: int, longest: int, known: np.ndarray, least: int) -> np.ndarray:
+    """A bit for each place of the bitmap on which the phrases of known parts fall ``least`` times in all.
+
+    Most phrases are rare, and a place without a bit holds rare ones only, so they
+    need not be counted as text. A task counts in an array of a byte per place (of
+    more than 255, if ``least`` is) and hands on what is not zero, in slices.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
+    kind = np.dtype("u1") if least < 256 else np.dtype("<u4")
+    slices, width = BITS >> 16, 1 << 16
 
-    def rows(stripes):
-        keys = list(stripes)
-        sizes = [len(stripes[k]) for k in keys]
-        edges = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-        entries = [e for k in keys for e in stripes[k].items()]
+    def count(batches):
+        bits, seen = shared.value, np.zeros(BITS, kind)
+        for *_, found in _walk(batches, bits, part, longest):
+            for _, _, hashes in found:
+                place, n = np.unique(hashes & np.uint64(BITS - 1), return_counts=True)
+                place = place.astype(np.int64)
+                seen[place] = np.minimum(seen[place].astype(np.int64) + n, least).astype(kind)
+        for k in range(slices):
+            own = seen[k * width:(k + 1) * width]
+            place = np.flatnonzero(own)
+            if len(place):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([place.astype("<u2").tobytes()], pa.binary()),
+                     pa.array([own[place].tobytes()], pa.binary())], ["slice", "place", "n"])
+
+    def add(batches):
+        own, total = None, None
+        for batch in batches:
+            for k, place, n in zip(*(batch.column(c).to_pylist() for c in ("slice", "place", "n"))):
+                if k != own:
+                    if own is not None:
+                        yield out(own, total)
+                    own, total = k, np.zeros(width, np.int64)
+                total[np.frombuffer(place, "<u2")] += np.frombuffer(n, kind)
+        if own is not None:
+            yield out(own, total)
+
+    def out(own, total):
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()),
-             pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()),
-             pa.array([k[2] for k in keys], pa.int32()),
-             pa.ListArray.from_arrays(edges, pa.array([e[0] for e in entries], pa.binary()).cast(pa.string())),
-             pa.ListArray.from_arrays(edges, pa.array([e[1] for e in entries], pa.int64()))],
-            ["lang", "prefix", "shard", "next", "n"])
+            [pa.array([own], pa.int32()),
+             pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+
+    rows = (docs.select("lang", "text").mapInArrow(count, "slice int, place binary, n binary")
+            .repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, bits binary").collect())
+    full = np.zeros(BITS // 8, np.uint8)  # 8 KB from each slice: BITS / 8 bytes in all
+    for row in rows:
+        full[row["slice"] * width // 8:(row["slice"] + 1) * width // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return full
+
+
+def _stripes(docs: DataFrame, part: int, longest: int, known: np.ndarray, full: np.ndarray) -> DataFrame:
+    """Stripes of all phrases of part + 1 to ``longest`` words whose parts of ``part`` words have their bit, and
+    they themselves in ``full``: rows of stripes (lang, prefix, next, n) of one bucket."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, full))
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("prefix", pa.string()), ("next", pa.list_(pa.string())),
+                               ("n", pa.list_(pa.int64()))]))
+
+    def rows(stripes):
+        """The stripes of each bucket as one row."""
+        blocks: dict[int, list] = {}
+        for (lang, prefix, shard), stripe in stripes.items():
+            blocks.setdefault((zlib.crc32(prefix) + shard) % BUCKETS, []).append(
+                {"lang": lang, "prefix": prefix.decode(), "next": [w.decode() for w in stripe], "n": list(stripe.values())})
+        for bucket, block in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], kind)],
+                                             ["bucket", "stripes"])
 
     def fill(stripes, lang, raw, starts, ends, at, size, hashes):
         """Count the phrases of ``size`` words at the given places, equal ones at once."""
@@ -136,50 +217,54 @@ def _stripes(docs: DataFrame, part: int, longest: int, known: np.ndarray) -> Dat
         return added
 
     def count(batches):
-        bits, stripes, held = shared.value, {}, 0
-        for batch in batches:
-            langs = _langs(batch)
-            for low, high, data, offsets, _ in text_blocks(batch.column("text"), 8 << 20):
-                data = LOWER[data]
-                words, starts, ends, firsts, joined = _words(data, offsets)
-                names = sorted(set(langs[low:high]))
-                code = np.repeat(np.array([names.index(v) for v in langs[low:high]], np.int64), np.diff(firsts))
-                seeds = np.array([_seed(v) for v in names], np.uint64)[code] if len(code) else words[:0]
-                # good[k]: the `part` words from k on stand in one piece and have their bit
-                good = _held(bits, phrase_hashes(words, seeds, part))
-                for k in range(1, part):
-                    good &= joined[k:k + len(good)]
-                raw, starts, ends = data.tobytes(), starts.tolist(), ends.tolist()
-                for size in range(part + 1, longest + 1):
-                    places = max(len(words) - size + 1, 0)
-                    ok = good[:places].copy()
-                    for k in range(1, size - part + 1):
-                        ok &= good[k:k + places] & joined[k + part - 1:k + part - 1 + places]
-                    at = np.flatnonzero(ok)
-                    hashes = phrase_hashes(words, seeds, size)[at]
-                    for k, lang in enumerate(names):
-                        own = code[at] == k
-                        held += fill(stripes, lang, raw, starts, ends, at[own], size, hashes[own])
-                        if held >= HELD:
-                            yield rows(stripes)
-                            stripes, held = {}, 0
-        if stripes:
-            yield rows(stripes)
+        bits, full = shared.value
+        stripes, held = {}, 0
+        for lang_names, code, data, starts, ends, found in _walk(batches, bits, part, longest):
+            raw, starts, ends = data.tobytes(), starts.tolist(), ends.tolist()
+            for size, at, hashes in found:
+                some = _held(full, hashes)
+                at, hashes = at[some], hashes[some]
+                for k, lang in enumerate(lang_names):
+                    own = code[at] == k
+                    held += fill(stripes, lang, raw, starts, ends, at[own], size, hashes[own])
+                    if held >= HELD:
+                        yield from rows(stripes)
+                        stripes, held = {}, 0
+        yield from rows(stripes)
 
     return docs.select("lang", "text").mapInArrow(
-        count, "lang string, prefix string, shard int, next array<string>, n array<long>")
+        count, "bucket int, stripes array<struct<lang: string, prefix: string, next: array<string>, n: array<long>>>")
 
 
 def merged(stripes: DataFrame, least: int) -> DataFrame:
-    """Stripes summed elementwise; entries of at least ``least``: (lang, prefix, next, phrase, size, f).
+    """Stripes summed elementwise; entries of at least ``least``: (lang, prefix, next, phrase, f).
 
-    A stripe's rows meet once; its entries are summed where they meet.
+    The rows of a bucket follow each other, and the summed stripes of one bucket are held at a time.
     """
-    entries = (stripes.repartition("lang", "prefix", "shard")
-               .select("lang", "prefix", "shard", F.inline(F.arrays_zip("next", "n"))))
-    return (entries.groupBy("lang", "prefix", "shard", "next").agg(F.sum("n").alias("f"))
-            .filter(F.col("f") >= least)
-            .select("lang", "prefix", "next", F.concat_ws(" ", "prefix", "next").alias("phrase"), "f"))
+    def entries(total):
+        kept = [(lang, prefix, word, n) for (lang, prefix), stripe in total.items()
+                for word, n in stripe.items() if n >= least]
+        lang, prefix, word, n = zip(*kept) if kept else ((), (), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(prefix, pa.string()), pa.array(word, pa.string()),
+             pa.array([f"{p} {w}" for p, w in zip(prefix, word)], pa.string()), pa.array(n, pa.int64())],
+            ["lang", "prefix", "next", "phrase", "f"])
+
+    def add(batches):
+        bucket, total = None, {}
+        for batch in batches:
+            for k, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != bucket:
+                    yield entries(total)
+                    bucket, total = k, {}
+                for stripe in block:
+                    own = total.setdefault((stripe["lang"], stripe["prefix"]), {})
+                    for word, n in zip(stripe["next"], stripe["n"]):
+                        own[word] = own.get(word, 0) + n
+        yield entries(total)
+
+    return (stripes.repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(add, "lang string, prefix string, next string, phrase string, f long"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -205,13 +290,10 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     levels = [counted.filter(F.col("f") >= least)
               .select("lang", F.lit("").alias("prefix"), F.col("phrase").alias("next"), "phrase", "f")]
-    part = 1
-    while part < longest:
-        # pairs first, then threes; with those known, few longer ones are left and go together
-        upto = min(part + 1, longest) if part < 3 else longest
-        found = stored(merged(_stripes(docs, part, upto, bitmap(levels[-1])), least), "stripes")
-        levels.append(found)
-        part = upto
+    for part, upto in ((1, 2), (2, longest))[:longest - 1]:
+        known = bitmap(levels[-1])
+        full = crowded(docs, part, upto, known, least)
+        levels.append(stored(merged(_stripes(docs, part, upto, known, full), least), "stripes"))
     return reduce(DataFrame.unionByName, levels), totals
 
 

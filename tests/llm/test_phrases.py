@@ -74,7 +74,8 @@ def test_equals_all_phrases(spark, least, longest):
 def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
     docs = texts(8)
     want = by_brute_force(docs, 4)
-    monkeypatch.setattr(phrases, "bitmap", lambda frequent: np.full(phrases.BITS // 8, 255, np.uint8))
+    for name in ("bitmap", "crowded"):
+        monkeypatch.setattr(phrases, name, lambda *_: np.full(phrases.BITS // 8, 255, np.uint8))
     assert found(spark, docs, least=4) == want
 
 
@@ -90,6 +91,17 @@ def test_the_bitmap_holds_what_it_was_given(spark):
         assert phrases._held(bits, phrases.phrase_hashes(words, seeds, 2)).tolist() == [there]
 
 
+@pytest.mark.parametrize("least", [3, 300])
+def test_crowded_places_hold_every_frequent_pair(spark, least):
+    docs = [(k, "a b c, a b x" if k % 3 else "a b a b", "en") for k in range(4 * least // 3)]
+    full = phrases.crowded(documents(spark, docs), 1, 2, np.full(phrases.BITS // 8, 255, np.uint8), least)
+    assert int(np.unpackbits(full).sum()) == 1  # "a b"; the other pairs are below
+    raw = np.frombuffer(b"a b b c", np.uint8)
+    words, *_ = phrases._words(raw, np.array([0, 7]))
+    hashes = phrases.phrase_hashes(words, np.full(4, phrases._seed("en"), np.uint64), 2)
+    assert phrases._held(full, hashes).tolist() == [True, False, False]
+
+
 def test_stripes_are_handed_on_when_full(spark, monkeypatch):
     docs = texts(9, 60)
     monkeypatch.setattr(phrases, "HELD", 5)
