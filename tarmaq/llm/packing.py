@@ -114,7 +114,8 @@ class WordTokenizer:
 
     The byte-level pattern always starts a new token at a blank that a
     non-blank follows, so texts can be cut there without a change of the
-    result. Special tokens' names in a text are ordinary text.
+    result. A special token's name in a text is that token, as the tokenizers
+    library has it; the text around it is cut there.
     """
 
     _open: dict[str, WordTokenizer] = {}
@@ -128,6 +129,9 @@ class WordTokenizer:
         self.model = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.plain: dict[str, bytes] = {}  # a piece as it stands
         self.spaced: dict[str, bytes] = {}  # a word behind a blank
+        names = sorted(special, key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+        self.numbers = {name: np.array([n], np.uint16) for name, n in special.items()}
         self.odd = re.compile(r" (?:\s|\Z)")
         self.cut = re.compile(r"(?= \S)")
 
@@ -149,6 +153,15 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token numbers of each text, as 16-bit numbers."""
+        if self.special:
+            named = {k: self.special.split(text) for k, text in enumerate(texts) if self.special.search(text)}
+            if named:  # pieces at odd places are special tokens
+                plain = iter(self._ordinary([p for k, t in enumerate(texts) for p in named.get(k, [t])[::2]]))
+                return [np.concatenate([self.numbers[p] if j % 2 else next(plain) for j, p in enumerate(named[k])])
+                        if k in named else next(plain) for k in range(len(texts))]
+        return self._ordinary(texts)
+
+    def _ordinary(self, texts: list[str]) -> list[np.ndarray]:
         parts = []
         for text in texts:
             if self.odd.search(text):

@@ -18,7 +18,6 @@ TEXTS = [(0, "One two three."), (1, None), (2, ""), (3, "x"), (4, "One two three
 
 def tokens_of(texts):
     model = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     return [[*e.ids, 1] for e in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -49,6 +48,14 @@ def check(rows, docs):
     assert set(spans) == set(want)
 
 
+def test_special_tokens_as_the_library_has_them():
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|> x", " <|endoftext|>  \n", "plain",
+             "<|endoftext", "|endoftext|>", "a<|endoftext|>b", "", "<|<|endoftext|>|> ", "x  <|endoftext|>y"]
+    got = packing.WordTokenizer(tokenizer("byte_bpe_50k.json")).encode(texts)
+    assert [[*map(int, ids), 1] for ids in got] == tokens_of(texts)
+    assert tokens_of(texts[:1]) == [[31373, 220, 50256, 995, 1]]
+
+
 def test_edge_cases(spark):
     check(packing.pack(documents(spark, TEXTS), tokenizer("byte_bpe_50k.json")).collect(), TEXTS)
 
