@@ -135,11 +135,19 @@ def fit(buckets: np.ndarray, edges: np.ndarray, statistics: np.ndarray, label: n
 
 
 def train(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
-    """Fit on documents that have a label 0 or 1 (the smallest of several)."""
+    """Fit on documents that have a label 0 or 1 (the smallest of several).
+
+    ``MAX_LABELLED`` documents at most, by the hash of their ids; of rows that
+    repeat a doc_id, one is taken (the smallest hash of a text).
+    """
     sample = (labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id")
               .agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
     rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(sample), "doc_id")
+    # one row of each document, so that the sample bounds what the driver gets
+    rows = (rows.groupBy("doc_id", "quality")
+            .agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars")).alias("one"))
+            .select("doc_id", "quality", "one.text", "one.n_chars"))
 
     def run(batch):
         found, counts, statistics = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []

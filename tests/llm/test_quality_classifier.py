@@ -52,3 +52,13 @@ def test_odd_texts_and_labels(spark):
     nothing = quality.train(docs, labels.limit(0))
     assert all(r.quality_score == 0.5 for r in quality.score(docs, nothing).collect())
     assert quality.score(documents(spark, []), model).count() == 0
+
+
+def test_repeated_rows_of_a_labelled_document_count_once(spark, monkeypatch):
+    """However often a row is repeated, the driver gets one of it."""
+    rows = [(k, f"text {k % 3} of some words") for k in range(6)] + [(0, "text 0 of some words")] * 400 + [(1, "other")] * 30
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda buckets, edges, statistics, target: seen.append(len(target)))
+    quality.train(documents(spark, rows), labels)
+    assert seen == [6]
