@@ -9,6 +9,7 @@ from tarmaq.bindings import query
 from tarmaq.bindings.views import (CABIN, FLIGHT, SEATLINE, bookings, cabins, flights, seat_lines)
 from tarmaq.functions import scalars as S
 from tarmaq.functions.predicates import in_tuples, owned_by
+from tarmaq.operators import probes
 from tarmaq.operators import relations as J
 from tarmaq.plans import datasets as D
 from tarmaq.plans import seating
@@ -403,6 +404,29 @@ def anti_new_rows(spark, sf):
                           _owners_flown(spark, sf), ["c_custkey"])
 
 
+DEAREST = 450_000
+
+
+@query("selective_semi", f"""
+SELECT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > {DEAREST})""")
+def selective_semi(spark, sf):
+    """The lines of the dearest orders: few, so most lines are dropped where they are read."""
+    dear = scan(spark, sf, "orders", ["o_orderkey", "o_totalprice"]).filter(F.col("o_totalprice") > DEAREST)
+    lines = scan(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"])
+    return probes.exists_selective(lines, dear.select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"])
+
+
+@query("selective_anti", f"""
+SELECT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > {DEAREST})""")
+def selective_anti(spark, sf):
+    """All other lines, most of which are not shuffled."""
+    dear = scan(spark, sf, "orders", ["o_orderkey", "o_totalprice"]).filter(F.col("o_totalprice") > DEAREST)
+    lines = scan(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"])
+    return probes.missing_selective(lines, dear.select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"])
+
+
 @query("tuple_in_semi", """
 SELECT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag
 FROM lineitem WHERE (l_linenumber, l_returnflag) IN ((1, 'N'), (2, 'R'), (7, 'A'))""")

@@ -17,7 +17,9 @@ from tarmaq.functions.scalars import money
 from tarmaq.plans import datasets as D
 from tarmaq.plans import reports as R
 from tarmaq.plans import transitions as X
+from tarmaq.session import run_dir
 from tarmaq.sources.scans import scan
+from tarmaq.sources.sinks import colocate
 
 PLANES = 200
 
@@ -115,3 +117,27 @@ def expire_holds_seats(spark, sf):
                                       status.alias("order_status"))
     seats = events(spark, sf).select(F.col("event_id").alias("seat_id"), F.col("event_id").alias("order_id"))
     return X.expire_holds(orders, seats, EVENTS_END, HOLD_TTL)[1]
+
+
+def _by_flight(spark, sf):
+    """Sales and flights in buckets by flight."""
+    seat, orders, flown, planes, prices = _store(spark, sf)
+    kept = colocate({"sales": R.sales(seat, orders, prices), "flown": flown.select("flight_id", "plane_id", "flight_status")},
+                    run_dir(spark, "by_flight"), "flight_id", 32)
+    return kept["sales"], kept["flown"], planes
+
+
+@query("revenue_by_flight_store", REVENUE)
+def revenue_by_flight_store(spark, sf):
+    """The same report from sales that are stored by flight."""
+    return R.revenue_by_class(R.sale_lines(*_by_flight(spark, sf)))
+
+
+@query("occupancy_by_flight_store", f"""
+WITH {STORE}, counted AS (
+  SELECT flight_id, count(*) AS seats, count(*) FILTER (WHERE order_status NOT LIKE 'Cancelled%') AS kept
+  FROM seat LEFT JOIN ordered USING (order_id) GROUP BY flight_id)
+SELECT flight_id, seats, kept, flight_status FROM counted JOIN flight USING (flight_id)""")
+def occupancy_by_flight_store(spark, sf):
+    sold, flown, _ = _by_flight(spark, sf)
+    return R.sale_tally(sold).join(flown, "flight_id").select("flight_id", "seats", "kept", "flight_status")

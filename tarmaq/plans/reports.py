@@ -102,6 +102,36 @@ def fact_lines(fact: DataFrame, orders: DataFrame, flights: DataFrame,
             .join(planes.select("plane_id", "plane_size", "plane_manufacturer"), "plane_id"))
 
 
+def sales(seats: DataFrame, orders: DataFrame, prices: DataFrame) -> DataFrame:
+    """Every seat with its order's status and its price: (flight_id, class_type, order_id, order_status, price).
+
+    Made once, and stored by flight it serves occupancy and revenue without a
+    shuffle by flight. A free seat has no order and no status, a seat of a class
+    without a price none.
+    """
+    held = (seats.filter(F.col("order_id").isNotNull())
+            .join(orders.select("order_id", "order_status"), "order_id", "left"))
+    free = seats.filter(F.col("order_id").isNull()).withColumn("order_status", F.lit(None).cast("string"))
+    return (held.unionByName(free).join(prices, ["flight_id", "plane_id", "class_type"], "left")
+            .select("flight_id", "class_type", "order_id", "order_status", "price"))
+
+
+def sale_tally(sold: DataFrame) -> DataFrame:
+    """Per flight: all seats, those of a standing order, and the share of these."""
+    kept = F.col("order_id").isNotNull() & is_kept(F.col("order_status"))
+    return (sold.groupBy("flight_id")
+            .agg(F.count(F.lit(1)).alias("seats"), F.sum(flag(F.coalesce(kept, F.lit(False)))).alias("kept"))
+            .withColumn("occupancy_pct", percent(F.col("kept"), F.col("seats"))))
+
+
+def sale_lines(sold: DataFrame, flights: DataFrame, planes: DataFrame) -> DataFrame:
+    """Held and priced seats as money, for the revenue report."""
+    held = sold.filter(F.col("order_status").isNotNull() & F.col("price").isNotNull())
+    return (held.withColumnRenamed("price", "amount")
+            .join(flights.select("flight_id", "plane_id", "flight_status"), "flight_id")
+            .join(planes.select("plane_id", "plane_size", "plane_manufacturer"), "plane_id"))
+
+
 def staff_hours(people: DataFrame, links: DataFrame, flown: DataFrame,
                 long_minutes: int = P.REPORT_LONG_MINUTES) -> DataFrame:
     """Long and short hours per employee; idle staff shows 0.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
@@ -92,3 +93,14 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int)
     (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
      .option("path", path).saveAsTable(table))
     return df.sparkSession.table(table)
+
+
+def colocate(tables: dict[str, DataFrame], folder: str, key: str, buckets: int) -> dict[str, DataFrame]:
+    """Store tables bucketed by one key into equally many buckets, and read them so.
+
+    What joins or groups by that key then needs no shuffle. Table names are new
+    ones of this session's catalog; the files lie under ``folder``.
+    """
+    run = uuid.uuid4().hex
+    return {name: write_bucketed(df, f"{name}_{run}", f"{folder.rstrip('/')}/{name}", key, buckets)
+            for name, df in tables.items()}

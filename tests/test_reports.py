@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airline import AS_OF
 from tarmaq.functions.scalars import percent
 from tarmaq.plans import datasets, reports, seating, transitions
+from tarmaq.sources.sinks import colocate
 
 
 def occupancy(air):
@@ -151,3 +152,20 @@ def test_empty_inputs_give_empty_reports(air):
 
 def test_endpoints(air):
     assert datasets.route_endpoints(air["route"]).count() == 9
+
+
+def test_sales_by_flight_need_no_shuffle_by_flight(air, spark, rows, tmp_path):
+    kept = colocate({"sales": reports.sales(air["seat"], air["orders"], air["pricing"]), "flown": air["flight"]},
+                    str(tmp_path), "flight_id", 4)
+    revenue = reports.revenue_by_class(reports.sale_lines(kept["sales"], kept["flown"], air["plane"]))
+    occupancy_ = reports.sale_tally(kept["sales"]).join(kept["flown"].select("flight_id", "flight_status"), "flight_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for report in (revenue, occupancy_):
+            assert "hashpartitioning(flight_id" not in report._jdf.queryExecution().executedPlan().toString()
+        lines = reports.priced_lines(air["seat"], air["orders"], air["flight"], air["plane"], air["pricing"])
+        assert rows(revenue) == rows(reports.revenue_by_class(lines)) and revenue.count() == 8
+        assert rows(occupancy_, "flight_id", "seats", "kept") == rows(
+            reports.seat_tally(air["seat"], air["orders"]), "flight_id", "seats", "kept")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
