@@ -14,6 +14,7 @@ from tarmaq.sources.scans import scan
 from tarmaq.streaming import CLOSING, drain, open_files, read_files
 from tarmaq.streaming.claims import drain_claims
 from tarmaq.streaming.holds import lapsed_holds
+from tarmaq.streaming.timers import lapsed_at_limit
 from tarmaq.streaming.totals import drain_totals
 from tarmaq.streaming.windows import stream_sessions, tumbling_counts
 
@@ -44,12 +45,15 @@ def stream_tumbling_counts(spark, sf):
                  _closing(spark))
 
 
-@query("stream_expire_holds", f"""
+LAPSED = f"""
 SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS held_at FROM events v
 WHERE event_type = 'view'
   AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase'
                   AND p.user_id = v.user_id AND p.ts >= v.ts
-                  AND p.ts <= v.ts + to_minutes({HOLD_TTL}))""")
+                  AND p.ts <= v.ts + to_minutes({HOLD_TTL}))"""
+
+
+@query("stream_expire_holds", LAPSED)
 def stream_expire_holds(spark, sf):
     target = run_dir(spark, "holds")
     stream = _stream(spark, sf, target)
@@ -57,6 +61,15 @@ def stream_expire_holds(spark, sf):
                               HOLD_TTL), target, _closing(spark))
 
 
+@query("stream_hold_timers", LAPSED)
+def stream_hold_timers(spark, sf):
+    """The same holds, each emitted at its own limit."""
+    target = run_dir(spark, "timers")
+    stream = _stream(spark, sf, target)
+    return drain(lapsed_at_limit(_of(stream, "view"), _of(stream, "purchase"), "user_id", "event_id", "ts", HOLD_TTL),
+                 target, _closing(spark))
+
+
 @query("stream_sessions", SESSIONS)
 def stream_session_windows(spark, sf):
     target = run_dir(spark, "sessions")

@@ -8,7 +8,7 @@ from tarmaq.bindings import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 ACTIONS = {"claim_all_or_nothing", "scoped_cancellation", "stream_bookings_by_status", "stream_claims",
-           "stream_expire_holds", "stream_sessions", "stream_tumbling_counts"}
+           "stream_expire_holds", "stream_hold_timers", "stream_sessions", "stream_tumbling_counts"}
 
 
 @pytest.fixture(scope="module")

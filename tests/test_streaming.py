@@ -9,6 +9,7 @@ from tarmaq.operators.sessions import lapsed, sessions
 from tarmaq.streaming import CLOSING, drain, open_files, read_files
 from tarmaq.streaming.claims import drain_claims
 from tarmaq.streaming.holds import lapsed_holds
+from tarmaq.streaming.timers import lapsed_at_limit
 from tarmaq.streaming.windows import stream_sessions, tumbling_counts
 
 BASE = datetime(2024, 1, 1)
@@ -49,6 +50,32 @@ def test_holds(spark, rows, tmp_path):
     assert rows(got, "event_id") == rows(batch, "event_id") and batch.count() > 0
 
 
+def test_holds_by_timers(spark, rows, tmp_path):
+    folder, target = str(tmp_path / "events"), str(tmp_path / "target")
+    events = make_events(spark, folder)
+    source = stream(spark, folder, target)
+    got = drain(lapsed_at_limit(of(source, "view"), of(source, "purchase"), "user_id", "event_id", "ts", 30), target,
+                closing(spark))
+    batch = lapsed(of(events, "view"), of(events, "purchase"), "user_id", "ts", 30).filter("not paid")
+    assert rows(got, "event_id", "user_id", "held_at") == rows(batch, "event_id", "user_id", "ts") and batch.count() > 0
+
+
+def test_a_hold_comes_when_its_own_limit_has_passed(spark, tmp_path):
+    """Limit 30 minutes, no delay: known once an event is later than that, long before two slots are over."""
+    folder, target = str(tmp_path / "events"), str(tmp_path / "target")
+
+    def run(*rows):
+        data = [(i, BASE + timedelta(minutes=m), u, kind) for i, m, u, kind in rows]
+        spark.createDataFrame(data, EVENT).coalesce(1).write.mode("append").parquet(folder)
+        source = read_files(spark, folder, spark.createDataFrame([], EVENT).schema)
+        out = lapsed_at_limit(of(source, "view"), of(source, "purchase"), "user_id", "event_id", "ts", 30, "0 seconds")
+        return sorted(r.event_id for r in drain(out, target).collect())
+
+    assert run((1, 0, 1, "view"), (2, 1, 2, "view"), (3, 29, 3, "purchase")) == []
+    assert run((4, 30, 1, "purchase"), (5, 31, 1, "view"), (6, 32, 4, "purchase")) == [2]  # 1 was paid at its limit
+    assert run((7, 62, 4, "purchase")) == [2, 5]
+
+
 def test_counts(spark, rows, tmp_path):
     folder, target = str(tmp_path / "events"), str(tmp_path / "target")
     events = make_events(spark, folder)
