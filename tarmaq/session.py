@@ -58,8 +58,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh sub-folder of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the shared folder. It goes when the application ends.
+
+    All of an application's lie in one folder, named after it, so what a killed
+    driver leaves is found and deleted as one.
+    """
+    context = spark.sparkContext
+    own = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/run-{context.applicationId}")
+    fs = own.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.mkdirs(own)
+    fs.deleteOnExit(own)
+    return f"{shared_dir(spark).rstrip('/')}/run-{context.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
