@@ -1,14 +1,17 @@
-"""Line deduplication over the sorted suffixes of line sequences, in DataFrame operations only.
-
-Every document is a sequence of lines that have a word. Its suffixes are sorted
-by prefix doubling: classes of suffixes that begin with the same line are
-refined to classes with the same first two, four .. lines by pairing a
-suffix's class with the class of the suffix a step behind it. A class is an
-interval of the suffix array whose longest common prefix is at least that long.
-Suffixes alone in their class leave at once, so a round works on what repeats;
-doubling ends at ``MIN_LINES``, as a deeper order cannot change what is
-deleted: a run of more lines that came before is covered by its stretches of
-``MIN_LINES`` lines. Overlapping stretches join to the maximal repeated runs.
+"""Line deduplication by the first rounds of a distributed prefix doubling, in DataFrame operations only.
+
+Every document is a sequence of lines that have a word. Classes of places where
+the same line stands are refined to classes of places where the same two, then
+``MIN_LINES`` lines begin, by pairing a place's class with the class of the place
+a step behind it. Places alone in their class leave at once, so a round works on
+what repeats.
+
+The doubling ends there: no suffix array is sorted and no longest common prefixes
+are computed. A run of more lines that came before is covered by its stretches of
+``MIN_LINES`` lines, each of which came before, so a deeper order would not change
+what is deleted. What it would add is the extent of each repeated run by its
+earliest copy; ``repeated_runs`` only joins neighbouring deleted lines, and two
+copies of different passages that stand next to each other become one run.
 
 Deleted are all but the first (by doc_id, then place) copies of a run of at
 least ``MIN_LINES`` lines, and of a single line of at least ``MIN_WORDS`` words.
@@ -73,7 +76,10 @@ def later_copies(lines: DataFrame) -> DataFrame:
 
 
 def repeated_runs(deleted: DataFrame) -> DataFrame:
-    """The maximal runs of deleted lines: doc_id, first_line (place in the text), n_lines."""
+    """Stretches of deleted lines: doc_id, first_line (place in the text), n_lines.
+
+    A stretch may hold copies of several passages (see the module's text).
+    """
     in_document = Window.partitionBy("doc_id", "hash").orderBy("seq")
     rows = deleted.distinct()
     return (rows.withColumn("run", F.col("seq") - F.row_number().over(in_document))

@@ -5,7 +5,8 @@ A text's set holds its distinct five-word shingles. Its signature has
 the number of values that differ. By pigeonhole, two signatures at distance
 ``CHUNKS * (ERRORS + 1) - 1`` (21) or less have a chunk with at most ``ERRORS``
 (1) differing value: every chunk is indexed once for each way to leave one
-value out, so all such pairs meet under a key. At similarity 0.75 the distance
+value out, so all such pairs meet under a key; there is no such guarantee for
+distances of 22 to ``LIMIT``. At similarity 0.75 the distance
 is 13.75 on average, and 1.6 pairs in 100,000 meet under no key. Candidates
 whose signatures differ in more than ``LIMIT`` values go (none in 10 million at
 0.75); the rest is confirmed on the full sets of the texts.
