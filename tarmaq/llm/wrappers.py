@@ -14,7 +14,9 @@ From a host's wrapper follows what its pages' main text is: an article or main
 block if there is one, else the innermost block that holds all content;
 without blocks for menus, adverts, forms and the like, and without literals that
 most of the host's pages have, which are the host's own words. A host with too
-few distinct pages has no such literals.
+few distinct pages has no such literals. Inside an article a class that is also
+used otherwise (search-results, related-work) is a hint only: its block goes if
+the wrapper has it as the host's own words or as a list of links.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 
 from tarmaq.llm.common import stored
 
-RAW = "script|style|noscript|template|iframe|svg|canvas|textarea|select|object|video|audio|math"
+RAW = "script|style|noscript|template|iframe|svg|canvas|textarea|select"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s "
-                   "samp small span strike strong sub sup time tt u var wbr".split())
+                   "samp small span strike strong sub sup time tt u var wbr audio video object math mi mn mo ms mtext mrow "
+                   "mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mfenced semantics annotation".split())
 #: Blocks that a link may hold.
 LINKED = frozenset("div figure figcaption h1 h2 h3 h4 h5 h6 p section".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +47,10 @@ SKIPPED_WORDS = frozenset(
     "popup promo promotion related recommended replies reply respond search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe toolbar widget widgets".split())
 HEADER_WORDS = frozenset("header masthead".split())
+#: Words that say nothing more of a container's use beside one of those.
+PLAIN_WORDS = frozenset("area bar block box buttons container group holder icons inner item items links list panel posts row "
+                        "section slot unit wrap wrapper".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption li dt dd td th caption".split())
 CLOSES_P = frozenset("address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hr li main nav ol p pre section table tbody td th thead tr ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -88,12 +95,14 @@ def label_of(tag: str, attributes: str) -> str:
 
 
 @lru_cache(maxsize=1 << 14)
-def label_kind(label: str) -> tuple[bool, bool]:
-    """Whether blocks of the label are skipped anywhere; outside an article."""
+def label_kind(label: str) -> tuple[bool, bool, bool]:
+    """Whether blocks of the label are skipped anywhere; outside an article; inside one if the wrapper agrees."""
     tag, _, names = label.partition(" ")
     found = {w.lower() for w in _WORD.findall(names)}
-    skipped = tag in SKIPPED_TAGS or bool(found & SKIPPED_WORDS)
-    return skipped, skipped or tag == "header" or bool(found & HEADER_WORDS)
+    named = bool(found & SKIPPED_WORDS)
+    only = named and found <= (SKIPPED_WORDS if tag in TEXT_TAGS else SKIPPED_WORDS | PLAIN_WORDS)
+    skipped = tag in SKIPPED_TAGS or only
+    return skipped, skipped or named or tag == "header" or bool(found & HEADER_WORDS), named and not skipped
 
 
 def is_article(label: str) -> bool:
@@ -289,6 +298,14 @@ def is_content(wrapper: dict, own: frozenset) -> bool:
     return not counter or bool(wrapper["c"]) or wrapper["l"] not in ("div", "center")
 
 
+def agrees(wrapper: dict | None, own: frozenset) -> bool:
+    """Whether the host's wrapper has a block as a list of links, or with the host's own words only."""
+    def varies(w: dict) -> bool:
+        return (w["t"] is None or bool(w["t"]) and w.get("i") not in own) or any(varies(x) for _, _, x in w["c"])
+
+    return wrapper is not None and (only_links(wrapper) or not varies(wrapper))
+
+
 def has_text(wrapper: dict, own: frozenset) -> bool:
     if label_kind(wrapper["l"])[1]:
         return False
@@ -388,7 +405,9 @@ class Extractor:
                 continue
             if child.label.partition(" ")[0] not in INLINE:  # a skipped inline part does not cut a text
                 flush()
-            if child.label == "br" or label_kind(child.label)[0 if inside else 1]:
+            always, outside, hint = label_kind(child.label)
+            if (child.label == "br" or always or outside and not inside
+                    or hint and agrees(known.get(child.label), self.own)):
                 continue
             self._walk(child, known.get(child.label), inside, out)
         flush()

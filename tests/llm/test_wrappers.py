@@ -87,6 +87,31 @@ def test_the_hosts_words_in_an_article_go(spark):
     assert "Get our letter every week" in out[5] and "Get our letter every week" in out[6]
 
 
+def test_names_of_other_use_are_kept_in_an_article(spark):
+    page = ("<body><article><p>Area {k} is <math><mi>r</mi><mo>=</mo><mn>2</mn></math> here.</p><video src=x>fallback {k}</video>"
+            "<p class='search-results'>Results {k}</p><p id='skip-list'>A skip list {k}</p><h2 class='related-work'>Related {k}</h2>"
+            "<div class='share-box'>Share {k}</div><p class=ad>Buy {k}</p><div class='comment-list'><p>Fine! {k}</div></article>")
+    out = texts(spark, [(f"http://h/{k}", page.replace("{k}", f"{k} word" * (k + 1))) for k in range(4)] + [("http://one/", page)])
+    for k, text in out.items():
+        own = f"{k} word" * (k + 1) if k < 4 else "{k}"
+        assert text.split("\n") == [f"Area {own} is r=2 here.", f"fallback {own}", f"Results {own}", f"A skip list {own}", f"Related {own}"]
+
+
+def test_a_hint_goes_if_the_wrapper_agrees(spark):
+    """One class on three hosts: words of the host, a list of links, and a part of the article."""
+    def page(host, k):
+        inner = {"own": "Read our related work every week", "links": f"<a href=x>Work {k}</a> <a href=y>More {k}</a>",
+                 "text": f"Others measured {k} before"}[host]
+        return (f"http://{host}/{k}", f"<body><article><h1>Title {'x' * k}</h1><div class=related-work>{inner}</div>"
+                f"<p>Words {'y' * k}</p></article></body>")
+    pages = [page(host, k) for host in ("own", "links", "text") for k in range(5)]
+    out = texts(spark, pages)
+    for i, (url, _) in enumerate(pages):
+        k, text = i % 5, out[i].split("\n")
+        body = [f"Title {'x' * k}".strip(), f"Words {'y' * k}".strip()]
+        assert text == ([body[0], f"Others measured {k} before", body[1]] if "//text" in url else body)
+
+
 def test_odd_pages(spark):
     pages = [("http://x/", None), ("http://x/", ""), (None, "plain words"), ("no host", "<p>a<p>b"), (None, "<div><article>"),
              ("http://y/", "a < b & c &copy; &#x41; <notatag"), ("http://z/", "<p>" * 3000 + "deep"),
