@@ -119,6 +119,21 @@ def eligible_planes(spark, sf):
     return C.check_assignments(links, _timed(spark, sf), planes, ["l_partkey"], "large")
 
 
+@query("vehicle_first_clash", f"""
+WITH {FLIGHT}, running AS (
+  SELECT flight_id, flight_id % 300 AS plane_id, takeoff_ts AS s, takeoff_ts + to_minutes(minutes) AS e
+  FROM flight WHERE flight_status IN ('Scheduled', 'Full'))
+SELECT a.flight_id, a.plane_id, arg_min(b.flight_id, (b.s, b.e, b.flight_id)) AS first_clash
+FROM running a LEFT JOIN running b ON b.plane_id = a.plane_id AND b.flight_id <> a.flight_id AND b.s < a.e AND b.e > a.s
+GROUP BY a.flight_id, a.plane_id""")
+def vehicle_first_clash(spark, sf):
+    """Open flights of 300 planes."""
+    timed = flights(spark, sf).select("flight_id", (F.col("flight_id") % 300).alias("plane_id"), "flight_status",
+                                      F.col("takeoff_ts").alias("start_ts"),
+                                      plus_minutes("takeoff_ts", F.col("minutes")).alias("end_ts"))
+    return C.vehicle_clashes(timed).select("flight_id", "plane_id", "first_clash")
+
+
 @query("crew_size_violations", f"""
 WITH {FLIGHT}, head AS (
   SELECT l_orderkey AS flight_id, count(DISTINCT l_suppkey) FILTER (WHERE l_linenumber <= 2) AS pilot,

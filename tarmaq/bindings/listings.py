@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarmaq import params as P
 from tarmaq.bindings import query
-from tarmaq.bindings.views import (CABIN, FLIGHT, SEATLINE, bookings, cabins, flights, seat_lines)
+from tarmaq.bindings.views import (CABIN, FLIGHT, SEATLINE, bookings, cabins, events, flights, seat_lines)
 from tarmaq.functions import scalars as S
 from tarmaq.functions.predicates import in_tuples, owned_by
 from tarmaq.operators import probes
@@ -551,3 +551,27 @@ def seat_rebuild(spark, sf):
         F.col("l_suppkey").alias("flight_id"), F.col("l_linenumber").alias("s_row"),
         (F.col("l_partkey") % 4 + 1).cast("int").alias("s_column")).distinct()
     return seating.rebuild_seats(seats, fleet.filter("again"), layout, F.upper("class_type"))
+
+
+RANKS = {"STANDARD": 1, "PROMO": 2, "LARGE": 3, "MEDIUM": 4, "SMALL": 5, "ECONOMY": 6}
+
+
+@query("cabin_start_rank", f"""
+WITH {CABIN}, ranked AS (
+  SELECT *, CASE class_type {' '.join(f"WHEN '{c}' THEN {n}" for c, n in RANKS.items())} END AS place FROM cabin)
+SELECT plane_id, class_type, CAST(rows_num AS BIGINT) AS rows_num,
+       CAST(1 + coalesce(sum(rows_num) OVER (PARTITION BY plane_id ORDER BY place
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_row
+FROM ranked""")
+def cabin_start_rank(spark, sf):
+    """Cabins in a declared order of classes, which is not that of their names."""
+    return seating.start_rows(cabins(spark, sf), S.class_rank("class_type", RANKS)).select(
+        "plane_id", "class_type", "rows_num", "start_row")
+
+
+@query("takeoff_moment", """
+SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS takeoff FROM events""")
+def takeoff_moment(spark, sf):
+    """Date and time of day, kept apart as text, make one moment again."""
+    apart = events(spark, sf).select("event_id", S.day_text("ts").alias("day"), S.clock_text("ts").alias("clock"))
+    return apart.select("event_id", S.moment_text(S.takeoff("day", "clock")).alias("takeoff"))

@@ -10,7 +10,9 @@ from tarmaq.bindings.views import (AS_OF, BOOKING, EVENTS_AS_OF, FLIGHT, SEATLIN
                                    events, flights, seat_lines, tally)
 from tarmaq.functions.scalars import month_text, percent
 from tarmaq.plans import reports as R
+from tarmaq.session import run_dir
 from tarmaq.sources.scans import scan
+from tarmaq.sources.sinks import write_report
 
 CENTS = "CAST((20000 * {n} + {d}) // (2 * {d}) AS DOUBLE) / 100"
 
@@ -191,6 +193,17 @@ def completed_by_month(spark, sf):
     return R.completed_by_month(flights(spark, sf, P.COMPLETED), AS_OF)
 
 
+@query("report_sink", f"""
+WITH {FLIGHT}
+SELECT strftime(takeoff_ts, '%Y-%m') AS month, count(*) AS flights_completed
+FROM flight WHERE flight_status = 'Completed' AND takeoff_ts < TIMESTAMP '{AS_OF}'
+GROUP BY 1""")
+def report_sink(spark, sf):
+    """A report kept for display, as it is read back."""
+    report = R.completed_by_month(flights(spark, sf, P.COMPLETED), AS_OF)
+    return spark.read.schema(report.schema).parquet(write_report(report, run_dir(spark, "reports"), "completed_by_month"))
+
+
 @query("top_routes", """
 SELECT n1.n_name || ' → ' || n2.n_name AS route, count(*) AS flights_completed
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey

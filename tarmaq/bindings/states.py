@@ -37,6 +37,22 @@ def refresh_status(spark, sf):
                     .otherwise(0).alias("changed")))
 
 
+@query("status_changes", f"""
+WITH {BOOKING}, after AS (
+  SELECT order_status AS old_status,
+         CASE WHEN order_status = 'Active' AND date_of_purchase > TIMESTAMP '{AS_OF}' + INTERVAL 36 HOUR
+              THEN 'Cancelled by customer' ELSE order_status END AS new_status FROM booking)
+SELECT old_status, new_status, count(*) AS n, count(*) FILTER (WHERE old_status <> new_status) AS changed
+FROM after GROUP BY old_status, new_status""")
+def status_changes(spark, sf):
+    """Bookings before and after all that may be cancelled are."""
+    orders = bookings(spark, sf)
+    timed = orders.withColumn("takeoff_ts", F.col("date_of_purchase")).withColumn("total", F.lit(0))
+    seats = orders.select("order_id").limit(0)
+    after, _ = X.apply_customer_cancel(orders, seats, X.cancel_decisions(timed, AS_OF))
+    return X.status_changes(orders, after, "order_id", "order_status")
+
+
 @query("expire_holds", f"""
 SELECT event_id, user_id FROM events v
 WHERE event_type = 'view' AND ts < TIMESTAMP '{EVENTS_END}' - to_minutes({HOLD_TTL})

@@ -167,9 +167,9 @@ def seat_list(row: Column | str, column: Column | str) -> Column:
     return F.array_join(F.transform(seats, lambda s: seat_label(s["r"], s["c"])), ", ")
 
 
-def class_rank(c: Column | str) -> Column:
+def class_rank(c: Column | str, ranks: dict[str, int] = P.CLASS_RANK) -> Column:
     """Declared order of the cabin classes; unknown classes come last."""
-    rank = F.lit(len(P.CLASS_RANK) + 1)
-    for name, position in reversed(P.CLASS_RANK.items()):
+    rank = F.lit(len(ranks) + 1)
+    for name, position in reversed(ranks.items()):
         rank = F.when(_col(c) == name, position).otherwise(rank)
     return rank
