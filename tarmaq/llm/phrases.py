@@ -35,6 +35,8 @@ BITS = 1 << 26
 SHARDS = 8
 #: Parts of the prefixes that are sent and summed as one.
 BUCKETS = 512
+#: Parts of a lang's phrases that are ranked on their own before all are.
+SHARES = 64
 #: Entries that a task's stripes hold before they are handed on.
 HELD = 400_000
 
@@ -333,8 +335,12 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     best = (scored.groupBy("lang", "phrase", "a", "n")
             .agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
             .select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # in shares of a lang first: its last ranking then sees SHARES times ``top`` rows at most
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*order)
+    best = best.withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= top)
+    whole = Window.partitionBy("lang").orderBy(*order)
+    return (best.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= top)
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
 
 

@@ -114,6 +114,12 @@ def test_top_and_ties(spark):
     assert got == by_brute_force(docs, 5, top=2) and [r[2] for r in got] == ["a b", "c d"]
 
 
+def test_shares_are_ranked_to_the_same_top(spark):
+    docs = texts(11, 200)
+    want = by_brute_force(docs, 3, top=7)
+    assert found(spark, docs, least=3, top=7) == want and len(want) == 7 * len({r[0] for r in want})
+
+
 def test_odd_rows(spark):
     docs = [(1, None, "en"), (None, "", None), (2, " \t\n", "en"), (2, "a b " * 40_000, "de"), (2, "a b " * 40_000, "de")]
     assert found(spark, docs, least=4) == by_brute_force(docs, 4)
