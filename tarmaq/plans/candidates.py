@@ -18,7 +18,7 @@ is cut into windows:
 So a flight meets the few best members of its window, not the pool, and only
 busy intervals of members within a limit are looked at closely. Busy ranks are
 counted in blocks of ``BLOCK`` ranks, so that a window in which a third of all
-members are busy is many groups.
+members are busy is many groups, and only its first blocks are looked into.
 
 The rule is that of the conflict checks: intervals are half-open, touching ones
 do not clash. Flights without times, or longer than the last step, have no
@@ -34,10 +34,10 @@ from tarmaq import params as P
 from tarmaq.functions.scalars import moment
 from tarmaq.operators.numbering import numbered
 from tarmaq.plans.scheduling import is_long
-from tarmaq.session import cut_lineage
+from tarmaq.session import measured
 
 STEP_HOURS, STEP_FACTOR, STEPS = 6, 4, 7  # 6 hours, a day, 4 days .. 1,024 days
-BLOCK = 1024
+BLOCK = 128
 
 POOL = ["role", "fit_only"]
 WINDOW = [*POOL, "_step", "_window"]
@@ -95,10 +95,13 @@ def _placed(demand: DataFrame, lengths: list[int]) -> DataFrame:
             .withColumns({"_width": width}).withColumn("_window", F.floor(F.col("_s") / F.col("_width"))))
 
 
-def _busy_in_windows(busy: DataFrame, members: DataFrame, needed: DataFrame, lengths: list[int]) -> DataFrame:
-    """Busy intervals of ranked members, in every window that is asked for: WINDOW, rank, _bs, _be."""
+def _busy_in_windows(busy: DataFrame, members: DataFrame, needed: DataFrame, lengths: dict[int, int]) -> DataFrame:
+    """Busy intervals of ranked members, in every window that is asked for: WINDOW, rank, _bs, _be.
+
+    ``lengths``: the steps in use and their seconds.
+    """
     intervals = busy.select("role", "member", _seconds("start_ts").alias("_bs"), _seconds("end_ts").alias("_be"))
-    steps = F.array(*[F.struct(F.lit(k).alias("_step"), F.lit(n).alias("_width")) for k, n in enumerate(lengths)])
+    steps = F.array(*[F.struct(F.lit(k).alias("_step"), F.lit(n).alias("_width")) for k, n in lengths.items()])
     windows = F.sequence(F.floor(F.col("_bs") / F.col("_width")) - 1, F.floor(F.col("_be") / F.col("_width")))
     cut = (intervals.filter("_be >= _bs").select("*", F.inline(steps))
            .select("role", "member", "_bs", "_be", "_step", F.explode(windows).alias("_window"))
@@ -118,10 +121,12 @@ def _limits(needed: DataFrame, taken: DataFrame, sizes: DataFrame) -> DataFrame:
     blocked = taken.withColumn("_block", F.floor(F.col("rank") / BLOCK))
     before = Window.partitionBy(*WINDOW).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = (blocked.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
-              .select(*block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+              .select(*block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+              .join(needed.drop("_width"), WINDOW)
+              .filter(F.col("_block") * BLOCK - F.col("_before") < F.col("k")))  # the k-th free one is not before
     own = F.row_number().over(Window.partitionBy(*block).orderBy("rank")) - 1
     free_before = F.col("rank") - F.col("_before") - own
-    passed = (blocked.join(counts, block).withColumn("_free", free_before).join(needed, WINDOW)
+    passed = (blocked.join(counts, block).withColumn("_free", free_before)
               .filter(F.col("_free") < F.col("k")).groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("_passed")))
     return (needed.join(passed, WINDOW, "left").join(sizes, POOL)
             .select(*WINDOW, "_width", F.least(F.col("k") - 1 + F.coalesce("_passed", F.lit(0)), F.col("size") - 1)
@@ -156,13 +161,14 @@ def shortlist(demand: DataFrame, pool: DataFrame, busy: DataFrame, step_hours: i
     same member for the same time.
     """
     lengths = _lengths(step_hours)
-    members = cut_lineage(ranked(pool))
+    members = measured(ranked(pool))
     sizes = members.groupBy(*POOL).agg(F.max("size").alias("size"))
     asked = _placed(demand, lengths)
-    needed = asked.groupBy(*WINDOW, "_width").agg(F.max("seats").cast("bigint").alias("k"))
-    intervals = cut_lineage(_busy_in_windows(busy, members, needed, lengths))
+    needed = measured(asked.groupBy(*WINDOW, "_width").agg(F.max("seats").cast("bigint").alias("k")))
+    used = {r["_step"]: r["_width"] for r in needed.select("_step", "_width").distinct().collect()}  # STEPS rows at most
+    intervals = measured(_busy_in_windows(busy, members, needed, used or {0: lengths[0]}))
     taken = intervals.select(*WINDOW, "rank").distinct()
-    gaps = _gaps(_limits(needed, taken, sizes), taken, intervals)
+    gaps = _gaps(measured(_limits(needed, taken, sizes)), taken, intervals)  # a row per window, read three times
     fits = (asked.join(gaps, WINDOW).filter((F.col("_gs") <= F.col("_s")) & (F.col("_e") <= F.col("_ge")))
             .select("flight_id", *POOL, "seats", "rank"))
     # A gap is left by each of two touching intervals, so a moment can lie in two gaps of a member.

@@ -95,7 +95,7 @@ def test_few_members_are_looked_at(spark):
     lengths = B._lengths(B.STEP_HOURS)
     members, asked = B.ranked(pool), B._placed(demand, lengths)
     needed = asked.groupBy(*B.WINDOW, "_width").agg(F.max("seats").cast("bigint").alias("k"))
-    intervals = B._busy_in_windows(busy, members, needed, lengths)
+    intervals = B._busy_in_windows(busy, members, needed, {0: lengths[0]})
     taken = intervals.select(*B.WINDOW, "rank").distinct()
     limits = B._limits(needed, taken, members.groupBy(*B.POOL).agg(F.max("size").alias("size")))
     assert [r["_limit"] for r in limits.collect()] == [2]
