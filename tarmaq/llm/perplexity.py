@@ -1,11 +1,12 @@
 """Quality rules: base counts of a text and perplexity bands by language.
 
-The language model is a modified Kneser-Ney model of ``ORDER``-grams over
-``SYMBOLS`` character classes. Spark counts the n-grams of every text. As there
-are at most ``SYMBOLS ** ORDER`` of them, the finished model has a proven size
-bound (see ``MODEL_BYTES``) and is broadcast: one sorted array of n-gram hashes
-with log-probability and back-off weight of each. Bands come from the quartiles
-of log-perplexity by language, over all distinct texts that pass the base rules.
+The language model is a modified Kneser-Ney model of ``ORDER``-grams of UTF-8
+bytes. Every byte is a symbol of its own, and every n-gram of every text counts:
+the model grows with the different n-grams of the corpus. Spark counts them; the
+finished model is broadcast: one sorted array of n-grams of all orders, with
+log-probability and back-off weight of each (16 bytes an n-gram). Bands come from
+the quartiles of log-perplexity by language, over all distinct texts that pass
+the base rules.
 """
 
 from __future__ import annotations
@@ -21,27 +22,10 @@ from tarmaq.llm.common import IS_WORD, add_columns, hash_spans, mix, row_sums, s
 
 ORDER = 4
 START = 0  # before a text
+SYMBOLS = 257  # START and the bytes, each by its own number plus one
 
-
-def _symbols() -> np.ndarray:
-    """Bytes of UTF-8 to character classes; class 0 is the start of a text."""
-    table = np.zeros(256, np.int32)
-    groups = [[ord(c)] for c in "abcdefghijklmnopqrstuvwxyz"]
-    groups += [[ord(c) for c in text] for text in (
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\v\f", "\n", ".", ",", "-'\"", "!?", "#*$%&|<>")]
-    groups += [list(range(0x80 + k, 0xC0, 8)) for k in range(8)]  # continuation bytes
-    groups += [list(range(0xC0 + k, 0x100, 4)) for k in range(4)]  # lead bytes
-    for number, group in enumerate(groups, 1):
-        table[group] = number
-    table[(table == 0)] = len(groups) + 1  # whatever is left
-    return table
-
-
-SYMBOL_OF = _symbols()
-SYMBOLS = int(SYMBOL_OF.max()) + 1
-TABLE = SYMBOLS ** ORDER
-#: hash, log-probability and back-off weight of every possible n-gram of each order
-MODEL_BYTES = sum(SYMBOLS ** k for k in range(1, ORDER + 1)) * (8 + 4 + 4)
+#: Different n-grams that a counting task holds before it hands them on.
+HELD = 1 << 21
 
 #: Least distance of the quartiles that a band is made from, in log-perplexity.
 LEAST_SPREAD = 0.03
@@ -86,36 +70,55 @@ def base_block(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.diff(firsts), word_chars, n_symbols, dup, n_repeat]
 
 
-def codes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the ``ORDER``-gram that ends at each byte, and the texts' offsets."""
+def codes_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of the ``ORDER``-gram that ends at each byte."""
     pad = ORDER - 1
     n = len(offsets) - 1
-    padded = np.zeros(len(data) + pad * n, np.int32)
-    padded[np.arange(len(data)) + np.repeat(pad * np.arange(1, n + 1), np.diff(offsets))] = SYMBOL_OF[data]
+    padded = np.full(len(data) + pad * n, START, np.int64)
+    padded[np.arange(len(data)) + np.repeat(pad * np.arange(1, n + 1), np.diff(offsets))] = data.astype(np.int64) + 1
     code = padded[pad:].copy()
     for k in range(1, ORDER):
-        code += padded[pad - k:len(padded) - k] * np.int32(SYMBOLS ** k)
+        code += padded[pad - k:len(padded) - k] * SYMBOLS ** k
     # row r's bytes end at its offsets, plus the padding of the rows before it
-    return code, offsets + pad * np.arange(n + 1)
+    edges = offsets + pad * np.arange(n + 1)
+    inside = np.ones(len(code), bool)
+    for k in range(pad):  # the padding before the next text
+        inside[edges[1:-1] - 1 - k] = False
+    return code[inside]
+
+
+def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes, sorted, with the sums of their counts."""
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    sort = np.argsort(code, kind="stable")
+    code = code[sort]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    return code[first], np.add.reduceat(n[sort], first)
 
 
 def _count(batches):
-    counts = np.zeros(TABLE, np.int64)
+    codes, counts, waiting = [], [], 0
     for batch in batches:
         for _, _, data, offsets, _ in text_blocks(batch.column("text")):
-            code, edges = codes_of(data, offsets)
-            inside = np.ones(len(code), bool)
-            for k in range(ORDER - 1):  # the padding before the next text
-                inside[edges[1:-1] - 1 - k] = False
-            found = code[inside]
-            counts += np.bincount(found, minlength=TABLE)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["code", "n"])
+            if not len(data):
+                continue
+            code, n = np.unique(codes_of(data, offsets), return_counts=True)
+            codes.append(code)
+            counts.append(n)
+            waiting += len(code)
+            if waiting > 2 * HELD:
+                code, n = _added(codes, counts)
+                if len(code) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+                    code, n = code[:0], n[:0]
+                codes, counts, waiting = [code], [n], len(code)
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added(codes, counts)], ["code", "n"])
 
 
 @dataclass
 class CharacterModel:
-    """N-grams by hash: keys sorted, log-probability (NaN: a context only), log back-off weight as a context."""
+    """N-grams by key: keys sorted, log-probability (NaN: a context only), log back-off weight as a context."""
 
     keys: np.ndarray
     logp: np.ndarray
@@ -124,7 +127,7 @@ class CharacterModel:
 
     def find(self, codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Place of each n-gram in the arrays, and whether it is there."""
-        wanted = gram_hash(codes, order)
+        wanted = gram_key(codes, order)
         at = np.minimum(np.searchsorted(self.keys, wanted), max(len(self.keys) - 1, 0))
         return at, self.keys[at] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
 
@@ -146,8 +149,9 @@ class CharacterModel:
         return out
 
 
-def gram_hash(codes: np.ndarray, order: int) -> np.ndarray:
-    return mix(codes.astype(np.uint64) * np.uint64(8) + np.uint64(order))
+def gram_key(codes: np.ndarray, order: int) -> np.ndarray:
+    """One number for code and order; sorted codes have sorted keys, so they are looked up side by side."""
+    return codes.astype(np.uint64) * np.uint64(8) + np.uint64(order)
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -179,7 +183,7 @@ def estimate(code: np.ndarray, n: np.ndarray) -> CharacterModel:
         lower = below[np.searchsorted(below_codes, codes % SYMBOLS ** max(order - 1, 1))] if order > 1 else 1 / SYMBOLS
         p = (counts - cut) / total[at] + gamma[at] * lower
         weights[order - 1] = own, np.log(gamma)
-        keys.append(gram_hash(codes, order))
+        keys.append(gram_key(codes, order))
         logp.append(np.log(p))
         below, below_codes = p, codes
     unseen = float(weights[0][1][0] - np.log(SYMBOLS)) if len(weights[0][1]) else -np.log(SYMBOLS)
@@ -195,7 +199,7 @@ def estimate(code: np.ndarray, n: np.ndarray) -> CharacterModel:
     extra = [(order, own[~np.isin(own, order_codes[order])], gamma[~np.isin(own, order_codes[order])])
              for order, (own, gamma) in weights.items() if order]
     for order, own, gamma in extra:
-        keys.append(gram_hash(own, order))
+        keys.append(gram_key(own, order))
         logp.append(np.full(len(own), np.nan))
         backoff.append(gamma)
     keys = np.concatenate(keys)
@@ -205,8 +209,8 @@ def estimate(code: np.ndarray, n: np.ndarray) -> CharacterModel:
 
 
 def train(docs: DataFrame) -> CharacterModel:
-    """Count every text of ``docs`` and estimate the model."""
-    counts = (docs.select("text").filter("text IS NOT NULL").mapInArrow(_count, "code int, n long")
+    """Count every text of ``docs``, copies once as in the bands, and estimate the model."""
+    counts = (docs.select("text").filter("text IS NOT NULL").distinct().mapInArrow(_count, "code long, n long")
               .groupBy("code").agg(F.sum("n").alias("n"))).toArrow()
     code, n = counts.column("code").to_numpy(), counts.column("n").to_numpy()
     sort = np.argsort(code)
@@ -220,28 +224,17 @@ def measure(docs: DataFrame, model: CharacterModel) -> DataFrame:
     columns pass through.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict[str, np.ndarray] = {}
 
     def run(batch):
-        table = known.setdefault("log_probability", np.full(TABLE, np.nan, np.float32))
         columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
         total, text_keys = [np.zeros(0)], [np.zeros(0, np.uint64)]
-        for _, _, data, offsets, _ in text_blocks(batch.column("text"), 1 << 20):
+        for _, _, data, offsets, _ in text_blocks(batch.column("text")):
             for column, part in zip(columns, base_block(data, offsets)):
                 column.append(part)
             text_keys.append(hash_spans(data, offsets[:-1], offsets[1:]))
-            code, edges = codes_of(data, offsets)
-            found = table[code]
-            new = np.unique(code[np.isnan(found)])
-            if len(new):
-                table[new] = held.value.log_probability(new.astype(np.int64))
-                found = table[code]
-            n = len(offsets) - 1
-            inside = np.ones(len(code), bool)
-            for k in range(ORDER - 1):
-                inside[(edges[1:-1] - 1 - k)] = False
-            total.append(-row_sums(found[inside], offsets) / np.maximum(np.diff(offsets), 1) if len(found)
-                         else np.zeros(n))
+            code, place = np.unique(codes_of(data, offsets), return_inverse=True)
+            found = held.value.log_probability(code)[place]
+            total.append(-row_sums(found, offsets) / np.maximum(np.diff(offsets), 1))
         lengths = np.concatenate(columns[0])
         value = np.concatenate(total)
         empty = np.diff(text_offsets(batch.column("text"))) == 0

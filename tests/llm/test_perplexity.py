@@ -90,3 +90,29 @@ def test_probabilities_sum_to_one():
     for context in [*np.unique(codes // perplexity.SYMBOLS)[::25], 5 * perplexity.SYMBOLS ** 2 + 77]:
         every = context * perplexity.SYMBOLS + np.arange(perplexity.SYMBOLS)
         assert abs(np.exp(model.log_probability(every.astype(np.int64))).sum() - 1) < 1e-3
+
+
+def test_every_byte_is_a_symbol_of_its_own(spark):
+    known = "GATE AB 1357 is open! ## цена бага 語 " * 20
+    swaps = {"1": "2", "AB": "XY", "!": "?", "#": "$", "а": "и", "語": "誾"}  # these were one class each
+    texts = [known, *(known.replace(old, new) for old, new in swaps.items())]
+    model = perplexity.train(documents(spark, [(0, known)]))
+    out = perplexity.measure(documents(spark, list(enumerate(texts))), model).collect()
+    found = {r.doc_id: r.log_perplexity for r in out}
+    assert all(found[k] > found[0] + 0.01 for k in range(1, len(texts)))
+
+
+def test_counts_handed_on_early_are_whole(monkeypatch):
+    texts = [f"text {k} with its own words {k * k} and {k ** 3}" for k in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in texts]
+    monkeypatch.setattr(perplexity, "HELD", 100)
+    got, n = Counter(), 0
+    for batch in perplexity._count(batches):
+        got.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+        n += 1
+    want = Counter()
+    for t in texts:
+        padded = [0] * (perplexity.ORDER - 1) + [b + 1 for b in t.encode()]
+        for k in range(len(t.encode())):
+            want[sum(s * perplexity.SYMBOLS ** j for j, s in enumerate(reversed(padded[k:k + perplexity.ORDER])))] += 1
+    assert n > 1 and got == want
