@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -17,10 +18,12 @@ EPOCH = datetime(1970, 1, 1)
 class HoldTimers(StatefulProcessor):
     """Per user: open holds and recent payments, each with its moment in microseconds.
 
-    A hold sets a timer for its limit. When the watermark has passed it, all
-    payments up to the limit are there, and the hold goes: it was paid if one lies
-    between. Payments that no open or later hold can need go with it, so the state
-    is what happened within a limit of the watermark.
+    The earliest open limit has a timer. When the watermark has passed it, all
+    payments up to there have come, and every hold whose limit lies before the
+    watermark goes: it was paid if a payment lies between. Payments that no open or
+    later hold can need go with it, so the state is what happened within a limit of
+    the watermark. A user's state is one value, read and written once a call,
+    however many events the call brings.
     """
 
     def __init__(self, hold_type: str, ttl_minutes: int):
@@ -29,35 +32,54 @@ class HoldTimers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.holds = handle.getMapState("holds", f"id {self.hold_type}", "at bigint")
-        self.payments = handle.getMapState("payments", "at bigint", "there boolean")
+        self.state = handle.getValueState(
+            "state", f"ids array<{self.hold_type}>, moments array<bigint>, payments array<bigint>, timer bigint")
+
+    def _read(self) -> tuple[dict, set, int | None]:
+        """Open holds with their moments, payments, and the timer that is set."""
+        ids, moments, payments, timer = self.state.get() or ([], [], [], None)
+        return dict(zip(ids, moments)), set(payments), timer
+
+    def _write(self, holds: dict, payments: set, timer: int | None) -> None:
+        """The state, with a timer for the earliest limit."""
+        if holds:
+            first = self._timer(min(holds.values()))
+            if timer is None or first < timer:
+                self.handle.registerTimer(first)
+                timer = first
+        if holds or payments:
+            self.state.update((list(holds), list(holds.values()), list(payments), timer))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        limits = set()
+        holds, payments, timer = self._read()
         for row in rows:
             if row["hold"] is None:
-                self.payments.updateValue((row["micros"],), (True,))
+                payments.add(row["micros"])
             else:
-                self.holds.updateValue((row["hold"],), (row["micros"],))
-                limits.add(self._timer(row["micros"]))
-        for limit in limits:
-            self.handle.registerTimer(limit)
+                holds[row["hold"]] = row["micros"]
+        self._write(holds, payments, timer)
         return iter(())
 
     def _timer(self, micros: int) -> int:
         return -((-micros - self.ttl) // 1000)  # milliseconds, not before the limit
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        paid = sorted(k[0] for k in self.payments.keys())
-        done = [(k[0], v[0]) for k, v in self.holds.iterator() if self._timer(v[0]) <= now]
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expired, timerValues.getCurrentWatermarkInMs() - 1)
+        holds, payments, timer = self._read()
+        paid = sorted(payments)
+        done = [(hold, micros) for hold, micros in holds.items() if self._timer(micros) <= now]
         for hold, micros in done:
-            self.holds.removeKey((hold,))
-            if not any(micros <= p <= micros + self.ttl for p in paid):
+            del holds[hold]
+        # holds up to now are decided, later ones begin after it
+        left = {p for p in paid if p >= now * 1000 - self.ttl}
+        self._write(holds, left, None if timer is not None and timer <= now else timer)
+        for hold, micros in done:
+            after = bisect_left(paid, micros)
+            if after == len(paid) or paid[after] > micros + self.ttl:
                 yield Row(hold_id=hold, user_id=key[0], held_at=EPOCH + timedelta(microseconds=micros))
-        for p in paid:
-            if p < now * 1000 - self.ttl:  # holds up to now are decided, later ones begin after it
-                self.payments.removeKey((p,))
 
     def close(self) -> None:
         pass

@@ -9,7 +9,7 @@ from tarmaq.operators.sessions import lapsed, sessions
 from tarmaq.streaming import CLOSING, drain, open_files, read_files
 from tarmaq.streaming.claims import drain_claims
 from tarmaq.streaming.holds import lapsed_holds
-from tarmaq.streaming.timers import lapsed_at_limit
+from tarmaq.streaming.timers import HoldTimers, lapsed_at_limit
 from tarmaq.streaming.windows import stream_sessions, tumbling_counts
 
 BASE = datetime(2024, 1, 1)
@@ -127,3 +127,44 @@ def test_claims_go_on_after_a_restart(spark, tmp_path):
     assert {r.order_id: (r.seats, r.accepted) for r in decided.collect()} == {
         "A": (1, True), "B": (1, False), "C": (2, False), "D": (1, True), "E": (1, False),
         "G": (1, False), "H": (1, True), "I": (1, False)}
+
+
+def test_a_call_reads_and_writes_the_state_once():
+    """However many events it brings; one timer is enough for all limits that the watermark has passed."""
+    class Value:
+        calls, held = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.held = self.calls + 1, None
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = Value(), []
+
+        def getValueState(self, name, schema):
+            return self.state
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, processor, minute = Handle(), HoldTimers("bigint", 30), 60_000_000
+    processor.init(handle)
+    events = [{"hold": k, "micros": k * minute} for k in range(1000)] + [{"hold": None, "micros": 500 * minute}]
+    assert list(processor.handleInputRows((7,), iter(events), At(0))) == []
+    assert handle.state.calls == 2 and handle.timers == [30 * 60_000]
+    out = list(processor.handleExpiredTimer((7,), At(600 * 60_000 + 1), At(30 * 60_000)))
+    assert handle.state.calls == 4 and handle.timers[1:] == [601 * 60_000]
+    assert [r.hold_id for r in out] == [*range(470), *range(501, 571)] and out[1].held_at == datetime(1970, 1, 1, 0, 1)
+    list(processor.handleExpiredTimer((7,), At(2000 * 60_000), At(601 * 60_000)))
+    assert handle.state.held is None and len(handle.timers) == 2
