@@ -12,6 +12,7 @@ from tarmaq.operators import intervals as I
 from tarmaq.plans import candidates
 from tarmaq.plans import quality as Q
 from tarmaq.plans import scheduling as C
+from tarmaq.session import measured
 from tarmaq.sources.scans import scan
 
 SPAN_KEYS = (["user_id"], "start_ts", "end_ts", "event_id")
@@ -207,12 +208,14 @@ def crew_candidates(spark, sf):
     """Full flights are new: their least-loaded free crews and planes among suppliers and parts."""
     timed = flights(spark, sf).select("flight_id", "flight_status", "minutes", F.col("takeoff_ts").alias("start_ts"),
                                       plus_minutes("takeoff_ts", F.col("minutes")).alias("end_ts"))
-    links = scan(spark, sf, "lineitem", ["l_orderkey", "l_suppkey", "l_partkey"]).select(
-        F.col("l_orderkey").alias("flight_id"), F.inline(F.array(
-            F.struct(F.lit("crew").alias("role"), F.col("l_suppkey").alias("member")),
-            F.struct(F.lit("plane").alias("role"), F.col("l_partkey").alias("member"))))).distinct()
-    busy = links.join(timed.filter(F.col("flight_status") == P.SCHEDULED), "flight_id").select(
-        "role", "member", "start_ts", "end_ts")
+    running = timed.filter(F.col("flight_status") == P.SCHEDULED)
+    # dealt out by flight once; copies go and times come where the lines are
+    links = (scan(spark, sf, "lineitem", ["l_orderkey", "l_suppkey", "l_partkey"]).withColumnRenamed("l_orderkey", "flight_id")
+             .join(running.select("flight_id"), "flight_id", "left_semi")
+             .select("flight_id", F.inline(F.array(
+                 F.struct(F.lit("crew").alias("role"), F.col("l_suppkey").alias("member")),
+                 F.struct(F.lit("plane").alias("role"), F.col("l_partkey").alias("member"))))).distinct())
+    busy = measured(links.join(running, "flight_id").select("role", "member", "start_ts", "end_ts"), "busy")
     pool = scan(spark, sf, "supplier", ["s_suppkey", "s_acctbal"]).select(
         F.lit("crew").alias("role"), F.col("s_suppkey").alias("member"), (F.col("s_acctbal") > 0).alias("fit")).unionByName(
         scan(spark, sf, "part", ["p_partkey", "p_type"]).select(

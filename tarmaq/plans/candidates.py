@@ -16,9 +16,13 @@ is cut into windows:
   intervals leave of it. A flight fits a member when one gap contains it.
 
 So a flight meets the few best members of its window, not the pool, and only
-busy intervals of members within a limit are looked at closely. Busy ranks are
+busy intervals of members within a limit are looked at closely. The first
+``REACH`` ranks come first: a limit among them is the limit, whatever the other
+members do. Windows whose limit lies beyond are looked at again with
+``REACH_FACTOR`` times as many ranks, until all members are in. Busy ranks are
 counted in blocks of ``BLOCK`` ranks, so that a window in which a third of all
 members are busy is many groups, and only its first blocks are looked into.
+Flights of one window, time and need share their candidates.
 
 The rule is that of the conflict checks: intervals are half-open, touching ones
 do not clash. Flights without times, or longer than the last step, have no
@@ -38,6 +42,7 @@ from tarmaq.session import measured
 
 STEP_HOURS, STEP_FACTOR, STEPS = 6, 4, 7  # 6 hours, a day, 4 days .. 1,024 days
 BLOCK = 128
+REACH, REACH_FACTOR = 128, 16
 
 POOL = ["role", "fit_only"]
 WINDOW = [*POOL, "_step", "_window"]
@@ -103,11 +108,10 @@ def _busy_in_windows(busy: DataFrame, members: DataFrame, needed: DataFrame, len
     intervals = busy.select("role", "member", _seconds("start_ts").alias("_bs"), _seconds("end_ts").alias("_be"))
     steps = F.array(*[F.struct(F.lit(k).alias("_step"), F.lit(n).alias("_width")) for k, n in lengths.items()])
     windows = F.sequence(F.floor(F.col("_bs") / F.col("_width")) - 1, F.floor(F.col("_be") / F.col("_width")))
-    cut = (intervals.filter("_be >= _bs").select("*", F.inline(steps))
-           .select("role", "member", "_bs", "_be", "_step", F.explode(windows).alias("_window"))
-           .join(needed.select("role", "_step", "_window").distinct(), ["role", "_step", "_window"], "left_semi"))
-    return (cut.join(members.select(*POOL, "member", "rank"), ["role", "member"])
-            .join(needed.select(*WINDOW), WINDOW, "left_semi").select(*WINDOW, "rank", "_bs", "_be"))
+    cut = (intervals.filter("_be >= _bs").join(members.select(*POOL, "member", "rank"), ["role", "member"])
+           .select("*", F.inline(steps))
+           .select(*POOL, "rank", "_bs", "_be", "_step", F.explode(windows).alias("_window")))
+    return (cut.join(needed.select(*WINDOW), WINDOW, "left_semi").select(*WINDOW, "rank", "_bs", "_be"))
 
 
 def _limits(needed: DataFrame, taken: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -166,14 +170,34 @@ def shortlist(demand: DataFrame, pool: DataFrame, busy: DataFrame, step_hours: i
     asked = _placed(demand, lengths)
     needed = measured(asked.groupBy(*WINDOW, "_width").agg(F.max("seats").cast("bigint").alias("k")))
     used = {r["_step"]: r["_width"] for r in needed.select("_step", "_width").distinct().collect()}  # STEPS rows at most
-    intervals = measured(_busy_in_windows(busy, members, needed, used or {0: lengths[0]}))
-    taken = intervals.select(*WINDOW, "rank").distinct()
-    gaps = _gaps(measured(_limits(needed, taken, sizes)), taken, intervals)  # a row per window, read three times
-    fits = (asked.join(gaps, WINDOW).filter((F.col("_gs") <= F.col("_s")) & (F.col("_e") <= F.col("_ge")))
-            .select("flight_id", *POOL, "seats", "rank"))
+    most = members.agg(F.max("size")).first()[0] or 0
+    gaps, open_, reach = None, needed, REACH
+    while True:
+        near = measured(members.filter(F.col("rank") < reach))
+        intervals = measured(_busy_in_windows(busy, near, open_, used or {0: lengths[0]}))
+        taken = intervals.select(*WINDOW, "rank").distinct()
+        limits = measured(_limits(open_, taken, sizes))  # a row per window, read many times
+        # a limit beyond the ranks looked at is not known yet
+        known = limits if reach >= most else limits.filter(F.col("_limit") < reach)
+        found = _gaps(known, taken, intervals)
+        gaps = found if gaps is None else gaps.unionByName(found)
+        if reach >= most:
+            break
+        beyond = limits.filter(F.col("_limit") >= reach)
+        if beyond.isEmpty():
+            break
+        open_ = measured(open_.join(beyond.select(*WINDOW), WINDOW, "left_semi"))
+        reach *= REACH_FACTOR
+    slot = [*WINDOW, "_s", "_e"]
+    best = Window.partitionBy(*slot).orderBy("rank")
     # A gap is left by each of two touching intervals, so a moment can lie in two gaps of a member.
+    fits = (asked.groupBy(*slot).agg(F.max("seats").alias("_most")).join(gaps, WINDOW)
+            .filter((F.col("_gs") <= F.col("_s")) & (F.col("_e") <= F.col("_ge")))
+            .select(*slot, "_most", "rank").distinct()
+            .withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= F.col("_most"))
+            .join(members.drop("size"), [*POOL, "rank"]).select(*slot, "rank", "member", "load"))
+    # A flight that is asked for more than once has one list of candidates.
     place = F.dense_rank().over(Window.partitionBy("flight_id", *POOL).orderBy("rank"))
-    best = (fits.withColumn("place", place).filter(F.col("place") <= F.col("seats"))
-            .groupBy("flight_id", *POOL, "place").agg(F.min("rank").alias("rank")))
-    return (best.join(members.drop("size"), [*POOL, "rank"])
-            .select("flight_id", "role", F.col("place").cast("bigint").alias("place"), "member", "load"))
+    return (asked.join(measured(fits), slot).withColumn("place", place).filter(F.col("place") <= F.col("seats"))
+            .select("flight_id", "role", "fit_only", F.col("place").cast("bigint").alias("place"), "member", "load")
+            .distinct().drop("fit_only"))

@@ -128,3 +128,19 @@ def test_agrees_with_the_check_for_one_flight(spark, air):
         free = C.available_for(air["pilot"], air["pilot_flight"], C.timed(air["flight"], air["route"]), "employee_id",
                                "long_flight_training", str(row["start_ts"]), row["minutes"])
         assert got.get(row["flight_id"], set()) == {r["employee_id"] for r in free.collect()}
+
+
+def test_few_ranks_are_looked_at_first(spark, monkeypatch):
+    """Windows whose limit lies beyond the first ranks are looked at again; the result is that of all pairs."""
+    monkeypatch.setattr(B, "REACH", 2)
+    monkeypatch.setattr(B, "REACH_FACTOR", 3)
+    looked_at = []
+    whole = B._busy_in_windows
+    monkeypatch.setattr(B, "_busy_in_windows", lambda busy, members, needed, lengths: looked_at.append(
+        (members.count(), needed.count())) or whole(busy, members, needed, lengths))
+    data = world(5)
+    got = B.shortlist(*frames(spark, *data), step_hours=6).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == every_pair(*data)
+    members, windows = zip(*looked_at)
+    assert len(looked_at) > 1 and list(members) == sorted(members)
+    assert list(windows) == sorted(windows, reverse=True) and windows[-1] < windows[0]
